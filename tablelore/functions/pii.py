@@ -124,7 +124,7 @@ MATCHERS: dict[str, Callable[[Column], Column]] = {
 def entity_flags(text: Column) -> dict[str, Column]:
     """One boolean per built-in recogniser; the checksums run only where the plain pattern fits."""
     return {
-        "EMAIL_ADDRESS": text.rlike(EMAIL),
+        "EMAIL_ADDRESS": text.contains("@") & text.rlike(EMAIL),
         "PHONE_NUMBER": text.rlike(PHONE),
         "CREDIT_CARD": text.rlike(CARD) & (F.size(card_matches(text)) > 0),
         "IBAN_CODE": text.rlike(IBAN) & (F.size(iban_matches(text)) > 0),

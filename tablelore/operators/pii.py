@@ -34,45 +34,38 @@ def _unnamed(tables: dict[str, DataFrame], columns: DataFrame) -> dict[str, list
     return out
 
 
+def _text_cells(tables: dict[str, DataFrame], fields: dict[str, list[T.StructField]]) -> DataFrame:
+    """The cells to scan, one row per cell; only the columns in question are read."""
+    def one(t: str) -> DataFrame:
+        cell = F.array(*[F.struct(F.lit(f.name).alias("column_name"), cells.ref(f.name).alias("cell")) for f in fields[t]])
+        return (tables[t].select(F.lit(t).alias("table_name"), F.inline(cell)))
+
+    return union_all([one(t) for t in fields]).filter("cell IS NOT NULL")
+
+
 def value_hits(tables: dict[str, DataFrame], columns: DataFrame,
                recognise: Callable[[Column], Column] | None = None) -> DataFrame | None:
-    """Rows and hits per (table, column, entity), from one scan of each table that reads only the columns in question.
+    """Rows and hits per (table, column, entity), from one scan of the text columns no name rule caught.
 
+    Only cells with a hit reach the aggregation, and equal hits are added up before they are shuffled.
     ``recognise`` may add entities that need a language model: a function from a text column to an
     array of struct(entity_type, score), usually a pandas_udf.
     """
-    frames = []
-    for t, fields in _unnamed(tables, columns).items():
-        flags, folds, picks = [], [F.count(F.lit(1)).alias("n")], []
-        for i, f in enumerate(fields):
-            c = cells.ref(f.name)
-            flags.append(c.alias(f"c{i}"))
-            for entity, flag in pii.entity_flags(c).items():
-                flags.append(flag.alias(f"{entity}{i}"))
-                folds += [F.count_if(f"{entity}{i}").alias(f"hits_{entity}{i}"),
-                          F.min(F.when(F.col(f"{entity}{i}"), pii.trigger(F.col(f"c{i}")))).alias(f"trigger_{entity}{i}")]
-                picks.append(F.struct(
-                    F.lit(f.name).alias("column_name"), F.lit(entity).alias("entity_type"),
-                    F.col(f"hits_{entity}{i}").alias("hits"), F.lit(pii.ENTITY_CONFIDENCE[entity]).alias("confidence"),
-                    F.col(f"trigger_{entity}{i}").alias("sample_trigger")))
-        frames.append(tables[t].select(*flags).agg(*folds)
-                      .select(F.lit(t).alias("table_name"), F.col("n").alias("total_rows"), F.explode(F.array(*picks)).alias("p"))
-                      .select("table_name", "total_rows", "p.*"))
-        if recognise is not None:
-            for f in fields:
-                c = cells.ref(f.name)
-                found = (tables[t].select(c.alias("c"), F.explode(recognise(c)).alias("e"))
-                         .filter((F.col("e.score") >= MIN_CONFIDENCE) & pii.report_type(F.col("e.entity_type")).isNotNull()))
-                frames.append(found.groupBy(F.col("e.entity_type").alias("entity_type")).agg(
-                    F.count(F.lit(1)).alias("hits"), F.max("e.score").alias("confidence"),
-                    F.min(pii.trigger(F.col("c"))).alias("sample_trigger"))
-                    .select(F.lit(t).alias("table_name"), F.lit(None).cast("long").alias("total_rows"),
-                            F.lit(f.name).alias("column_name"), "entity_type", "hits", "confidence", "sample_trigger"))
-    if not frames:
+    fields = _unnamed(tables, columns)
+    if not fields:
         return None
-    out = union_all(frames)
-    return (out.filter((F.col("hits") > 0) & (F.col("confidence") >= MIN_CONFIDENCE))
-            .withColumn("pii_type", pii.report_type(F.col("entity_type"))).filter("pii_type IS NOT NULL")
+    cell = F.col("cell")
+    built_in = F.array_compact(F.array(*[
+        F.when(flag, F.struct(F.lit(entity).alias("entity_type"), F.lit(pii.ENTITY_CONFIDENCE[entity]).alias("score")))
+        for entity, flag in pii.entity_flags(cell).items()]))
+    entities = built_in if recognise is None else F.concat(built_in, recognise(cell))
+    found = (_text_cells(tables, fields).select("table_name", "column_name", "cell", F.inline(entities))
+             .filter((F.col("score") >= MIN_CONFIDENCE) & pii.report_type(F.col("entity_type")).isNotNull()))
+    hits = found.groupBy("table_name", "column_name", "entity_type").agg(
+        F.count(F.lit(1)).alias("hits"), F.max("score").alias("confidence"), F.min(pii.trigger(cell)).alias("sample_trigger"))
+    sizes = union_all([tables[t].agg(F.count(F.lit(1)).alias("total_rows")).withColumn("table_name", F.lit(t)) for t in fields])
+    return (hits.join(sizes, "table_name")
+            .withColumn("pii_type", pii.report_type(F.col("entity_type")))
             .withColumn("hit_rate", F.col("hits") / F.col("total_rows")))
 
 
@@ -116,16 +109,17 @@ def pii_columns_per_table(findings: DataFrame) -> DataFrame:
 
 def summary(found: DataFrame, columns: DataFrame) -> DataFrame:
     """Totals per source: raw hits by method, findings kept, columns and tables hit, findings by type."""
-    best = best_findings(found)
     raw = found.groupBy("source").agg(
         F.count_if(F.col("detection_method") == "rule_based").alias("rule_based_hits"),
         F.count_if(F.col("detection_method") != "rule_based").alias("value_finding_rows"))
-    kept = best.groupBy("source").agg(
-        F.count(F.lit(1)).alias("findings_after_dedupe"),
-        F.count_distinct("table_name", "column_name").alias("total_pii_columns"),
-        F.array_sort(F.collect_set("table_name")).alias("tables_with_pii"))
-    by_type = (best.groupBy("source", "pii_type").agg(F.count(F.lit(1)).alias("n")).groupBy("source")
-               .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pii_type", "n")))).alias("by_pii_type")))
+    hits = found.select("source", "table_name", "column_name", "pii_type").distinct()
+    per_type = hits.groupBy("source", "pii_type").agg(F.count(F.lit(1)).alias("n"))
+    by_type = per_type.groupBy("source").agg(
+        F.sum("n").alias("findings_after_dedupe"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("pii_type", "n")))).alias("by_pii_type"))
+    per_table = hits.groupBy("source", "table_name").agg(F.count_distinct("column_name").alias("n"))
+    kept = per_table.groupBy("source").agg(
+        F.sum("n").alias("total_pii_columns"), F.array_sort(F.collect_list("table_name")).alias("tables_with_pii"))
     scanned = columns.groupBy("source").agg(F.count(F.lit(1)).alias("columns_scanned"))
     zero = F.lit(0).cast("long")
     return (scanned.join(raw, "source", "left").join(kept, "source", "left").join(by_type, "source", "left")
@@ -140,8 +134,12 @@ def summary(found: DataFrame, columns: DataFrame) -> DataFrame:
 def matches_in_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Every match in every text, one row per match; the checksums have been applied."""
     text = cells.ref(text_column)
-    found = [F.transform(find(text), lambda m, kind=pii.ENTITY_TYPES[entity], e=entity: F.struct(
-        F.lit(kind).alias("pii_type"), F.lit(e).alias("entity_type"), m.alias("match")))
-        for entity, find in pii.MATCHERS.items()]
+
+    def labelled(entity: str) -> Column:
+        kind = F.lit(pii.ENTITY_TYPES[entity]).alias("pii_type")
+        return F.transform(pii.MATCHERS[entity](text),
+                           lambda m: F.struct(kind, F.lit(entity).alias("entity_type"), m.alias("match")))
+
+    found = [labelled(e) for e in pii.MATCHERS]
     return (df.select(cells.ref(id_column).alias(id_column), F.explode(F.concat(*found)).alias("m"))
             .select(id_column, "m.*"))

@@ -184,12 +184,13 @@ def sample_values(tables: dict[str, DataFrame], cells_frame: DataFrame | None =
 # ---- profiles ----------------------------------------------------------------------------------------------------
 
 def column_profiles(tables: dict[str, DataFrame], samples: bool = True, ranges: DataFrame | None = None,
-                    cells_frame: DataFrame | None = None) -> DataFrame:
+                    cells_frame: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """The full profile of every column of every table."""
     ranges = column_ranges(tables) if ranges is None else ranges
-    cells_frame = distinct_cells(tables) if cells_frame is None else cells_frame
+    cells_frame = distinct_cells(tables, rows=False) if cells_frame is None else cells_frame
+    counts = distinct_counts(cells_frame) if counts is None else counts
     on = ["table_name", "ordinal"]
-    out = ranges.join(distinct_counts(cells_frame), on, "left")
+    out = ranges.join(counts, on, "left")
     if samples:
         out = out.join(sample_values(tables, cells_frame), on, "left")
         sample = F.coalesce("sample_values", F.array().cast("array<string>"))
@@ -228,12 +229,11 @@ def table_sizes(ranges: DataFrame) -> DataFrame:
 
 
 def table_profiles(tables: dict[str, DataFrame], ranges: DataFrame | None = None,
-                   cells_frame: DataFrame | None = None) -> DataFrame:
+                   counts: DataFrame | None = None) -> DataFrame:
     """Rows, completeness, duplicate rows and the quality flag of every table."""
     ranges = column_ranges(tables) if ranges is None else ranges
-    cells_frame = distinct_cells(tables, columns=False) if cells_frame is None else cells_frame
-    distinct_rows = (distinct_counts(cells_frame.filter(F.col("ordinal") == ROW))
-                     .select("table_name", F.col("unique_count").alias("distinct_rows")))
+    counts = distinct_counts(distinct_cells(tables, columns=False)) if counts is None else counts
+    distinct_rows = counts.filter(F.col("ordinal") == ROW).select("table_name", F.col("unique_count").alias("distinct_rows"))
     duplicates = F.col("total_rows") - F.coalesce("distinct_rows", F.lit(0))
     return (table_sizes(ranges).join(distinct_rows, "table_name", "left")
             .select("table_name", "total_rows", "total_columns", "completeness_score",

@@ -14,7 +14,10 @@ TABLE = ["source", "table_name"]
 
 @dataclass
 class Dictionary:
-    """Lazy frames of one source; each is computed when it is read or written."""
+    """Lazy frames of one source; each is computed when it is read or written.
+
+    Frames with a row per table, column, edge or finding are kept once computed; the cells behind them are not.
+    """
 
     source: str
     columns: DataFrame
@@ -26,6 +29,10 @@ class Dictionary:
     findings: DataFrame
     raw_findings: DataFrame
 
+    def release(self) -> None:
+        for frame in (self.tables, self.edges, self.column_profiles, self.raw_findings):
+            frame.unpersist()
+
     def rollup(self) -> DataFrame:
         return views.table_rollup(self.tables, self.table_profiles, self.edges, self.findings)
 
@@ -42,15 +49,16 @@ def build(spark: SparkSession, tables: dict[str, DataFrame], source: str, keys:
     keys = catalog.no_keys(spark) if keys is None else keys
     columns = catalog.catalog_columns(catalog.field_frame(spark, tables, source), keys)
     profiled = tables if sample_size is None else {t: profiling.sample_rows(df, sample_size) for t, df in tables.items()}
-    ranges = profiling.column_ranges(profiled)
+    ranges = profiling.column_ranges(profiled).persist()
     cells = profiling.distinct_cells(profiled)
-    raw = pii.scan(tables, columns, source) if find_pii else pii.by_name(columns).limit(0)
+    counts = profiling.distinct_counts(cells).persist()
+    raw = (pii.scan(tables, columns, source) if find_pii else pii.by_name(columns).limit(0)).persist()
     return Dictionary(
         source=source, columns=columns, keys=keys,
-        tables=catalog.catalog_tables(columns, catalog.row_counts(tables, source), keys),
-        edges=relationships.relationships(columns, keys),
-        column_profiles=profiling.column_profiles(profiled, samples, ranges, cells),
-        table_profiles=profiling.table_profiles(profiled, ranges, cells),
+        tables=catalog.catalog_tables(columns, catalog.row_counts(tables, source), keys).persist(),
+        edges=relationships.relationships(columns, keys).persist(),
+        column_profiles=profiling.column_profiles(profiled, samples, ranges, cells, counts).persist(),
+        table_profiles=profiling.table_profiles(profiled, ranges, counts),
         findings=pii.best_findings(raw), raw_findings=raw)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -22,11 +24,20 @@ def local_session(cores: int = 8, name: str = "tablelore", shuffle_partitions: i
     )
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """Where a job may write frames it reads back: the folder the cluster names, or the caller's own in tests."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if folder:
-        return folder
-    if fallback is None:
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    return fallback
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for frames that are read back; a folder of our own only in a local session."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="tablelore-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back: later plans start from it, and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

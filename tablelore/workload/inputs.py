@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablelore.functions.names import source_key
 from tablelore.operators.catalog import KEYS_SCHEMA
+from tablelore.session import settle
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -161,9 +163,9 @@ def _from(spark: SparkSession, sf: str, ctes: str, query: str) -> DataFrame:
 
 
 def estate_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns of every derived database, before keys are applied."""
-    return _from(spark, sf, ESTATE, "SELECT source, table_name, ordinal, column_name, 'bigint' AS data_type, "
-                                    "true AS is_nullable, CAST(NULL AS STRING) AS default_value FROM cols")
+    """Columns of every derived database, before keys are applied. Read several times by a query, so settled."""
+    return settle(_from(spark, sf, ESTATE, "SELECT source, table_name, ordinal, column_name, 'bigint' AS data_type, "
+                                           "true AS is_nullable, CAST(NULL AS STRING) AS default_value FROM cols"))
 
 
 def estate_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,8 +182,8 @@ def estate_keys(spark: SparkSession, sf: str) -> DataFrame:
               F.when(s["uneven"], F.array(s["to_column"], F.lit("extra"))).otherwise(F.array(s["to_column"])).alias("referred_columns"),
               F.lit(None).cast("map<string,string>").alias("options"))).alias("fks")))
     every = _from(spark, sf, ESTATE, "SELECT * FROM names")
-    return (every.join(pk, on, "left").join(fk, on, "left")
-            .select(*on, F.coalesce("primary_keys", F.array().cast("array<string>")).alias("primary_keys"), "fks"))
+    return settle(every.join(pk, on, "left").join(fk, on, "left")
+                  .select(*on, F.coalesce("primary_keys", F.array().cast("array<string>")).alias("primary_keys"), "fks"))
 
 
 def estate_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,9 +192,7 @@ def estate_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Headers, tables and columns of one snapshot per user and week."""
-    from tablelore.functions.names import source_key
-
     headers = _from(spark, sf, HISTORY, "SELECT snapshot_id, source_path, captured_at FROM headers")
-    return (headers.withColumn("source_key", source_key(F.col("source_path"))),
-            _from(spark, sf, HISTORY, "SELECT * FROM stabs"),
-            _from(spark, sf, HISTORY, "SELECT * FROM scols"))
+    return (settle(headers.withColumn("source_key", source_key(F.col("source_path")))),
+            settle(_from(spark, sf, HISTORY, "SELECT * FROM stabs")),
+            settle(_from(spark, sf, HISTORY, "SELECT * FROM scols")))
