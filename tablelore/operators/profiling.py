@@ -51,19 +51,19 @@ def _text(field: T.StructField) -> str:
 ORDERED = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)  # typed order equals text order
 
 
-def _scan_one(table: str, df: DataFrame) -> DataFrame:
+def _fold(table: str, df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
     folds, picks = ["count(1) AS n"], []
-    for i, f in enumerate(df.schema.fields):
+    for i, f in fields:
         c = _present(f)
-        if not cells.is_numeric(f.dataType) and not isinstance(f.dataType, ORDERED):
+        number = cells.is_numeric(f.dataType)
+        if not number and not isinstance(f.dataType, ORDERED):
             c = _text(f)
         folds += [f"count({_present(f)}) AS kept_{i}", f"min({c}) AS low_{i}", f"max({c}) AS high_{i}"]
-        number = cells.is_numeric(f.dataType)
         if number:
             folds.append(f"avg(CAST({c} AS DOUBLE)) AS mean_{i}")
         low, high, mean = (f"low_{i}", f"high_{i}", f"mean_{i}") if number else ("NULL", "NULL", "NULL")
         picks.append(
-            f"struct({i + 1} AS ordinal, {_literal(f.name)} AS column_name, {_literal(f.dataType.simpleString())} AS data_type,"
+            f"struct({i} AS ordinal, {_literal(f.name)} AS column_name, {_literal(f.dataType.simpleString())} AS data_type,"
             f" n - kept_{i} AS null_count, CAST({low} AS DOUBLE) AS min_num, CAST({high} AS DOUBLE) AS max_num,"
             f" CAST({mean} AS DOUBLE) AS mean_value, CAST(low_{i} AS STRING) AS min_value,"
             f" CAST(high_{i} AS STRING) AS max_value)")
@@ -71,9 +71,18 @@ def _scan_one(table: str, df: DataFrame) -> DataFrame:
             .selectExpr(f"{_literal(table)} AS table_name", "n AS total_rows", f"inline(array({', '.join(picks)}))"))
 
 
+def _scan_one(table: str, df: DataFrame) -> list[DataFrame]:
+    """Columns of fixed width fold in generated code; texts cannot, and would slow the others down. Each column is
+    still read once, for a scan reads only the columns it folds."""
+    numbered = list(enumerate(df.schema.fields, 1))
+    fixed = [x for x in numbered if cells.is_numeric(x[1].dataType) or isinstance(x[1].dataType, ORDERED)]
+    texts = [x for x in numbered if x not in fixed]
+    return [_fold(table, df, part) for part in (fixed, texts) if part]
+
+
 def column_ranges(tables: dict[str, DataFrame]) -> DataFrame:
     """Missing cells, minimum, maximum and mean of every column."""
-    out = union_all([_scan_one(t, tables[t]) for t in table_names(tables)])
+    out = union_all([part for t in table_names(tables) for part in _scan_one(t, tables[t])])
     return out.withColumn("null_rate", F.when(F.col("total_rows") == 0, 0.0).otherwise(
         F.col("null_count") / F.col("total_rows")))
 
@@ -166,14 +175,15 @@ def sample_values(tables: dict[str, DataFrame], cells_frame: DataFrame | None =
     short = F.coalesce(F.col("k_text"), F.col("k_long").cast("string"), F.col("k_double").cast("string"))
     order = F.coalesce("k_order", F.md5(short))
     w = Window.partitionBy("table_name", "ordinal").orderBy("sample_order")
-    picked = (cells_frame.filter(F.col("ordinal") != ROW)
+    # No filter goes on the cells here: this way the plan that counts them and the plan that samples them share a shuffle.
+    picked = (cells_frame
               .select("table_name", "ordinal", order.alias("sample_order"), short.alias("value"))
               .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
     on = ["table_name", "ordinal", "sample_order"]
     scan = _long_texts(tables)
     if scan is not None:
         wanted = picked.filter(F.col("value").isNull()).select(*on)
-        fetched = scan.join(F.broadcast(wanted), on, "left_semi").select(*on, "long_text").distinct()
+        fetched = scan.join(F.broadcast(wanted), on).select(*on, "long_text").distinct()
         picked = (picked.join(fetched, on, "left")
                   .withColumn("value", F.coalesce("value", "long_text")))
     lists = picked.groupBy("table_name", "ordinal").agg(

@@ -398,16 +398,26 @@ def _dictionary(spark, sf, samples: bool = False) -> dictionary.Dictionary:
     return dictionary.build(spark, inputs.mixed(spark, sf), inputs.SOURCE, inputs.star_keys(spark), samples=samples)
 
 
+def _rollup_parts(spark, sf):
+    """Tables, edges and findings of the given tables, without the column statistics a roll-up does not show."""
+    tables, keys, columns = _warehouse(spark, sf, inputs.mixed(spark, sf))
+    sizes = catalog.catalog_tables(columns, catalog.row_counts(tables, inputs.SOURCE), keys)
+    return tables, sizes, relationships.relationships(columns, keys), pii.scan(tables, columns, inputs.SOURCE)
+
+
 @query
 def table_rollup(spark, sf):
-    return _dictionary(spark, sf).rollup().select(
+    tables, sizes, edges, found = _rollup_parts(spark, sf)
+    return views.table_rollup(sizes, profiling.table_profiles(tables), edges, found).select(
         "table_name", "row_count", "column_count", F.round("completeness_score", 9).alias("completeness_score"),
         "has_quality_issues", "pii_column_count", joined("relationships", "; ").alias("relationships"))
 
 
 @query
 def overall_stats(spark, sf):
-    return _dictionary(spark, sf).stats().select(
+    tables, sizes, edges, found = _rollup_parts(spark, sf)
+    scores = profiling.table_sizes(profiling.column_ranges(tables))
+    return views.overall_stats(sizes, scores, edges, found).select(
         "total_tables", "total_columns", F.round("overall_completeness", 9).alias("overall_completeness"),
         "total_relationships", "total_pii_columns")
 
