@@ -34,8 +34,8 @@ def _cleaned(field: T.StructField, parse_numeric_dates: bool) -> Column:
         text = cells.strip(c)
         return cells.parse_timestamp(text) if is_time_name(field.name) else cells.blank_to_null(text)
     if parse_numeric_dates and is_time_name(field.name) and cells.is_numeric(field.dataType):
-        micros = F.floor(c.cast("double") / 1000).cast("long")  # the number counts nanoseconds
-        return F.timestampadd("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+        since = F.make_dt_interval(secs=(c.cast("decimal(38,0)") / 1_000_000_000).cast("decimal(18,6)"))  # it counts nanoseconds
+        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
     return c
 
 
