@@ -39,14 +39,18 @@ def _cleaned(field: T.StructField, parse_numeric_dates: bool) -> Column:
     return c
 
 
+def clean_cells(df: DataFrame, parse_numeric_dates: bool = False) -> DataFrame:
+    """Trim texts, parse columns named like dates, turn blanks into NULL."""
+    return df.select(*[_cleaned(f, parse_numeric_dates).alias(f.name) for f in df.schema.fields])
+
+
 def clean(df: DataFrame, parse_numeric_dates: bool = False) -> DataFrame:
-    """Trim texts, parse columns named like dates, turn blanks into NULL, then drop rows that repeat."""
-    out = df.select(*[_cleaned(f, parse_numeric_dates).alias(f.name) for f in df.schema.fields])
-    return out.dropDuplicates()
+    """Clean every cell, then drop rows that repeat."""
+    return clean_cells(df, parse_numeric_dates).dropDuplicates()
 
 
 def type_flags(df: DataFrame) -> DataFrame:
-    """What the values of each column allow: one row per column, from one pass over the table."""
+    """What the values of each column allow, and how many there are: one row per column, from one pass over the table."""
     folds, picks = [], []
     for i, f in enumerate(df.schema.fields):
         c = cells.ref(f.name)
@@ -65,9 +69,9 @@ def type_flags(df: DataFrame) -> DataFrame:
                 f.dataType.simpleString())
         else:
             kind = F.lit(f.dataType.simpleString())
-        picks.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"), kind.alias("inferred_type")))
-    if not folds:
-        folds = [F.count(F.lit(1)).alias("n")]
+            folds.append(F.count(c).alias(f"n_{i}"))
+        picks.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
+                              kind.alias("inferred_type"), F.col(f"n_{i}").alias("filled")))
     return df.agg(*folds).select(F.explode(F.array(*picks)).alias("c")).select("c.*")
 
 

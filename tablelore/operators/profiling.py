@@ -261,7 +261,7 @@ def sample_rows(df: DataFrame, n: int) -> DataFrame:
     """A repeatable sample of n rows: those whose JSON text has the smallest md5."""
     text = F.to_json(F.struct(*[cells.ref(c) for c in df.columns]), {"ignoreNullFields": "false"})
     key = "__order"
-    return (df.withColumn(key, F.md5(text)).orderBy(key, *[cells.ref(c) for c in df.columns]).limit(n).drop(key))
+    return df.withColumn(key, F.md5(text)).orderBy(key).limit(n).drop(key)  # equal keys are equal rows
 
 
 def top_null_columns(profiles: DataFrame, n: int = 3) -> DataFrame:

@@ -138,9 +138,9 @@ def _gathered(frame: DataFrame, keep: Column, value: Column, name: str) -> DataF
             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_name", value.alias("v"))))).alias(name)))
 
 
-def drift(headers: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """One report per consecutive pair of snapshots of a source."""
-    pairs = consecutive(headers)
+def drift(headers: DataFrame, tables: DataFrame, columns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One report per pair of snapshots; all consecutive pairs of each source unless some are named."""
+    pairs = consecutive(headers) if pairs is None else pairs
     changes = table_changes(pairs, tables)
     kept = F.col("change") == "kept"
     moved = (column_changes(pairs, columns)

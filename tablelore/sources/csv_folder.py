@@ -86,14 +86,20 @@ def read_raw(spark: SparkSession, path: str, delimiter: str, multi_line: bool) -
 
 
 def load_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True) -> DataFrame:
-    """One file, cleaned and typed. A row with more fields than the header fails the file."""
+    """One file, cleaned and typed. A row with more fields than the header fails the file.
+
+    Types and over-long rows are found in one pass. It runs before repeated rows are dropped, which changes neither,
+    so rows are shuffled only when the table itself is read.
+    """
     raw = read_raw(spark, path, delimiter, multi_line)
     columns = [c for c in raw.columns if c != OVERFLOW]
-    texts = raw.select(*[cells.null_tokens_to_null(cells.ref(c)).alias(c) for c in columns], cells.ref(OVERFLOW))
-    too_long = texts.agg(F.count_if(cells.ref(OVERFLOW).isNotNull()).alias("n")).first().n
-    if too_long:
-        raise ValueError(f"{too_long} row(s) have more fields than the header")
-    return cleaning.infer_types(cleaning.clean(texts.drop(OVERFLOW)))
+    beyond = F.when(cells.ref(OVERFLOW).isNotNull(), "x").alias(OVERFLOW)
+    texts = cleaning.clean_cells(raw.select(*[cells.null_tokens_to_null(cells.ref(c)).alias(c) for c in columns], beyond))
+    flags = {r.column_name: r for r in cleaning.type_flags(texts).collect()}  # one row per column
+    if flags[OVERFLOW].filled:
+        raise ValueError(f"{flags[OVERFLOW].filled} row(s) have more fields than the header")
+    rows = texts.drop(OVERFLOW).dropDuplicates()
+    return cleaning.apply_types(rows, {c: flags[c].inferred_type for c in columns})
 
 
 def load_csv_folder(spark: SparkSession, folder: str) -> CsvFolder:

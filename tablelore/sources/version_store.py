@@ -63,9 +63,11 @@ class VersionStore:
         """Save a snapshot and report its drift against the one before; no row on the first run."""
         self.save(parts)
         head = parts[0].select("source_path", "snapshot_id").first()
-        report = self.all_drift(head.source_path).filter(F.col("snapshot_id_after") == head.snapshot_id)
-        self._append("drift", report)
-        return self.read("drift", head.source_path).filter(F.col("snapshot_id_after") == head.snapshot_id)
+        path, this = head.source_path, F.col("snapshot_id_after") == head.snapshot_id
+        headers = self.read("headers", path)
+        pair = versions.consecutive(headers).filter(this)
+        self._append("drift", versions.drift(headers, self.read("tables", path), self.read("columns", path), pair))
+        return self.read("drift", path).filter(this)
 
     def drift_history(self, source_path: str) -> DataFrame:
         return self.read("drift", source_path).orderBy("captured_at")

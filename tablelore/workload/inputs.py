@@ -79,15 +79,18 @@ def mixed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 # ---- many databases out of events --------------------------------------------------------------------------------
 
+# What a row refers to follows from the row itself, so no user's events have to be put in order.
 EVENTS = """
 ev AS (
   SELECT user_id, event_id, ts, value, event_type AS et, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
-         CAST(floor((day(ts) - 1) / 7) AS INT) AS week,
+         CAST(floor(minute(ts) * 5 / 3) AS INT) AS m, CAST(floor((day(ts) - 1) / 7) AS INT) AS week,
          concat('user_', CAST(user_id AS STRING), '/', CAST(year(ts) AS STRING), '-', CAST(month(ts) AS STRING), '-w',
                 CAST(CAST(floor((day(ts) - 1) / 7) AS INT) AS STRING)) AS source
   FROM {events}),
-seq AS (SELECT source, et, k, lag(et) OVER (PARTITION BY source ORDER BY ts, event_id) AS prev FROM ev),
-refs AS (SELECT source, et, prev AS p, max(k) AS kk FROM seq WHERE prev IS NOT NULL GROUP BY source, et, prev),
+refs AS (
+  SELECT source, et, p, max(m) AS kk FROM (
+    SELECT source, et, m, CASE WHEN k < 20 THEN 'click' WHEN k < 40 THEN 'view' WHEN k < 60 THEN 'purchase'
+                               WHEN k < 80 THEN 'signup' ELSE 'error' END AS p FROM ev) x GROUP BY source, et, p),
 tabs AS (
   SELECT source, et, count(*) AS n, min(k) AS mk,
          CASE WHEN min(k) < 10 THEN concat(et, 's') WHEN min(k) < 20 THEN et

@@ -199,8 +199,8 @@ def _type_of(table: str, i: int, name: str, value: str) -> str:
             f"WHEN count(v) = 0 THEN 'string' "
             f"WHEN count(v) = count(TRY_CAST(v AS DOUBLE)) AND bool_and(TRY_CAST(v AS DOUBLE) % 1 = 0) THEN 'bigint' "
             f"WHEN count(v) = count(TRY_CAST(v AS DOUBLE)) THEN 'double' "
-            f"WHEN bool_and(v IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) THEN 'boolean' ELSE 'string' END AS inferred_type "
-            f"FROM (SELECT {value} AS v FROM {table})")
+            f"WHEN bool_and(v IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) THEN 'boolean' ELSE 'string' END AS inferred_type, "
+            f"count(v) AS filled FROM (SELECT {value} AS v FROM {table})")
 
 
 ORACLES["infer_types"] = " UNION ALL ".join([
@@ -217,7 +217,7 @@ ORACLES["infer_types"] = " UNION ALL ".join([
     _type_of("customer", 2, "c_custkey", "c_custkey || 'e0'"),
     _type_of("lineitem", 1, "l_quantity", "CAST(l_quantity AS VARCHAR)"),
     _type_of("lineitem", 2, "l_discount", "CAST(l_discount AS VARCHAR)"),
-    "SELECT 'lineitem' AS table_name, 3 AS ordinal, 'l_linenumber' AS column_name, 'int' AS inferred_type",
+    "SELECT 'lineitem' AS table_name, 3 AS ordinal, 'l_linenumber' AS column_name, 'int' AS inferred_type, count(*) AS filled FROM lineitem",
 ])
 
 # ---- relationships -----------------------------------------------------------------------------------------------

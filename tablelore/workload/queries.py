@@ -202,7 +202,7 @@ def infer_types(spark, sf):
         "lineitem": tables["lineitem"].select("l_quantity", "l_discount", "l_linenumber"),
     }
     return catalog.union_all([
-        cleaning.type_flags(df).select(F.lit(t).alias("table_name"), "ordinal", "column_name", "inferred_type")
+        cleaning.type_flags(df).select(F.lit(t).alias("table_name"), "ordinal", "column_name", "inferred_type", "filled")
         for t, df in dirty.items()])
 
 
