@@ -91,13 +91,13 @@ refs AS (
   SELECT source, et, p, max(m) AS kk FROM (
     SELECT source, et, m, CASE WHEN k < 20 THEN 'click' WHEN k < 40 THEN 'view' WHEN k < 60 THEN 'purchase'
                                WHEN k < 80 THEN 'signup' ELSE 'error' END AS p FROM ev) x GROUP BY source, et, p),
+ext AS (SELECT DISTINCT source, et, CAST(floor(k / 10) AS INT) AS b FROM ev),
 tabs AS (
   SELECT source, et, count(*) AS n, min(k) AS mk,
          CASE WHEN min(k) < 10 THEN concat(et, 's') WHEN min(k) < 20 THEN et
               WHEN min(k) < 35 THEN concat('olist_', et, 's_dataset') WHEN min(k) < 55 THEN concat(et, '_log')
               WHEN min(k) < 70 THEN concat('raw', et) ELSE concat('misc_', et) END AS name
-  FROM ev GROUP BY source, et),
-ends AS (SELECT source, min(et) AS a, max(et) AS b FROM tabs GROUP BY source HAVING count(*) >= 3)"""
+  FROM ev GROUP BY source, et)"""
 
 REF_NAME = """CASE WHEN r.p = r.et THEN concat('parent_', r.et, '_id') WHEN r.kk < 40 THEN concat(upper(r.p), '_ID')
               WHEN r.kk < 55 THEN concat(r.p, '__id') ELSE concat(r.p, '_id') END"""
@@ -106,7 +106,8 @@ EXTRA_NAME = """CASE b WHEN 0 THEN 'email_address' WHEN 1 THEN 'fax_no' WHEN 2 T
               WHEN 4 THEN 'birth_day' WHEN 5 THEN 'discard' WHEN 6 THEN 'is_late' WHEN 7 THEN 'username'
               WHEN 8 THEN 'first_name' ELSE 'estate' END"""
 
-ESTATE = EVENTS + f""",
+# Read from the frames ext, refs and tabs of above.
+ESTATE_TOP = f"""ends AS (SELECT source, min(et) AS a, max(et) AS b FROM tabs GROUP BY source HAVING count(*) >= 3),
 cols AS (
   SELECT source, name AS table_name, 1 AS ordinal, concat(et, '_id') AS column_name FROM tabs
   UNION ALL
@@ -114,8 +115,7 @@ cols AS (
   FROM refs r JOIN tabs t ON r.source = t.source AND r.et = t.et
   UNION ALL
   SELECT x.source, t.name, 50 + x.b, {EXTRA_NAME}
-  FROM (SELECT DISTINCT source, et, CAST(floor(k / 10) AS INT) AS b FROM ev) x
-  JOIN tabs t ON x.source = t.source AND x.et = t.et
+  FROM ext x JOIN tabs t ON x.source = t.source AND x.et = t.et
   UNION ALL SELECT source, concat('link_', a, '_', b), 1, concat(a, '_id') FROM ends
   UNION ALL SELECT source, concat('link_', a, '_', b), 2, concat(b, '_id') FROM ends
   UNION ALL SELECT source, concat(et, '_detail'), 1, concat(et, '_id') FROM tabs WHERE n >= 5),
@@ -139,6 +139,8 @@ fks AS (
   SELECT source, concat(et, '_detail'), 0, concat(et, '_id'), name, concat(et, '_id'), false FROM tabs WHERE n >= 5),
 names AS (SELECT DISTINCT source, table_name FROM cols)"""
 
+ESTATE = f"{EVENTS},\n{ESTATE_TOP}"
+
 HISTORY = EVENTS + f""",
 headers AS (
   SELECT source AS snapshot_id, max(ts) AS captured_at, user_id,
@@ -148,10 +150,9 @@ headers AS (
                         ELSE concat('data/./user ', CAST(user_id AS STRING)) END AS source_path
   FROM ev GROUP BY source, user_id),
 scols AS (
-  SELECT DISTINCT source AS snapshot_id, concat(et, 's') AS table_name, concat(et, '_id') AS column_name FROM ev
+  SELECT source AS snapshot_id, concat(et, 's') AS table_name, concat(et, '_id') AS column_name FROM tabs
   UNION ALL SELECT source, concat(et, 's'), concat('after_', p) FROM refs WHERE kk >= 50
-  UNION ALL SELECT source, concat(et, 's'), {EXTRA_NAME}
-  FROM (SELECT DISTINCT source, et, CAST(floor(k / 10) AS INT) AS b FROM ev WHERE k < 30) x),
+  UNION ALL SELECT source, concat(et, 's'), {EXTRA_NAME} FROM ext WHERE b < 3),
 stabs AS (
   SELECT e.snapshot_id, e.table_name, c.n AS column_count, e.row_count, e.score AS completeness_score
   FROM (SELECT source AS snapshot_id, concat(et, 's') AS table_name, count(*) AS row_count,
@@ -161,41 +162,54 @@ stabs AS (
     ON e.snapshot_id = c.snapshot_id AND e.table_name = c.table_name)"""
 
 
-def _from(spark: SparkSession, sf: str, ctes: str, query: str) -> DataFrame:
-    return spark.sql(f"WITH {ctes} {query}", events=load(spark, sf, "events")["events"])
+def _events(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.sql(f"WITH {EVENTS} SELECT * FROM {name}", events=load(spark, sf, "events")["events"])
+
 
+class Estate:
+    """Catalogue of all derived databases. The frames that many parts read are settled once."""
 
-def estate_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns of every derived database, before keys are applied. Read several times by a query, so settled."""
-    return settle(_from(spark, sf, ESTATE, "SELECT source, table_name, ordinal, column_name, 'bigint' AS data_type, "
-                                           "true AS is_nullable, CAST(NULL AS STRING) AS default_value FROM cols"))
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark = spark
+        self.base = {n: settle(_events(spark, sf, n)) for n in ("ext", "refs", "tabs")}
 
+    def _query(self, query: str) -> DataFrame:
+        text = ESTATE_TOP
+        for n in self.base:
+            text = text.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
+            query = query.replace(f"FROM {n}", f"FROM {{{n}}}")
+        return self.spark.sql(f"WITH {text} {query}", **self.base)
 
-def estate_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Declared keys of every derived database; some foreign keys come with column lists of different length."""
-    on = ["source", "table_name"]
-    pk = _from(spark, sf, ESTATE, "SELECT * FROM pks").groupBy(*on).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda s: s["column_name"]).alias("primary_keys"))
-    fk = (_from(spark, sf, ESTATE, "SELECT * FROM fks").groupBy(*on)
-          .agg(F.array_sort(F.collect_list(F.struct("fk_position", "from_column", "to_table", "to_column", "uneven"))).alias("f"))
-          .select(*on, F.transform("f", lambda s: F.struct(
-              F.concat(F.lit("fk_"), s["from_column"]).alias("name"),
-              F.array(s["from_column"]).alias("constrained_columns"),
-              F.lit(None).cast("string").alias("referred_schema"), s["to_table"].alias("referred_table"),
-              F.when(s["uneven"], F.array(s["to_column"], F.lit("extra"))).otherwise(F.array(s["to_column"])).alias("referred_columns"),
-              F.lit(None).cast("map<string,string>").alias("options"))).alias("fks")))
-    every = _from(spark, sf, ESTATE, "SELECT * FROM names")
-    return settle(every.join(pk, on, "left").join(fk, on, "left")
-                  .select(*on, F.coalesce("primary_keys", F.array().cast("array<string>")).alias("primary_keys"), "fks"))
+    def fields(self) -> DataFrame:
+        """Columns of every database, before keys are applied."""
+        return settle(self._query("SELECT source, table_name, ordinal, column_name, 'bigint' AS data_type, "
+                                  "true AS is_nullable, CAST(NULL AS STRING) AS default_value FROM cols"))
 
+    def keys(self) -> DataFrame:
+        """Declared keys of every database; some foreign keys come with column lists of different length."""
+        on = ["source", "table_name"]
+        pk = self._query("SELECT * FROM pks").groupBy(*on).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda s: s["column_name"]).alias("primary_keys"))
+        fk = (self._query("SELECT * FROM fks").groupBy(*on)
+              .agg(F.array_sort(F.collect_list(F.struct("fk_position", "from_column", "to_table", "to_column", "uneven"))).alias("f"))
+              .select(*on, F.transform("f", lambda s: F.struct(
+                  F.concat(F.lit("fk_"), s["from_column"]).alias("name"),
+                  F.array(s["from_column"]).alias("constrained_columns"),
+                  F.lit(None).cast("string").alias("referred_schema"), s["to_table"].alias("referred_table"),
+                  F.when(s["uneven"], F.array(s["to_column"], F.lit("extra"))).otherwise(F.array(s["to_column"])).alias("referred_columns"),
+                  F.lit(None).cast("map<string,string>").alias("options"))).alias("fks")))
+        return settle(self._query("SELECT * FROM names").join(pk, on, "left").join(fk, on, "left")
+                      .select(*on, F.coalesce("primary_keys", F.array().cast("array<string>")).alias("primary_keys"), "fks"))
 
-def estate_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return _from(spark, sf, ESTATE, "SELECT source, name AS table_name, n AS row_count FROM tabs")
+    def sizes(self) -> DataFrame:
+        return self._query("SELECT source, name AS table_name, n AS row_count FROM tabs")
 
 
 def history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Headers, tables and columns of one snapshot per user and week."""
-    headers = _from(spark, sf, HISTORY, "SELECT snapshot_id, source_path, captured_at FROM headers")
+    def part(query: str) -> DataFrame:
+        return spark.sql(f"WITH {HISTORY} {query}", events=load(spark, sf, "events")["events"])
+
+    headers = part("SELECT snapshot_id, source_path, captured_at FROM headers")
     return (settle(headers.withColumn("source_key", source_key(F.col("source_path")))),
-            settle(_from(spark, sf, HISTORY, "SELECT * FROM stabs")),
-            settle(_from(spark, sf, HISTORY, "SELECT * FROM scols")))
+            settle(part("SELECT * FROM stabs")), settle(part("SELECT * FROM scols")))

@@ -54,9 +54,10 @@ def catalog_of_tables(spark, sf):
                     "foreign_key_references", "row_count"))
 
 
-def _estate(spark, sf):
-    keys = inputs.estate_keys(spark, sf)
-    return keys, catalog.catalog_columns(inputs.estate_fields(spark, sf), keys)
+def _estate(spark, sf, estate: inputs.Estate | None = None):
+    estate = estate or inputs.Estate(spark, sf)
+    keys = estate.keys()
+    return keys, catalog.catalog_columns(estate.fields(), keys)
 
 
 @query
@@ -260,7 +261,7 @@ def er_diagram(spark, sf):
 
 @query
 def pii_by_name(spark, sf):
-    columns = inputs.estate_fields(spark, sf).withColumn("is_foreign_key", F.lit(False))
+    columns = inputs.Estate(spark, sf).fields().withColumn("is_foreign_key", F.lit(False))
     return pii.by_name(columns).select("source", "table_name", "column_name", "pii_type", "confidence")
 
 
@@ -328,7 +329,7 @@ def findings_by_table(spark, sf):
 
 @query
 def schema_hash(spark, sf):
-    return versions.schema_hash(inputs.estate_fields(spark, sf))
+    return versions.schema_hash(inputs.Estate(spark, sf).fields())
 
 
 @query
@@ -450,21 +451,16 @@ def table_prompts(spark, sf):
     return dictionary.prompts(_dictionary(spark, sf)).select("table_name", "prompt")
 
 
-def _estate_profiles(spark, sf) -> DataFrame:
-    """Table profiles of the derived databases: size from the events, a score from their column counts."""
-    sizes = inputs.estate_sizes(spark, sf)
-    _, columns = _estate(spark, sf)
+@query
+def fallback_summaries(spark, sf):
+    """Profiles of the derived databases: size from the events, a score from their column counts."""
+    estate = inputs.Estate(spark, sf)
+    _, columns = _estate(spark, sf, estate)
     width = columns.groupBy("source", "table_name").agg(F.count(F.lit(1)).alias("width"))
-    return sizes.join(width, ["source", "table_name"]).select(
+    profiles = estate.sizes().join(width, ["source", "table_name"]).select(
         "source", "table_name", (F.lit(1.0) / F.col("width")).alias("completeness_score"),
         (F.col("row_count") - 1).alias("duplicate_row_count"), (F.col("row_count") > 3).alias("has_data_quality_issues"))
-
-
-@query
-def fallback_summaries(spark, sf):
-    _, columns = _estate(spark, sf)
-    findings = pii.best_findings(pii.by_name(columns))
-    return summaries.fallback_tables(_estate_profiles(spark, sf), findings).select(
+    return summaries.fallback_tables(profiles, pii.best_findings(pii.by_name(columns))).select(
         "source", "table_name", "suggested_business_name", "data_quality_notes", "pii_warning")
 
 
@@ -513,10 +509,11 @@ def parse_response_columns(spark, sf):
 
 @query
 def reuse_summaries(spark, sf):
-    fields = inputs.estate_fields(spark, sf)
+    estate = inputs.Estate(spark, sf)
+    fields = estate.fields()
     tables = fields.select("source", "table_name").distinct()
     hashes = versions.schema_hash(fields)
-    stored = (inputs.estate_sizes(spark, sf).join(hashes, "source")
+    stored = (estate.sizes().join(hashes, "source")
               .select("source", "table_name", F.when(F.col("row_count") > 2, F.col("schema_hash"))
                       .otherwise(F.md5(F.lit("an older schema"))).alias("schema_hash")))
     return summaries.still_to_describe(tables, hashes, stored)
