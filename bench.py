@@ -22,7 +22,7 @@ def run(df) -> None:
 
 
 def full_profile(spark, sf):
-    """Every statistic of every column of every table: the work the reference does on a sample."""
+    """Every statistic of every column of every table, over all rows."""
     return profiling.column_profiles(inputs.load(spark, sf))
 
 

@@ -24,6 +24,23 @@ def local_session(cores: int = 8, name: str = "tablelore", shuffle_partitions: i
     )
 
 
+def cluster_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a session that profiles this much data.
+
+    The widest shuffle carries the distinct cells, at worst about as many bytes as the input; partitions are sized so that each fits in
+    a task's memory, and adaptive execution merges them where cells turn out to repeat.
+    """
+    partitions = min(max(input_bytes // partition_bytes, 200), 200_000)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for frames that are read back; a folder of our own only in a local session."""
     sc = spark.sparkContext

@@ -128,3 +128,11 @@ def test_document(spark, tmp_path):
     assert "  - email: null_rate=0.500, uniqueness_rate=0.250" in prompt and "  (none detected)" in prompt
     assert "  - email: EMAIL via rule_based (confidence=0.95)" in prompt
     d.release()
+
+
+def test_cluster_settings():
+    from tablelore.session import cluster_settings
+
+    assert cluster_settings(1 << 20)["spark.sql.shuffle.partitions"] == "200"
+    assert cluster_settings(10 << 40)["spark.sql.shuffle.partitions"] == str((10 << 40) // (256 << 20))
+    assert cluster_settings(100 << 40)["spark.sql.shuffle.partitions"] == "200000"
