@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelore.llm.common import fold
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -41,4 +43,22 @@ def op4_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return read_docs(spark, folder, crc32_of, "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids)}
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from tablelore.llm.byte_rnn import fit, predict
+
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
+    model = fit(docs.where("NOT held_out AND doc_id IS NOT NULL"))
+    return predict(docs.select("doc_id", "held_out", "text"), *model)
+
+
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from tablelore.llm.toxicity import fit, score
+
+    held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    docs = _table(spark, sf, "documents").select("doc_id", "text", held.alias("held_out"))
+    model = fit(docs.where("NOT held_out"), _table(spark, sf, "labels"))
+    return score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids, op5_language_id, op6_toxicity)}
