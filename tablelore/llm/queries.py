@@ -61,4 +61,14 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids, op5_language_id, op6_toxicity)}
+def op9_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from tablelore.llm.lattice_lm import score_texts
+
+    held = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    docs = _table(spark, sf, "documents").select("doc_id", held.alias("held_out"), "text")
+    return score_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids, op5_language_id, op6_toxicity, op9_lattice_score)}
