@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tablelore.llm.common import fold
 
+SHARD_BYTES = 16 << 20
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -71,4 +73,24 @@ def op9_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids, op5_language_id, op6_toxicity, op9_lattice_score)}
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from tablelore.llm.decontamination import leaks
+
+    return leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    from tablelore.llm.sharding import assign_shards
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return assign_shards(docs, SHARD_BYTES).drop("text")
+
+
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    from tablelore.llm.mixing import mix
+
+    return mix(_table(spark, sf, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids, op5_language_id, op6_toxicity,
+                                   op7_decontamination, op8_sharding, op9_lattice_score, op10_mixing)}
