@@ -86,7 +86,8 @@ def _leaks(docs: DataFrame, items: DataFrame, width: int, threshold: float, radi
     anchors = items.select("n", "s", F.posexplode("s").alias("at", "h")).select("n", "h", F.when(F.col("at") > 0, F.expr("s[at - 1]")).alias("before")).distinct()
     anchors = settle(anchors, "anchors")
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingles("w", width).alias("s"))
-    met = rows.select("doc_id", "s", F.posexplode("s").alias("pos", "h")).join(anchors, "h").where(~F.col("before").eqNullSafe(F.expr("case when pos > 0 then s[pos - 1] end")))
+    # (outer: for the plain one Spark tests the size of the array in the scan, and so makes all shingles once more for each of them)
+    met = rows.select("doc_id", "s", F.posexplode_outer("s").alias("pos", "h")).join(anchors, "h").where(~F.col("before").eqNullSafe(F.expr("case when pos > 0 then s[pos - 1] end")))
     first = F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0))
     last = F.least(F.col("pos") + 2 * F.col("n") - 2, F.size("s") - 1)
     runs = met.withColumn("first", first).withColumn("last", last).select("doc_id", "n", "first", F.expr("slice(s, first + 1, last - first + 1)").alias("near"))
