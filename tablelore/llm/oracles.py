@@ -4,7 +4,7 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 NGRAM_JACCARD = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
 e AS (SELECT doc_id, unnest(s) AS x FROM s),
 n AS (SELECT doc_id, len(s) AS n FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -14,10 +14,10 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.
 """
 
 DECONTAMINATION = r"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
-ds AS (SELECT doc_id, greatest(len(w) - 4, 0) AS m, unnest(range(0, greatest(len(w) - 4, 0))) AS p, unnest(list_transform(range(1, greatest(len(w) - 4, 0) + 1), i -> array_to_string(w[i:i + 4], ' '))) AS x FROM dw),
-s AS (SELECT item_id, greatest(len(w) - 4, 0) AS n, unnest(list_transform(range(1, greatest(len(w) - 4, 0) + 1), i -> array_to_string(w[i:i + 4], ' '))) AS x FROM iw),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, greatest(len(w) - 4, 0) AS m, unnest(range(0, greatest(len(w) - 4, 0))) AS p, unnest(list_transform(range(1, greatest(len(w) - 4, 0) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM dw),
+s AS (SELECT item_id, greatest(len(w) - 4, 0) AS n, unnest(list_transform(range(1, greatest(len(w) - 4, 0) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM iw),
 ic AS (SELECT item_id, n, x, count(*) AS k FROM s GROUP BY ALL),
 h AS (SELECT doc_id, item_id, m, n, least(m, n) AS z, p, x, k FROM ds JOIN ic USING (x)),
 st AS (SELECT DISTINCT doc_id, item_id, m, n, z, unnest(range(greatest(p - z + 1, 0), least(p, m - z) + 1)) AS a FROM h),
@@ -44,13 +44,13 @@ s2 AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY cap / weight, ord ROW
 s3 AS (SELECT *, cap / weight > lev AS free FROM s2),
 s4 AS (SELECT *, CASE WHEN free THEN (SELECT arg_min(lev, cap / weight) FROM s3 WHERE free) * weight ELSE cap END AS target FROM s3),
 b0 AS (SELECT greatest(1, least(1024, floor(sum(target) / (1024 * count(*)))))::BIGINT AS block, floor(sum(target) / greatest(1, least(1024, floor(sum(target) / (1024 * count(*))))) + 0.5) AS blocks FROM s4),
-q AS (SELECT ord, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, ord) AS at FROM s4, b0, range(0, 100000) r(i) WHERE target > 0 AND i <= 2 * blocks * target / whole + 20),
-s5 AS (SELECT s4.*, b0.block, (SELECT count(*) FROM q, b0 WHERE q.ord = s4.ord AND at <= blocks) AS won FROM s4, b0),
+q AS (SELECT ord, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, ord) AS nth FROM s4, b0, range(0, 100000) r(i) WHERE target > 0 AND i <= 2 * blocks * target / whole + 20),
+s5 AS (SELECT s4.*, b0.block, (SELECT count(*) FROM q, b0 WHERE q.ord = s4.ord AND nth <= blocks) AS won FROM s4, b0),
 d0 AS (SELECT z.*, s5.source_size, s5.target, s5.ord, s5.block, s5.won, z.h % greatest(ceil(s5.source_size / 1000000)::BIGINT, 1) AS shard FROM z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
 d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY ord, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d0 WHERE size > 0),
 t0 AS (SELECT ord, shard, sum(size)::BIGINT AS held, any_value(won) AS won, any_value(block) AS block FROM d GROUP BY 1, 2),
-tq AS (SELECT ord, shard, won, row_number() OVER (PARTITION BY ord ORDER BY held / (2 * i + 1) DESC, shard) AS at FROM t0, range(0, 100000) r(i) WHERE i <= won),
-t AS (SELECT t0.*, least((SELECT count(*) FROM tq WHERE tq.ord = t0.ord AND tq.shard = t0.shard AND tq.at <= tq.won) * block, 2 * held) AS wanted FROM t0),
+tq AS (SELECT ord, shard, won, row_number() OVER (PARTITION BY ord ORDER BY held / (2 * i + 1) DESC, shard) AS nth FROM t0, range(0, 100000) r(i) WHERE i <= won),
+t AS (SELECT t0.*, least((SELECT count(*) FROM tq WHERE tq.ord = t0.ord AND tq.shard = t0.shard AND tq.nth <= tq.won) * block, 2 * held) AS wanted FROM t0),
 t2 AS (SELECT *, wanted // held AS passes, wanted % held AS rest FROM t),
 k0 AS (SELECT ord, shard, block, rest, i, least(block, held - i * block) AS words, ('0x' || substr(md5('17|' || ord || '|' || shard || '|' || i), 1, 15))::BIGINT AS r FROM t2, range(0, 100000) g(i) WHERE rest > 0 AND i * block < held),
 k AS (SELECT *, least(words, rest - coalesce(sum(words) OVER (PARTITION BY ord, shard ORDER BY r, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS part FROM k0),
