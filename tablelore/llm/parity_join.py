@@ -85,19 +85,17 @@ def _id_filter(ids: DataFrame) -> bytes:
     """A bit for each id modulo FILTER_BITS: a prefilter of fixed size that lets every listed id through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages: dict[int, np.ndarray] = {}
+        held: dict[int, int] = {}
         for batch in batches:
             at = (mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-            for page in np.unique(at >> 15):
-                bits = pages.setdefault(int(page), np.zeros(1 << 15, np.uint8))
-                bits[at[at >> 15 == page] & 0x7FFF] = 1
-        packed = [np.packbits(x, bitorder="little").view(np.int64) for x in pages.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array(packed, pa.list_(pa.int64()))], names=["page", "bits"])
+            for word, bit in zip((at >> 6).tolist(), (at & 63).tolist(), strict=True):
+                held[word] = held.get(word, 0) | 1 << bit
+        values = np.array(list(held.values()), np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(values)], names=["at", "word"])
 
-    words = ids.mapInArrow(run, "page long, bits array<long>").select("page", F.posexplode("bits").alias("at", "word")).where("word <> 0")
     whole = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words.groupBy("page", "at").agg(F.bit_or("word").alias("word")).toPandas().itertuples():
-        whole[row.page * 512 + row.at] = row.word
+    for row in ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas().itertuples():
+        whole[row.at] = row.word
     return whole.tobytes()
 
 
