@@ -1,8 +1,8 @@
 """Benchmark decontamination in DataFrame operations only: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 A window as long as an item is similar to it only if they share a shingle, so windows are formed where a document's shingles meet
-those of an item: every window of the item's size around such a place. A window's SimHash comes from running sums of packed bit counts: 16
-longs with four 16-bit lanes each, so a window costs two rows. Fingerprints are cut into radius + 1 blocks; two fingerprints
+those of an item: every window of the item's size around such a place. A window's SimHash comes from running sums of packed bit counts, 16
+longs with four 16-bit lanes each, so items may have up to 10,000 words. Fingerprints are cut into radius + 1 blocks; two fingerprints
 within the radius agree in one of them, so the join over blocks finds all. What it finds is verified by the weighted Jaccard similarity of the two bags of shingles.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablelore.llm.common import settle
 
@@ -93,15 +92,12 @@ def _leaks(docs: DataFrame, items: DataFrame, width: int, threshold: float, radi
     runs = met.withColumn("first", first).withColumn("last", last).select("doc_id", "n", "first", F.expr("slice(s, first + 1, last - first + 1)").alias("near"))
     runs = settle(runs.distinct().withColumn("run", F.monotonically_increasing_id()), "runs")
 
-    # Running sums of the lanes over each run; a run is shorter than three items.
-    spots = runs.select("run", "n", F.size("near").alias("m"), F.posexplode("near").alias("at", "h"))
-    upto = Window.partitionBy("run").orderBy("at")
-    sums = settle(spots.select("run", "n", "m", "at", *_lanes("h")).select("run", "n", "m", "at", *(F.sum(f"l{k}").over(upto).alias(f"l{k}") for k in range(LANES))), "sums")
-    size = F.least("n", "m")
-    ends = sums.where(F.col("at") >= size - 1).select("run", "n", size.alias("z"), (F.col("at") - size).alias("at"), *(F.col(f"l{k}").alias(f"e{k}") for k in range(LANES)))
-    begins = sums.select("run", "at", *(f"l{k}" for k in range(LANES)))
-    windows = ends.join(begins, ["run", "at"], "left").select("run", "n", "z", (F.col("at") + 1).alias("at"), *((F.col(f"e{k}") - F.coalesce(f"l{k}", F.lit(0))).alias(f"l{k}") for k in range(LANES)))
-    windows = windows.where(F.col("z") >= F.col("n") * threshold).select("run", "n", "z", "at", _fingerprint(F.col("z")).alias("fp"))
+    # Running sums of the lanes over each run, which is shorter than three items; a window is the difference of two of them, in the same row.
+    sums = [F.expr(f"aggregate(near, array(0L), (p, h) -> concat(p, array(element_at(p, -1) + (shiftrightunsigned(h, {k}) & {LANE}L)))) AS p{k}") for k in range(LANES)]
+    spread = runs.select("run", "n", F.least("n", F.size("near")).alias("z"), F.size("near").alias("m"), *sums).where(F.col("z") >= F.col("n") * threshold)
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("z"))).alias("at"))
+    windows = spread.select("run", "n", "z", "at", *((F.expr(f"p{k}[at + z]") - F.expr(f"p{k}[at]")).alias(f"l{k}") for k in range(LANES)))
+    windows = windows.select("run", "n", "z", "at", _fingerprint(F.col("z")).alias("fp"))
 
     probes = windows.select("*", _blocks(radius).alias("b")).select("run", "n", "z", "at", "fp", "b.*")
     near = probes.join(index, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
