@@ -8,6 +8,8 @@ within the radius agree in one of them, so the join over blocks finds all. What
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,10 @@ def _lanes(h: str) -> list[Column]:
 
 
 def _fingerprint(weight: Column) -> Column:
-    """The bits that more than half of the weight sets, from the lane sums l0 to l15."""
-    out = F.lit(0).cast("long")
-    for bit in range(64):
-        count = F.shiftrightunsigned(F.col(f"l{bit % 16}"), bit // 16 * 16).bitwiseAND(F.lit(0xFFFF))
-        out = out.bitwiseOR(F.shiftleft(F.when(count * 2 > weight, F.lit(1)).otherwise(F.lit(0)).cast("long"), bit))
-    return out
+    """The bits that more than half of the weight sets, from the lane sums l0 to l15: a lane of 2 * sum + 16383 - weight has bit 14 just then."""
+    lift = (F.lit(16383) - weight).cast("long") * F.lit(LANE)
+    marks = [F.shiftleft(F.shiftrightunsigned(F.col(f"l{k}") * 2 + lift, 14).bitwiseAND(F.lit(LANE)), k) for k in range(LANES)]
+    return reduce(lambda x, y: x.bitwiseOR(y), marks)
 
 
 def _blocks(radius: int) -> Column:
