@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablelore.llm.common import settle
 
 LANES, LANE = 16, 0x0001000100010001
+FILES = 16  # of the tables made from the benchmark, which is small beside the documents
 
 
 def words(text: Column) -> Column:
@@ -79,17 +80,21 @@ def _leaks(docs: DataFrame, items: DataFrame, width: int, threshold: float, radi
     items = settle(items.select("item_id", shingles("w", width).alias("s")).withColumn("n", F.size("s")), "item-shingles")
     lanes = items.select("item_id", "n", F.explode("s").alias("h")).groupBy("item_id", "n").agg(*(F.sum(c).alias(f"l{k}") for k, c in enumerate(_lanes("h"))))
     marks = settle(lanes.select("item_id", "n", _fingerprint(F.col("n")).alias("fp")), "item-marks")
-    index = settle(marks.select("*", _blocks(radius).alias("b")).select("item_id", "n", F.col("fp").alias("item_fp"), "b.*"), "item-blocks")
+    index = settle(marks.select("*", _blocks(radius).alias("b")).select("item_id", "n", F.col("fp").alias("item_fp"), "b.*").coalesce(FILES), "item-blocks")
 
     # Where a run of shared shingles begins: the shingle is an item's, the one before is not the item's one before. One row a size of item is enough.
     anchors = items.select("n", "s", F.posexplode("s").alias("at", "h")).select("n", "h", F.when(F.col("at") > 0, F.expr("s[at - 1]")).alias("before")).distinct()
-    anchors = settle(anchors, "anchors")
+    anchors = settle(anchors.coalesce(FILES), "anchors")
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingles("w", width).alias("s"))
-    # (outer: for the plain one Spark tests the size of the array in the scan, and so makes all shingles once more for each of them)
-    met = rows.select("doc_id", "s", F.posexplode_outer("s").alias("pos", "h")).join(anchors, "h").where(~F.col("before").eqNullSafe(F.expr("case when pos > 0 then s[pos - 1] end")))
-    first = F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0))
-    last = F.least(F.col("pos") + 2 * F.col("n") - 2, F.size("s") - 1)
-    runs = met.withColumn("first", first).withColumn("last", last).select("doc_id", "n", "first", F.expr("slice(s, first + 1, last - first + 1)").alias("near"))
+    # Outer: for the plain one Spark tests the size of the array in the scan, and so makes all shingles once more for each of them. What meets the
+    # anchors is narrow, so that a benchmark too large to be broadcast costs a shuffle of places, not of texts.
+    spots = rows.select("doc_id", "s", F.posexplode_outer("s").alias("pos", "h")).select("doc_id", "pos", "h", F.expr("case when pos > 0 then s[pos - 1] end").alias("prev"))
+    starts = spots.join(anchors, "h").where(~F.col("before").eqNullSafe(F.col("prev"))).groupBy("doc_id", "n").agg(F.collect_set("pos").alias("at"))
+    starts = settle(starts, "starts")
+    rows = docs.join(starts, "doc_id").select("doc_id", "n", "at", words(F.col("text")).alias("w")).select("doc_id", "n", "at", shingles("w", width).alias("s"))
+    near = rows.select("doc_id", "n", "s", F.explode_outer("at").alias("pos"))
+    near = near.withColumn("first", F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0))).withColumn("last", F.least(F.col("pos") + 2 * F.col("n") - 2, F.size("s") - 1))
+    runs = near.where("last >= first").select("doc_id", "n", "first", F.expr("slice(s, first + 1, last - first + 1)").alias("near"))
     runs = settle(runs.distinct().withColumn("run", F.monotonically_increasing_id()), "runs")
 
     # Running sums of the lanes over each run, which is shorter than three items; a window is the difference of two of them, in the same row.
