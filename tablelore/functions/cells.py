@@ -14,11 +14,16 @@ NULL_TOKENS = (
 TIMESTAMP_FORMATS = (
     "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
     "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
     "yyyy-MM-dd",
     "yyyy/MM/dd",
     "MM/dd/yyyy HH:mm:ss",
     "MM/dd/yyyy",
+    "dd/MM/yyyy HH:mm:ss",
+    "dd/MM/yyyy",
     "dd-MM-yyyy",
     "dd MMM yyyy",
     "yyyyMMdd",

@@ -100,6 +100,8 @@ def _column_cell(ordinal: int, field: T.StructField) -> str:
     kind, c = field.dataType, _name(field)
     if isinstance(kind, T.IntegralType):
         return _cell(ordinal, long=c)
+    if isinstance(kind, T.FloatType):  # by its shortest digits, so that samples show them; 0.0 and -0.0 are one value
+        return _cell(ordinal, double=f"CAST(CAST({_present(field)} AS STRING) AS DOUBLE) + 0.0D")
     if isinstance(kind, T.DoubleType):
         return _cell(ordinal, double=_present(field))
     if isinstance(kind, T.BinaryType):

@@ -30,7 +30,7 @@ def cluster_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict
     The widest shuffle carries the distinct cells, at worst about as many bytes as the input; partitions are sized so that each fits in
     a task's memory, and adaptive execution merges them where cells turn out to repeat.
     """
-    partitions = min(max(input_bytes // partition_bytes, 200), 200_000)
+    partitions = max(input_bytes // partition_bytes, 200)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

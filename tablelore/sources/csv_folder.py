@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -113,14 +114,15 @@ def load_csv_folder(spark: SparkSession, folder: str) -> CsvFolder:
                    if s.isFile() and s.getPath().getName().endswith(".csv"))
     if not files:
         raise ValueError(f"no .csv files in {folder}")
-    layout = {r.file_path.split("/")[-1]: r for r in file_layout(spark, folder).collect()}  # one row per file
+    layout = {unquote(r.file_path.split("/")[-1]): r for r in file_layout(spark, folder).collect()}  # one row per file; Spark writes its paths URL-encoded
     out = CsvFolder()
     for f in files:
         stem = f.split("/")[-1]
-        found = next((r for k, r in layout.items() if k in (stem, stem.replace(" ", "%20"))), None)
         name = stem[:-len(".csv")]
         try:
-            out.tables[name] = load_table(spark, f, found.delimiter if found else ",", found.multi_line if found else False)
+            if stem not in layout:
+                raise ValueError("its layout was not found")
+            out.tables[name] = load_table(spark, f, layout[stem].delimiter, layout[stem].multi_line)
         except Exception as e:  # noqa: BLE001  a bad file must not stop the others
             log.warning("skipped %s: %s", f, e)
             out.errors.append((f, str(e)))

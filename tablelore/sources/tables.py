@@ -108,10 +108,16 @@ def jdbc_keys(spark: SparkSession, url: str, source: str, properties: dict[str,
 
 def load_tables(spark: SparkSession, path: str, jdbc_tables: list[str] | None = None,
                 properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Tables of any supported input; the kind is taken from the path itself."""
+    """Tables of any supported input; the kind is taken from the path itself. A folder that holds Parquet and CSV gives both; two tables of one name are an error."""
     kind = detect_input_kind(spark, path)
     if kind is InputKind.CSV_FOLDER:
         return load_csv_folder(spark, path).tables
     if kind is InputKind.PARQUET_FOLDER:
-        return load_parquet_folder(spark, path)
+        tables = load_parquet_folder(spark, path)
+        if any(n.endswith(".csv") for n in _listing(spark, path.strip()) or []):
+            more = load_csv_folder(spark, path).tables
+            if both := sorted(tables.keys() & more.keys()):
+                raise ValueError(f"Parquet and CSV tables of the same name: {', '.join(both)}")
+            tables |= more
+        return tables
     return load_jdbc(spark, jdbc_url(path.strip(), kind), jdbc_tables or [], properties)

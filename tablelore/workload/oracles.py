@@ -538,7 +538,7 @@ ORACLES["column_dictionary"] = (
 
 ORACLES["fallback_column_notes"] = (
     f"SELECT table_name, column_name, CASE WHEN null_count > 0 THEN CAST(round_even(100 * CAST(null_count AS DOUBLE) / total_rows, 0) "
-    f"AS INT) || '% null rate in sample — may be optional or sparse' END AS data_notes FROM ({nulls(MIXED)})")
+    f"AS INT) || '% null rate — may be optional or sparse' END AS data_notes FROM ({nulls(MIXED)})")
 
 ORACLES["fallback_summaries"] = (
     f"{WITH_ESTATE}{FLAGGED}{NAMED}, "
@@ -548,7 +548,7 @@ ORACLES["fallback_summaries"] = (
     "ORDER BY column_name) AS pii_warning FROM named GROUP BY source, table_name) "
     "SELECT p.source, p.table_name, array_to_string([upper(left(x, 1)) || substr(x, 2) FOR x IN string_split(p.table_name, '_')], ' ') "
     "AS suggested_business_name, "
-    "printf('Completeness (sample avg): %.3f; duplicate rows in sample: %d; quality flag: %s', CAST(score AS DOUBLE), n - 1, "
+    "printf('Completeness (avg): %.3f; duplicate rows: %d; quality flag: %s', CAST(score AS DOUBLE), n - 1, "
     "CASE WHEN n > 3 THEN 'True' ELSE 'False' END) AS data_quality_notes, pii_warning "
     "FROM prof p LEFT JOIN warn w ON p.source = w.source AND p.table_name = w.table_name")
 

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from tablelore.functions import cells
 from tablelore.operators import catalog, cleaning, pii, profiling, relationships
 from tablelore.sources import csv_folder
 from tablelore.sources.tables import InputKind, detect_input_kind, jdbc_url, load_parquet_folder, load_tables
@@ -115,3 +116,23 @@ def test_shop_from_csv_end_to_end(spark, tmp_path):
     assert p["staffs", "manager_id"].null_count == 1 and p["staffs", "manager_id"].null_rate == 0.1
     named = {(r.table_name, r.column_name) for r in pii.by_name(columns).collect()}
     assert ("staffs", "active") not in named and ("stores", "zip_code") in named
+
+
+def test_odd_file_names_and_mixed_folders_load_whole(spark, tmp_path):
+    for name in ("q#1.csv", "caf%41.csv", "a b.csv", "é.csv", "plain.csv"):
+        (tmp_path / name).write_text("a;b\n1;x\n2;y\n")
+    got = csv_folder.load_csv_folder(spark, str(tmp_path))
+    assert not got.errors and {n: sorted(t.columns) for n, t in got.tables.items()} == {n: ["a", "b"] for n in ("q#1", "caf%41", "a b", "é", "plain")}
+    spark.range(3).write.parquet(str(tmp_path / "p.parquet"))
+    assert set(load_tables(spark, str(tmp_path))) == {"q#1", "caf%41", "a b", "é", "plain", "p"}
+
+
+def test_more_date_layouts(spark):
+    texts = ["2020-01-01T00:00:00Z", "2020-01-01T10:00", "31/12/2020", "2020-01-01 05:00:00+02:00", "never"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(cells.parse_timestamp(cells.ref("t")).cast("string").alias("d")).collect()
+    assert [r.d for r in rows] == ["2020-01-01 00:00:00", "2020-01-01 10:00:00", "2020-12-31 00:00:00", "2020-01-01 03:00:00", None]
+
+
+def test_float_zeros_are_one_value(spark):
+    table = spark.createDataFrame([(0.0,), (-0.0,), (0.1,)], "x float")
+    assert profiling.distinct_cells({"t": table}, rows=False).count() == 2
