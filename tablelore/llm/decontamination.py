@@ -89,7 +89,7 @@ def _leaks(docs: DataFrame, items: DataFrame, width: int, threshold: float, radi
     # Outer: for the plain one Spark tests the size of the array in the scan, and so makes all shingles once more for each of them. What meets the
     # anchors is narrow, so that a benchmark too large to be broadcast costs a shuffle of places, not of texts.
     spots = rows.select("doc_id", "s", F.posexplode_outer("s").alias("pos", "h")).select("doc_id", "pos", "h", F.expr("case when pos > 0 then s[pos - 1] end").alias("prev"))
-    starts = spots.join(anchors, "h").where(~F.col("before").eqNullSafe(F.col("prev"))).groupBy("doc_id", "n").agg(F.collect_set("pos").alias("at"))
+    starts = spots.join(anchors, "h").where(F.col("prev").isNull() | ~F.col("before").eqNullSafe(F.col("prev"))).groupBy("doc_id", "n").agg(F.collect_set("pos").alias("at"))
     starts = settle(starts, "starts")
     rows = docs.join(starts, "doc_id").select("doc_id", "n", "at", words(F.col("text")).alias("w")).select("doc_id", "n", "at", shingles("w", width).alias("s"))
     near = rows.select("doc_id", "n", "s", F.explode_outer("at").alias("pos"))
