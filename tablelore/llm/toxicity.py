@@ -37,8 +37,16 @@ def features_of(word: str) -> list[str]:
 
 
 def select(sets: list[set[str]], labels: np.ndarray, always: set[str], most: int, min_docs: int) -> dict[str, int]:
-    """Numbers of the features kept: those in `always`, and the `most` of highest chi-square (ties by name) that min_docs documents have."""
-    seen, toxic = Counter(f for s in sets for f in s), Counter(f for s, y in zip(sets, labels, strict=True) if y for f in s)
+    """From the word sets of documents, numbers of the features kept: those in `always`, and the `most` of highest chi-square (ties by name) that min_docs documents have."""
+    words = Counter(w for s in sets for w in s)
+    frequent = {w for w, n in words.items() if n >= min_docs}
+    del words
+    seen, toxic = Counter(), Counter()
+    for s, y in zip(sets, labels, strict=True):
+        own = {f for w in s for f in features_of(w)[w not in frequent :]}  # a rare word counts by its beginnings alone
+        seen.update(own)
+        if y:
+            toxic.update(own)
     names = sorted(f for f, n in seen.items() if n >= min_docs)
     n, a = np.array([seen[f] for f in names], float), np.array([toxic[f] for f in names], float)
     total, ones = len(sets), float(labels.sum())
@@ -70,14 +78,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_words(texts: list[set[str]], labels: np.ndarray, sentences: list[set[str]] = (), terms: tuple[str, ...] = IDENTITY_TERMS, penalty: float = 4.0,
               features: int = 3000, sparsity: float = 4e-4, min_docs: int = 3, steps: int = 400, swaps: int = 4, seed: int = 11) -> tuple[float, dict[str, float]]:
     """(bias, weight of each feature that has one). sentences: word sets of labelled sentences; those with a group term are swapped. One label only: no weights."""
-    sets = [{f for w in t for f in features_of(w)} for t in texts]
-    vocabulary = select(sets, labels, {"=" + t for t in terms}, features, min_docs) if len(set(labels.tolist())) > 1 else {}
+    vocabulary = select(texts, labels, {"=" + t for t in terms}, features, min_docs) if len(set(labels.tolist())) > 1 else {}
     if not vocabulary:
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99))
         return float(np.log(share / (1 - share))), {}
     index = lambda t: sorted({vocabulary[f] for w in t for f in features_of(w) if f in vocabulary})
-    x = _Rows([[vocabulary[f] for f in s if f in vocabulary] for s in sets], len(vocabulary))
-    del sets
+    x = _Rows([index(t) for t in texts], len(vocabulary))
     rng, known = np.random.RandomState(seed), sorted(set(terms))
     before, after = [], []
     for s in sentences:
@@ -108,7 +114,7 @@ def fit_words(texts: list[set[str]], labels: np.ndarray, sentences: list[set[str
     return float(c), {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 4000, terms: tuple[str, ...] = IDENTITY_TERMS) -> tuple[float, dict[str, float]]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 2000, terms: tuple[str, ...] = IDENTITY_TERMS) -> tuple[float, dict[str, float]]:
     """A model from a bounded sample: docs_per_label documents of each label, by smallest hash of the id. Null ids, labels and texts teach nothing; of two labels of one document the larger counts."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")))
