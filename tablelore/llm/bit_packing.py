@@ -22,7 +22,8 @@ from pyspark.sql.window import Window
 from tablelore.llm.common import as_bytes, in_chunks, scratch_path
 
 BLOCK = 1 << 14
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
+MARK, TOGETHER = " \x01 ", 256
 
 
 def width_of(vocabulary: int) -> int:
@@ -65,7 +66,8 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
 class WordEncoder:
     """A tokenizer that drops white space, asked once a word: no token of it reaches over blanks, so a text's ids are its words' ids.
 
-    Keeps the ids of the first KEPT_WORDS words it meets; others are encoded again where they come up.
+    Keeps the ids of the first KEPT_WORDS words it meets; others are encoded again where they come up. New words are encoded many to a
+    call, with MARK between them; where a word's own ids hold MARK's, the words of that call are encoded one by one.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -75,6 +77,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.mark = self._ids([MARK.strip()])[0]
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -82,17 +85,30 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word, as bytes."""
+        texts = [w.decode("utf-8") for w in words]
+        groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        for group, ids in zip(groups, self._ids([MARK.join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
+            if len(at) == len(group) - 1:
+                raw = ids.tobytes()
+                yield from (raw[4 * a : 4 * b] for a, b in zip([0, *(i + 1 for i in at)], [*at, len(ids)], strict=True))
+            else:
+                yield from (x.tobytes() for x in self._ids(group))
+
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         split = [x.split() for x in texts]  # bytes split at \x20 and \x09-\x0D
         fresh = list(set().union(*split).difference(self.known))
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-        here = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, got, strict=True)}
-        room = KEPT_WORDS - len(self.known)
-        if room > 0:
-            self.known.update(list(here.items())[:room])
-        known = self.known
+        room = max(0, KEPT_WORDS - len(self.known))
+        self.known.update(zip(fresh, self._words(fresh), strict=True))
         for words in split:
-            yield np.frombuffer(b"".join([known.get(w) or here.get(w, b"") for w in words]), "<u4")
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        for word in fresh[room:]:
+            del self.known[word]
 
 
 def _encoded(path: str, end_id: int, width: int):
