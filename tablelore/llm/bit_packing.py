@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, filterfalse
 from math import gcd
 
 import numpy as np
@@ -102,7 +103,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         split = [x.split() for x in texts]  # bytes split at \x20 and \x09-\x0D
-        fresh = list(set().union(*split).difference(self.known))
+        fresh = list(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
         room = max(0, KEPT_WORDS - len(self.known))
         self.known.update(zip(fresh, self._words(fresh), strict=True))
         for words in split:
