@@ -144,7 +144,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     x, y = sketches.alias("x"), sketches.alias("y")
     near = star.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & (F.col("x.octave") == F.col("y.octave")))
     tested = settle(near.where(_close(t)).select("a", "b").distinct(), "pairs")
-    heads = whole.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("head"))
+    heads = settle(whole.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("head")), "heads")  # a table of its own, so that adaptive execution splits the joins at a set with many copies
     held = whole.join(heads, ["n", "f", "g"]).select("id", "head")
     repeated = held.groupBy("id").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo < hi").select("id")
     links = settle(_verified(docs, tested, width, t).union(held.join(repeated, "id", "left_semi")), "links")
