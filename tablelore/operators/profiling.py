@@ -8,7 +8,7 @@ shuffle, so a value that fills a third of a column costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablelore.functions import cells
 from tablelore.operators.catalog import table_names, union_all
@@ -240,9 +240,15 @@ def table_sizes(ranges: DataFrame) -> DataFrame:
         F.bool_or(F.col("null_rate") > NULL_RATE_LIMIT).alias("has_sparse_column"))
 
 
+TABLE_PROFILE_SCHEMA = """table_name string, total_rows long, total_columns long, completeness_score double,
+    duplicate_row_count long, has_data_quality_issues boolean"""
+
+
 def table_profiles(tables: dict[str, DataFrame], ranges: DataFrame | None = None,
                    counts: DataFrame | None = None) -> DataFrame:
-    """Rows, completeness, duplicate rows and the quality flag of every table."""
+    """Rows, completeness, duplicate rows and the quality flag of every table; no tables give no rows."""
+    if not tables:
+        return SparkSession.active().createDataFrame([], TABLE_PROFILE_SCHEMA)
     ranges = column_ranges(tables) if ranges is None else ranges
     counts = distinct_counts(distinct_cells(tables, columns=False)) if counts is None else counts
     distinct_rows = counts.filter(F.col("ordinal") == ROW).select("table_name", F.col("unique_count").alias("distinct_rows"))

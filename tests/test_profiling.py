@@ -130,3 +130,8 @@ def test_quality_issues_and_report(spark):
     assert [(i.table_name, [x.column_name for x in i.top_null_columns]) for i in issues] == [("t", ["a", "b", "c"])]
     r = {x.table_name: x for x in views.table_report(P.table_sizes(ranges)).collect()}
     assert (r["t"].completeness_pct, r["t"].completeness_class) == (50.0, "bad") and r["fine"].completeness_class == "good"
+
+
+def test_no_tables_are_complete(spark):
+    found = P.database_profile(P.table_profiles({})).first()
+    assert (found.total_tables, found.overall_completeness) == (0, 1.0)
