@@ -239,6 +239,19 @@ def test_toxicity(spark):
     assert toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))[1] == {}
 
 
+def test_labels_without_a_training_text_use_up_no_sample(spark):
+    rng = np.random.RandomState(8)
+    rows = [(i, " ".join(["".join(rng.choice(list("abcde"), 3)) for _ in range(20)] + ["zzbad", "women."] * (i % 2))) for i in range(80)]
+    docs = documents(spark, rows + rows[:9] + [(i, None) for i in range(100, 400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(80), *range(100, 3000)]], "doc_id long, toxic int")
+    bias, weights = toxicity.fit(docs, labels, docs_per_label=40)
+    sets, y = [toxicity.words_of(t) for _, t in rows], np.array([float(i % 2) for i, _ in rows])
+    want = toxicity.fit_words(sets, y, [toxicity.words_of(x) for _, t in rows for x in t.split(".")])
+    assert np.isclose(bias, want[0]) and weights.keys() == want[1].keys() and all(np.isclose(weights[f], want[1][f]) for f in weights) and weights["=zzbad"] > 0
+    few = toxicity.fit(docs, labels, docs_per_label=10)
+    assert few[1] and few[1].keys() != weights.keys()
+
+
 def leaks_by_force(docs, items, width=5):
     words = lambda x: [w for w in regex.split(r"[^\p{L}\p{N}]+", (x or "").lower()) if w]
     out = {}
