@@ -33,7 +33,7 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_trees(spark, format_trees(rows))
+    return read_trees(spark, format_trees(rows, paths=False))
 
 
 def op4_token_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -150,6 +150,32 @@ def test_chat_round_trip_and_intervals(spark, tmp_path):
     assert chat_tree.read_trees(spark, chat_tree.format_trees(df.limit(0), str(tmp_path / "none"))).count() == 0
 
 
+def test_chat_of_one_long_conversation_and_many_branches(spark, tmp_path):
+    rng = np.random.RandomState(9)
+    rows = [(1, i, "user", f"t{i}") for i in range(6000)]
+    for c in range(2, 120):  # most branch off the long one, some off a branch
+        own = [*range(min(rng.geometric(0.05), 300))]
+        rows += [(c, i, "user", f"t{i}" if i < len(own) * 2 // 3 else f"u{i}-{rng.randint(3)}") for i in own]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    folder = chat_tree.format_trees(df, str(tmp_path / "chat"), paths=False)
+    got = {r.conv_id: r for r in chat_tree.read_trees(spark, folder).collect()}
+    assert got[1].n_turns == 6000 and got[1].turns_sha256 == hashlib.sha256("".join(f"user\nt{i}\n" for i in range(6000)).encode()).hexdigest()
+    nodes = {r.node: r for r in spark.read.parquet(f"{folder}/nodes").collect()}
+    assert max(len(n.attends) for n in nodes.values()) <= 8 and "path" not in next(iter(nodes.values())).asDict()
+    said = {c: tuple(x[3] for x in rows if x[0] == c) for c in range(2, 120)}
+    assert len(nodes) == 6000 + len({t[:k] for t in said.values() for k in range(1, len(t) + 1) if t[k - 1][0] == "u"})
+    for tree in {n.tree for n in nodes.values()}:
+        packed = "".join(n.text for n in sorted((n for n in nodes.values() if n.tree == tree), key=lambda n: n.start))
+        for n in nodes.values():
+            if n.tree == tree and n.depth < 400:
+                whole, at = n.text, n
+                while at.parent:
+                    at = nodes[at.parent]
+                    whole = at.text + whole
+                assert "".join(packed[a.start : a.end] for a in n.attends) == whole and n.position == len(whole) - len(n.text)
+                assert all(a.end < b.start for a, b in zip(n.attends, n.attends[1:]))
+
+
 def test_bit_packing():
     rng = np.random.RandomState(2)
     for width in range(1, 33):
