@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelore.functions import cells
 
-LONG_LIMIT = 9.2e18  # whole numbers beyond this stay floats
+LONG_LIMIT = 9.2e18  # floats beyond this stay floats
+EXACT_LIMIT = float(1 << 53)  # whole numbers below this are exact as doubles
+WHOLE_TEXT = r"^[+-]?[0-9]+([.]0*)?$"  # a whole number written out
+WIDE = "decimal(38,0)"
 
 
 def normal_name(name: str) -> str:
@@ -56,11 +59,17 @@ def type_flags(df: DataFrame) -> DataFrame:
         c = cells.ref(f.name)
         if isinstance(f.dataType, T.StringType):
             v = cells.number(c)
-            whole = (v % 1 == 0) & (F.abs(v) < LONG_LIMIT)
+            small, written = (v % 1 == 0) & (F.abs(v) < EXACT_LIMIT), c.rlike(WHOLE_TEXT)
+            wide = c.try_cast(WIDE)
+            # a number written out whole must come back from a double as it was, or the column may not be double
+            inexact = written & (F.abs(v) >= EXACT_LIMIT) & ~F.coalesce(v.try_cast(WIDE) == wide, F.lit(False))
             folds += [F.count(c).alias(f"n_{i}"), F.count(v).alias(f"num_{i}"),
-                      F.count_if(whole).alias(f"whole_{i}"), F.count_if(c.rlike(cells.BOOLEAN_TEXT)).alias(f"bool_{i}")]
+                      F.count_if(small | (written & wide.try_cast("bigint").isNotNull())).alias(f"whole_{i}"),
+                      F.count_if(small | (written & wide.isNotNull())).alias(f"wide_{i}"),
+                      F.count_if(inexact).alias(f"inexact_{i}"), F.count_if(c.rlike(cells.BOOLEAN_TEXT)).alias(f"bool_{i}")]
             n = F.col(f"n_{i}")
-            kind = (F.when(n == 0, "string").when(F.col(f"whole_{i}") == n, "bigint").when(F.col(f"num_{i}") == n, "double")
+            kind = (F.when(n == 0, "string").when(F.col(f"whole_{i}") == n, "bigint").when(F.col(f"wide_{i}") == n, WIDE)
+                    .when((F.col(f"num_{i}") == n) & (F.col(f"inexact_{i}") == 0), "double")
                     .when(F.col(f"bool_{i}") == n, "boolean").otherwise("string"))
         elif cells.is_float(f.dataType):
             v = cells.present(f)
@@ -80,8 +89,10 @@ def to_type(field: T.StructField, kind: str) -> Column:
     if kind == field.dataType.simpleString():
         return c
     if kind == "bigint":
-        return F.coalesce(c.try_cast("bigint"), cells.number(c).try_cast("bigint")) if isinstance(
+        return F.coalesce(c.try_cast("bigint"), c.try_cast(WIDE).try_cast("bigint"), cells.number(c).try_cast("bigint")) if isinstance(
             field.dataType, T.StringType) else cells.present(field).try_cast("bigint")
+    if kind == WIDE:
+        return F.coalesce(c.try_cast(WIDE), cells.number(c).try_cast(WIDE))
     if kind == "double":
         return cells.number(c)
     return c.try_cast(kind)
@@ -92,7 +103,9 @@ def apply_types(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """The table with each text column as long, double, boolean or string.
+    """The table with each text column as long, decimal(38,0), double, boolean or string.
+
+    Whole numbers too large for a long are decimals; where they do not fit either, or stand among fractions, the text stays: no type merges two values written out whole.
 
     The schema depends on the data, so one row per column comes to the driver before the casts are planned.
     """

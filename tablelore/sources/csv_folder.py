@@ -14,7 +14,7 @@ from tablelore.operators import cleaning
 log = logging.getLogger(__name__)
 
 DELIMITERS = (",", ";", "\t")
-STEADY = 0.9  # share of lines that must agree on the number of delimiters
+STEADY = 0.9  # where fewer lines agree on the number of delimiters and others occur too, the file is listed as doubtful
 OVERFLOW = "__beyond_header"
 
 
@@ -33,18 +33,19 @@ def table_name(file_name):
 
 
 def file_layout(spark: SparkSession, folder: str) -> DataFrame:
-    """Delimiter of each file, and whether a quoted line break makes it unsplittable: one pass over the text.
+    """Delimiter of each file, whether a quoted line break makes it unsplittable, and whether the delimiter is doubtful (with the share of lines that agree on it): one pass over the text.
 
-    Lines vote with their number of delimiters outside quotes; counts are added up before they are shuffled.
+    Lines vote with their number of delimiters outside quotes, those without any for none, which counts as a comma unless quotes hold line breaks; the most
+    votes win. Counts are added up before they are shuffled.
     """
     lines = (spark.read.option("pathGlobFilter", "*.csv").text(folder)
              .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value")
              .filter(~F.col("value").rlike(r"^\s*$")))
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    counts = F.array(*[
-        F.struct(F.lit(i).alias("place"), F.lit(d).alias("delimiter"),
-                 (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("n"))
-        for i, d in enumerate(DELIMITERS)])
+    number = {d: F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS}
+    none = (sum(number.values()) == 0).cast("int")  # a line with no delimiter votes once for a file of one column
+    counts = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(d).alias("delimiter"), n.alias("n"))
+                       for i, (d, n) in enumerate([*number.items(), ("", none)])])
     open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     per_count = (lines.select("file_path", "file_name", open_quote.alias("open_quote"), F.explode(counts).alias("c"))
                  .groupBy("file_path", "file_name", "c.place", "c.delimiter", "c.n")
@@ -54,11 +55,13 @@ def file_layout(spark: SparkSession, folder: str) -> DataFrame:
         F.max("open_quote").alias("multi_line"))
     share = F.coalesce(F.col("agreeing") / F.col("lines"), F.lit(0.0))
     best = Window.partitionBy("file_path", "file_name").orderBy(F.desc("share"), "place")
-    return (per_delimiter.withColumn("share", share).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-            .select("file_path", table_name(F.col("file_name")).alias("table_name"),
-                    F.when(F.col("share") >= STEADY, F.col("delimiter")).when(F.col("multi_line") & (F.col("share") > 0), F.col("delimiter"))
-                    .otherwise(",").alias("delimiter"), "multi_line")
-            .orderBy("file_path"))
+    votes = (per_delimiter.withColumn("share", share).filter("delimiter <> '' OR NOT multi_line")
+             .withColumn("rank", F.row_number().over(best)).withColumn("used", F.when((F.col("delimiter") == "") | (F.col("share") == 0), ",").otherwise(F.col("delimiter"))))
+    first = F.max_by(F.struct("used", "share", "multi_line"), -F.col("rank"))
+    found = votes.groupBy("file_path", "file_name").agg(first.alias("first"), F.collect_list(F.when((F.col("share") > 0) & (F.col("delimiter") != ""), F.col("delimiter"))).alias("seen"))
+    rival = F.exists("seen", lambda d: d != F.col("first.used"))
+    return found.select("file_path", table_name(F.col("file_name")).alias("table_name"), F.col("first.used").alias("delimiter"), F.col("first.multi_line").alias("multi_line"),
+                        F.col("first.share").alias("share"), ((F.col("first.share") < STEADY) & rival).alias("doubtful")).orderBy("file_path")
 
 
 def _header(raw: list[str | None]) -> list[str]:
@@ -104,7 +107,7 @@ def load_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line:
 
 
 def load_csv_folder(spark: SparkSession, folder: str) -> CsvFolder:
-    """Every CSV file directly under a folder. A bad file is skipped and listed under errors."""
+    """Every CSV file directly under a folder. A bad file is skipped and listed under errors; one whose delimiter is doubtful is loaded and listed there too."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -122,7 +125,11 @@ def load_csv_folder(spark: SparkSession, folder: str) -> CsvFolder:
         try:
             if stem not in layout:
                 raise ValueError("its layout was not found")
-            out.tables[name] = load_table(spark, f, layout[stem].delimiter, layout[stem].multi_line)
+            found = layout[stem]
+            out.tables[name] = load_table(spark, f, found.delimiter, found.multi_line)
+            if found.doubtful:
+                log.warning("doubtful delimiter in %s", f)
+                out.errors.append((f, f"loaded, but its delimiter {found.delimiter!r} is doubtful: {found.share:.0%} of the lines agree, and others occur"))
         except Exception as e:  # noqa: BLE001  a bad file must not stop the others
             log.warning("skipped %s: %s", f, e)
             out.errors.append((f, str(e)))

@@ -136,3 +136,28 @@ def test_more_date_layouts(spark):
 def test_float_zeros_are_one_value(spark):
     table = spark.createDataFrame([(0.0,), (-0.0,), (0.1,)], "x float")
     assert profiling.distinct_cells({"t": table}, rows=False).count() == 2
+
+
+def test_large_whole_numbers_stay_apart(spark):
+    rows = [("12345678901234567890", "12345678901234567890", "9007199254740993", "1" * 39, "9223372036854775807", "1e300", "9999999999999998"),
+            ("12345678901234567891", "12345678901234567891", "9007199254740992", "1" * 38 + "2", "-9223372036854775808", "2.5e20", "0.5"),
+            ("1e3", "0.5", "0.5", "7", "2.0", "3", "1")]
+    df = spark.createDataFrame(rows, "id string, mixed string, odd string, long string, edge string, real string, even string")
+    typed = cleaning.infer_types(df)
+    assert [t for _, t in typed.dtypes] == ["decimal(38,0)", "string", "string", "string", "bigint", "double", "double"]
+    assert all(typed.select(c).distinct().count() == 3 for c in typed.columns)
+    assert sorted(int(r.id) for r in typed.collect()) == [1000, 12345678901234567890, 12345678901234567891]
+    assert sorted(r.edge for r in typed.collect()) == [-(2**63), 2, 2**63 - 1]
+    ids = typed.select("id")
+    p = profiling.column_ranges({"t": ids}).first()
+    assert p.null_count == 0 and profiling.distinct_cells({"t": ids}, rows=False).count() == 3
+
+
+def test_delimiter_with_most_votes_is_taken_and_doubt_is_listed(spark, tmp_path):
+    (tmp_path / "semi.csv").write_text("a;b;c\n" + "1;x;y\n" * 7 + "2;x\n3;x\n4,0;x\n")
+    (tmp_path / "one.csv").write_text("note\nfoo\nbar\nbaz\n")
+    (tmp_path / "said.csv").write_text("note\nfoo\nbar; baz\n")
+    got = csv_folder.load_csv_folder(spark, str(tmp_path))
+    assert got.tables["semi"].columns == ["a", "b", "c"] and got.tables["semi"].count() == 4
+    assert got.tables["one"].columns == got.tables["said"].columns == ["note"] and got.tables["said"].count() == 2
+    assert sorted((f.split("/")[-1], "doubtful" in e) for f, e in got.errors) == [("said.csv", True), ("semi.csv", True)]
