@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 1024
+LEAST_BLOCKS = 16
 
 
 def draw(*parts: Column) -> Column:
@@ -64,7 +65,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null text has size 0 and nothing taken; null is a source of its own; a null id is an id like any other. Rows that repeat are all mixed. Of each
     source the mix takes a whole number of blocks, within one block of its target, and never more than two passes. A block has
-    BLOCK_WORDS words, fewer where the mean source's target is under 1024 blocks. An empty table gives no rows. Other columns are ignored. The same rows and seed give the
+    BLOCK_WORDS words, fewer where the mean source's target is under 1024 blocks. A source whose target has fewer than LEAST_BLOCKS of these has smaller blocks of
+    its own, at least one word each, and as many as come nearest to its target; the others share theirs by quotients. An empty table gives no rows. Other columns are ignored. The same rows and seed give the
     same result; documents of equal id and size in one source may stand for each other.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -72,8 +74,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     every = Window.partitionBy()
     block = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_WORDS)), F.floor(F.sum("target").over(every) / (1024 * F.count("*").over(every)))))
-    sources = sources.withColumn("block", block.cast("long")).withColumn("blocks", F.floor(F.sum("target").over(every) / F.col("block") + 0.5)).withColumn("one", F.lit(1))
-    sources = settle(sainte_lague(sources, ["one"], "target", "blocks", "ord").withColumnRenamed("quota", "won"), "sources")
+    own = F.greatest(F.lit(1), F.floor(F.col("target") / LEAST_BLOCKS)).cast("long")
+    sources = sources.withColumn("block", block.cast("long")).withColumn("small", (F.col("target") > 0) & (own < F.col("block")))
+    large = sources.where("NOT small").withColumn("blocks", F.floor(F.sum("target").over(every) / F.col("block") + 0.5)).withColumn("one", F.lit(1))
+    large = sainte_lague(large, ["one"], "target", "blocks", "ord").withColumnRenamed("quota", "won").drop("blocks", "one")
+    small = sources.where("small").withColumn("block", own).withColumn("won", F.floor(F.col("target") / F.col("block") + 0.5).cast("long"))
+    sources = settle(large.unionByName(small).drop("small"), "sources")
 
     docs = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("id", "size", F.col("d.source").alias("source"), "source_size", "target", "ord", "block", "won")
     order = draw(F.lit(seed), F.col("id"))

@@ -377,6 +377,14 @@ def test_quotas_equal_highest_quotients(spark):
         assert got == [sum(o == x for _, x in best) for o in range(len(weights))]
 
 
+def test_mix_takes_small_sources_beside_large_ones(spark):
+    rows = [(i, "w " * 2000, None, "a") for i in range(100)] + [(i, "few words are in this source", None, "z") for i in range(200, 203)]
+    got = mixing.mix(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.taken) for r in got if r.source == "z"} == {(i, 12) for i in range(200, 203)}
+    large = [r for r in got if r.source == "a"]
+    assert abs(sum(r.taken for r in large) - large[0].target) <= 146  # a block
+
+
 def test_mix(spark):
     rng = np.random.RandomState(10)
     rows = [(i, " ".join(prose(i, int(rng.randint(0, 80)))), "en", [None, "a", "b", "b", "c", "z"][i % 6]) for i in range(400)] + [(900, None, "en", "only"), (901, "w " * 20_000, "en", "a"), (5, "x y z", "en", "c")]
