@@ -90,9 +90,9 @@ def _hash_piece(piece: bytes) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit values of the words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased, in order. Long texts are cut between words."""
-    text = text.lower()
+def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
+    """64-bit values of the words [^\\x20\\x09-\\x0D]+ of a text, in order, A-Z lower-cased unless `lower` is false. Long texts are cut between words."""
+    text = text.lower() if lower else text
     if len(text) <= CHUNK:
         return _hash_piece(text)
     parts, at = [], 0

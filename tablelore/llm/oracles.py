@@ -60,4 +60,42 @@ SELECT d.doc_id, d.source, d.size, d.source_size, d.target, (t2.passes * d.size
 UNION ALL SELECT doc_id, source, size, source_size, target, 0 FROM d0 WHERE size = 0
 """
 
-ORACLES = {"op1_ngram_jaccard": NGRAM_JACCARD, "op7_decontamination": DECONTAMINATION, "op8_sharding": SHARDING, "op10_mixing": MIXING}
+PASSAGES = r"""
+WITH w AS (SELECT doc_id, text, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, unnest(range(1, greatest(len(w) - 48, 1))) AS b, unnest(list_transform(range(1, greatest(len(w) - 48, 1)), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS x FROM w),
+f AS (SELECT x, min(doc_id) AS first FROM p GROUP BY x HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT r, list(b ORDER BY b) AS bs FROM p JOIN f USING (x) WHERE first < doc_id GROUP BY r),
+c AS (SELECT r, list_distinct(flatten(list_transform(bs, lambda b: range(b, b + 50)))) AS gone FROM h),
+k AS (SELECT w.r, list(unnested.w ORDER BY unnested.i) FILTER (WHERE c.gone IS NULL OR NOT list_contains(c.gone, unnested.i)) AS kept
+    FROM w LEFT JOIN c USING (r), LATERAL (SELECT unnest(w.w) AS w, unnest(range(1, len(w.w) + 1)) AS i) unnested GROUP BY w.r)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(c.gone), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(k.kept, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN c USING (r) LEFT JOIN k USING (r)
+"""
+
+MERKLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source,
+    sha256(concat_ws('', ifnull(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), ifnull(strlen(source) || ':' || source, '-'), ifnull(strlen(lang) || ':' || lang, '-'), ifnull(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), ifnull(strlen(text) || ':' || text, '-'))) AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS told, lang, n_chars FROM documents),
+l AS (SELECT doc_id, source, leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    sha256(concat_ws('', ifnull(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), ifnull(strlen(source) || ':' || source, '-'), ifnull(strlen(lang) || ':' || lang, '-'), ifnull(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), ifnull(strlen(told) || ':' || told, '-'))) AS claimed FROM d),
+t AS (SELECT source, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY source) AS n FROM l
+    UNION ALL SELECT source, min(level) + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (min(n) + 15) // 16 FROM t WHERE n > 1 GROUP BY source, pos // 16),
+s AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS n FROM s
+    UNION ALL SELECT min(level) + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (min(n) + 15) // 16 FROM u WHERE n > 1 GROUP BY pos // 16),
+p AS (SELECT l.source, l.pos, 0 AS side, x.level, y.pos AS beside, y.node FROM l JOIN t x ON x.source IS NOT DISTINCT FROM l.source AND x.n > 1 AND x.pos = l.pos // (16 ** x.level)::BIGINT
+    JOIN t y ON y.source IS NOT DISTINCT FROM x.source AND y.level = x.level AND y.pos // 16 = x.pos // 16
+    UNION ALL SELECT s.source, NULL, 1, x.level, y.pos, y.node FROM s JOIN u x ON x.n > 1 AND x.pos = s.pos // (16 ** x.level)::BIGINT JOIN u y ON y.level = x.level AND y.pos // 16 = x.pos // 16),
+w AS (SELECT l.doc_id, l.source, l.pos, l.claimed, l.leaf, p.side, p.level, string_agg(node, '' ORDER BY beside) FILTER (WHERE beside < (CASE WHEN p.side = 0 THEN l.pos ELSE s.pos END) // (16 ** p.level)::BIGINT) AS a,
+    string_agg(node, '' ORDER BY beside) FILTER (WHERE beside > (CASE WHEN p.side = 0 THEN l.pos ELSE s.pos END) // (16 ** p.level)::BIGINT) AS b
+    FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN p ON p.source IS NOT DISTINCT FROM l.source AND (p.pos = l.pos OR p.side = 1) GROUP BY ALL),
+v AS (SELECT doc_id, source, pos, leaf, claimed, sha256(ifnull(string_agg(ifnull(a, '') || ifnull(b, ''), '' ORDER BY side, level), '')) AS proof_sha256,
+    list([ifnull(a, ''), ifnull(b, '')] ORDER BY side, level) FILTER (WHERE level IS NOT NULL) AS path FROM w GROUP BY ALL),
+f AS (SELECT v.*, CASE WHEN path IS NULL THEN claimed ELSE list_reduce(list_prepend([claimed, ''], path), lambda c, x: [sha256(x[1] || c[1] || x[2]), ''])[1] END AS folded_root FROM v)
+SELECT f.doc_id, f.leaf, s.subroot, r.node AS root, f.proof_sha256, f.folded_root, f.folded_root = r.node AS verified
+FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source CROSS JOIN (SELECT node FROM u WHERE n = 1) r
+"""
+
+ORACLES = {"op1_ngram_jaccard": NGRAM_JACCARD, "op7_decontamination": DECONTAMINATION, "op8_sharding": SHARDING, "op10_mixing": MIXING, "op12_passages": PASSAGES,
+           "op13_manifest": MERKLE}

@@ -92,5 +92,28 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(_table(spark, sf, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids, op5_language_id, op6_toxicity,
-                                   op7_decontamination, op8_sharding, op9_lattice_score, op10_mixing)}
+def op11_align(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from tablelore.llm.token_alignment import align, with_counts
+
+    aligned = align(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digests = aligned.withColumn("groups_sha256", F.coalesce(F.sha2("groups", 256), F.lit(""))).drop("groups")
+    return with_counts(digests).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_passages(spark: SparkSession, sf: str) -> DataFrame:
+    from tablelore.llm.passage_dedup import without_repeats
+
+    kept = without_repeats(_table(spark, sf, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from tablelore.llm.merkle import tampered_report
+
+    return tampered_report(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_nearest, op3_chat_format, op4_token_ids, op5_language_id, op6_toxicity, op7_decontamination,
+                                   op8_sharding, op9_lattice_score, op10_mixing, op11_align, op12_passages, op13_manifest)}
