@@ -10,23 +10,23 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Layouts tried, in order, when a text column is read as a date or time.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy",
-    "dd MMM yyyy",
-    "yyyyMMdd",
+CLOCK = "[[' ']['T']HH:mm[:ss[.SSSSSS]][' '][XXX][XX]]"
+
+# Layouts of a date or time, in the order they are tried: which of day and month comes first where both are numbers, what a
+# text looks like, the pattern it is read by.
+LAYOUTS = (
+    ("", r"^[0-9]{4}-[0-9]{1,2}-[0-9]", "yyyy-M-d" + CLOCK),
+    ("", r"^[0-9]{4}/[0-9]{1,2}/[0-9]", "yyyy/M/d" + CLOCK),
+    ("", r"^[0-9]{8}$", "yyyyMMdd"),
+    ("month", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "M/d/yyyy" + CLOCK),
+    ("day", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "d/M/yyyy" + CLOCK),
+    ("month", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "M-d-yyyy" + CLOCK),
+    ("day", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "d-M-yyyy" + CLOCK),
+    ("day", r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}", "d.M.yyyy" + CLOCK),
+    ("", r"^[0-9]{1,2}[ -][A-Za-z]{3}[ -][0-9]{4}", "d[ ][-]MMM[ ][-]yyyy" + CLOCK),
+    ("", r"^[0-9]{1,2} [A-Za-z]{3,} [0-9]{4}", "d MMMM yyyy" + CLOCK),
+    ("", r"^[A-Za-z]{3} [0-9]{1,2},? [0-9]{4}", "MMM d[,] yyyy" + CLOCK),
+    ("", r"^[A-Za-z]{3,} [0-9]{1,2},? [0-9]{4}", "MMMM d[,] yyyy" + CLOCK),
 )
 
 NUMBER_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -94,10 +94,27 @@ def null_tokens_to_null(c: Column) -> Column:
     return F.when(~c.isin(*NULL_TOKENS), c)
 
 
-def parse_timestamp(c: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
-    """First layout that fits; NULL when none does."""
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+def _read(c: Column, shape: str, pattern: str) -> Column:
+    return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
+
+
+def layout_mask(c: Column) -> Column:
+    """The layouts that fit a text, one bit each; 0 when none does."""
+    mask = F.lit(0)
+    for i, (_, shape, pattern) in enumerate(LAYOUTS):
+        mask = mask.bitwiseOR(F.when(_read(c, shape, pattern).isNotNull(), 1 << i).otherwise(0))
+    return mask
+
+
+def bits_of(order: str) -> int:
+    """The layouts of one order of day and month, as a mask."""
+    return sum(1 << i for i, (o, _, _) in enumerate(LAYOUTS) if o == order)
+
+
+def parse_timestamp(c: Column, day_first: bool = False) -> Column:
+    """The time a text names; NULL when it has no layout. Where day and month are numbers, only one order is read."""
+    other = "month" if day_first else "day"
+    return F.coalesce(*[_read(c, shape, pattern) for order, shape, pattern in LAYOUTS if order != other]).cast("timestamp_ntz")
 
 
 def is_number_text(c: Column) -> Column:

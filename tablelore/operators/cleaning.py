@@ -31,33 +31,100 @@ def is_time_name(name: str) -> bool:
     return "date" in name.lower() or "time" in name.lower()
 
 
+def is_time_text(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.StringType) and is_time_name(field.name)
+
+
 def _cleaned(field: T.StructField, parse_numeric_dates: bool) -> Column:
     c = cells.ref(field.name)
     if isinstance(field.dataType, T.StringType):
-        text = cells.strip(c)
-        return cells.parse_timestamp(text) if is_time_name(field.name) else cells.blank_to_null(text)
+        return cells.blank_to_null(cells.strip(c))
     if parse_numeric_dates and is_time_name(field.name) and cells.is_numeric(field.dataType):
         since = F.make_dt_interval(secs=(c.cast("decimal(38,0)") / 1_000_000_000).cast("decimal(18,6)"))  # it counts nanoseconds
         return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
     return c
 
 
-def clean_cells(df: DataFrame, parse_numeric_dates: bool = False) -> DataFrame:
-    """Trim texts, parse columns named like dates, turn blanks into NULL."""
+def clean_texts(df: DataFrame, parse_numeric_dates: bool = False) -> DataFrame:
+    """Trim texts, turn blanks into NULL; texts that name a time are left as they are."""
     return df.select(*[_cleaned(f, parse_numeric_dates).alias(f.name) for f in df.schema.fields])
 
 
+def parse_times(df: DataFrame, day_first: dict[str, bool]) -> DataFrame:
+    """The named text columns as times, each in its own order of day and month."""
+    return df.select(*[cells.parse_timestamp(cells.ref(c), day_first[c]).alias(c) if c in day_first else cells.ref(c) for c in df.columns])
+
+
+def _date_folds(i: int, c: Column) -> list[Column]:
+    """How many values fit which layouts: all there is to know of a column to choose one order for it."""
+    mask, month, day = F.col(f"mask_{i}"), cells.bits_of("month"), cells.bits_of("day")
+
+    def fits(bits: int) -> Column:
+        return F.count_if(mask.bitwiseAND(bits) != 0)
+
+    every = (1 << len(cells.LAYOUTS)) - 1
+    return [F.count(c).alias(f"n_{i}"), fits(month).alias(f"month_{i}"), fits(day).alias(f"day_{i}"), fits(every & ~day).alias(f"as_month_{i}"),
+            fits(every & ~month).alias(f"as_day_{i}"), F.bit_or(mask).alias(f"seen_{i}")]
+
+
+def _day_first(i: int) -> Column:
+    """More values read with the day first than with the month first; month first otherwise."""
+    return F.col(f"day_{i}") > F.col(f"month_{i}")
+
+
+def _with_masks(df: DataFrame) -> DataFrame:
+    masks = {f"mask_{i}": cells.layout_mask(cells.ref(f.name)) for i, f in enumerate(df.schema.fields) if is_time_text(f)}
+    return df.withColumns(masks) if masks else df
+
+
+def date_layouts(df: DataFrame) -> DataFrame:
+    """Per text column named like a date or time, from one pass: filled values, how many fit with the month and with the day first, the one
+    order the column is read in, the layouts seen (a bit each), values read, and values lost because they fit no layout of that order."""
+    folds, picks = [], []
+    for i, f in enumerate(df.schema.fields):
+        if is_time_text(f):
+            folds += _date_folds(i, cells.ref(f.name))
+            read = F.when(_day_first(i), F.col(f"as_day_{i}")).otherwise(F.col(f"as_month_{i}"))
+            picks.append(F.struct(F.lit(f.name).alias("column_name"), F.col(f"n_{i}").alias("filled"), F.col(f"month_{i}").alias("month_first_fits"),
+                                  F.col(f"day_{i}").alias("day_first_fits"), _day_first(i).alias("day_first"), F.coalesce(f"seen_{i}", F.lit(0)).alias("layouts"),
+                                  read.alias("parsed"), (F.col(f"n_{i}") - read).alias("lost")))
+    if not picks:
+        return df.sparkSession.createDataFrame([], "column_name string, filled long, month_first_fits long, day_first_fits long, day_first boolean, "
+                                                   "layouts int, parsed long, lost long")
+    return _with_masks(df).agg(*folds).select(F.inline(F.array(*picks)))
+
+
+def clean_cells(df: DataFrame, parse_numeric_dates: bool = False) -> DataFrame:
+    """Trim texts, parse columns named like dates, turn blanks into NULL.
+
+    A text column that names times is read with the day first or with the month first, never both: whichever fits more of its values. That is one
+    pass over such columns, and a row each to the driver. Values of the other order are lost; date_layouts counts them.
+    """
+    texts = clean_texts(df, parse_numeric_dates)
+    if not any(is_time_text(f) for f in df.schema.fields):
+        return texts
+    return parse_times(texts, {r.column_name: r.day_first for r in date_layouts(texts).collect()})
+
+
 def clean(df: DataFrame, parse_numeric_dates: bool = False) -> DataFrame:
     """Clean every cell, then drop rows that repeat."""
     return clean_cells(df, parse_numeric_dates).dropDuplicates()
 
 
-def type_flags(df: DataFrame) -> DataFrame:
-    """What the values of each column allow, and how many there are: one row per column, from one pass over the table."""
+def type_flags(df: DataFrame, dates: bool = False) -> DataFrame:
+    """What the values of each column allow, and how many there are: one row per column, from one pass over the table.
+
+    With `dates`, text columns that name times are timestamps, and day_first and lost are as in date_layouts; NULL for all other columns.
+    """
     folds, picks = [], []
     for i, f in enumerate(df.schema.fields):
         c = cells.ref(f.name)
-        if isinstance(f.dataType, T.StringType):
+        day_first, lost = F.lit(None).cast("boolean"), F.lit(None).cast("long")
+        if dates and is_time_text(f):
+            folds += _date_folds(i, c)
+            kind, day_first = F.lit("timestamp_ntz"), _day_first(i)
+            lost = F.col(f"n_{i}") - F.when(day_first, F.col(f"as_day_{i}")).otherwise(F.col(f"as_month_{i}"))
+        elif isinstance(f.dataType, T.StringType):
             v = cells.number(c)
             small, written = (v % 1 == 0) & (F.abs(v) < EXACT_LIMIT), c.rlike(WHOLE_TEXT)
             wide = c.try_cast(WIDE)
@@ -79,9 +146,9 @@ def type_flags(df: DataFrame) -> DataFrame:
         else:
             kind = F.lit(f.dataType.simpleString())
             folds.append(F.count(c).alias(f"n_{i}"))
-        picks.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
-                              kind.alias("inferred_type"), F.col(f"n_{i}").alias("filled")))
-    return df.agg(*folds).select(F.explode(F.array(*picks)).alias("c")).select("c.*")
+        picks.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"), kind.alias("inferred_type"),
+                              F.col(f"n_{i}").alias("filled"), day_first.alias("day_first"), lost.alias("lost")))
+    return (_with_masks(df) if dates else df).agg(*folds).select(F.explode(F.array(*picks)).alias("c")).select("c.*")
 
 
 def to_type(field: T.StructField, kind: str) -> Column:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import logging
+import re
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -10,22 +13,30 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from tablelore.functions import cells
 from tablelore.operators import cleaning
+from tablelore.session import shared_folder
 
 log = logging.getLogger(__name__)
 
 DELIMITERS = (",", ";", "\t")
 STEADY = 0.9  # where fewer lines agree on the number of delimiters and others occur too, the file is listed as doubtful
 OVERFLOW = "__beyond_header"
+AT_ONCE = 4  # files loaded at the same time; each is a few Spark jobs
 
 
 @dataclass
 class CsvFolder:
+    """Tables of a folder, the files skipped or doubtful, and how many values of a date column did not fit its layout."""
+
     tables: dict[str, DataFrame] = field(default_factory=dict)
     errors: list[tuple[str, str]] = field(default_factory=list)
+    lost: list[tuple[str, str, int]] = field(default_factory=list)
 
     def load_errors(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.errors, "file string, error string")
 
+    def lost_values(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.lost, "file string, column_name string, lost long")
+
 
 def table_name(file_name):
     """File stem, as a column expression."""
@@ -89,25 +100,34 @@ def read_raw(spark: SparkSession, path: str, delimiter: str, multi_line: bool) -
     return reader.schema(schema).csv(path, header=True)
 
 
-def load_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True) -> DataFrame:
-    """One file, cleaned and typed. A row with more fields than the header fails the file.
+def load_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True, store: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """One file, cleaned and typed, and the values lost per date column. A row with more fields than the header fails the file.
 
-    Types and over-long rows are found in one pass. It runs before repeated rows are dropped, which changes neither,
-    so rows are shuffled only when the table itself is read.
+    Types, the order of day and month, and over-long rows are found in one pass. It runs before repeated rows are dropped, which changes none of
+    them. The typed rows are written to `store` as Parquet once, so the text is not parsed and its rows are not compared again.
     """
     raw = read_raw(spark, path, delimiter, multi_line)
     columns = [c for c in raw.columns if c != OVERFLOW]
     beyond = F.when(cells.ref(OVERFLOW).isNotNull(), "x").alias(OVERFLOW)
-    texts = cleaning.clean_cells(raw.select(*[cells.null_tokens_to_null(cells.ref(c)).alias(c) for c in columns], beyond))
-    flags = {r.column_name: r for r in cleaning.type_flags(texts).collect()}  # one row per column
+    texts = cleaning.clean_texts(raw.select(*[cells.null_tokens_to_null(cells.ref(c)).alias(c) for c in columns], beyond))
+    flags = {r.column_name: r for r in cleaning.type_flags(texts, dates=True).collect()}  # one row per column
     if flags[OVERFLOW].filled:
         raise ValueError(f"{flags[OVERFLOW].filled} row(s) have more fields than the header")
-    rows = texts.drop(OVERFLOW).dropDuplicates()
-    return cleaning.apply_types(rows, {c: flags[c].inferred_type for c in columns})
+    times = {c: flags[c].day_first for c in columns if flags[c].day_first is not None}
+    rows = cleaning.parse_times(texts.drop(OVERFLOW), times).dropDuplicates()
+    typed = cleaning.apply_types(rows, {c: flags[c].inferred_type for c in columns})
+    lost = {c: flags[c].lost for c in times if flags[c].lost}
+    if store is None:
+        return typed, lost
+    typed.write.parquet(store)
+    return spark.read.schema(typed.schema).parquet(store), lost
 
 
-def load_csv_folder(spark: SparkSession, folder: str) -> CsvFolder:
-    """Every CSV file directly under a folder. A bad file is skipped and listed under errors; one whose delimiter is doubtful is loaded and listed there too."""
+def load_csv_folder(spark: SparkSession, folder: str, store: str | None = None) -> CsvFolder:
+    """Every CSV file directly under a folder, written once as typed Parquet under `store` (a new shared folder if none is given).
+
+    A bad file is skipped and listed under errors; one whose delimiter is doubtful is loaded and listed there too.
+    """
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -119,20 +139,32 @@ def load_csv_folder(spark: SparkSession, folder: str) -> CsvFolder:
         raise ValueError(f"no .csv files in {folder}")
     layout = {unquote(r.file_path.split("/")[-1]): r for r in file_layout(spark, folder).collect()}  # one row per file; Spark writes its paths URL-encoded
     out = CsvFolder()
-    for f in files:
+    store = (store or f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}").rstrip("/")
+
+    def place(i: int, stem: str) -> str:
+        return f"{store}/{i}-{re.sub(r'[^A-Za-z0-9_-]', '_', stem[:-len('.csv')])}"
+
+    def load(i: int, f: str) -> tuple[DataFrame, dict[str, int]] | Exception:
         stem = f.split("/")[-1]
-        name = stem[:-len(".csv")]
         try:
             if stem not in layout:
                 raise ValueError("its layout was not found")
-            found = layout[stem]
-            out.tables[name] = load_table(spark, f, found.delimiter, found.multi_line)
-            if found.doubtful:
+            return load_table(spark, f, layout[stem].delimiter, layout[stem].multi_line, place(i, stem))
+        except Exception as e:  # noqa: BLE001  a bad file must not stop the others
+            return e
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for f, got in zip(files, pool.map(load, range(len(files)), files), strict=True):
+            if isinstance(got, Exception):
+                log.warning("skipped %s: %s", f, got)
+                out.errors.append((f, str(got)))
+                continue
+            stem = f.split("/")[-1]
+            out.tables[stem[:-len(".csv")]], lost = got
+            out.lost += [(f, c, n) for c, n in sorted(lost.items())]
+            if (found := layout[stem]).doubtful:
                 log.warning("doubtful delimiter in %s", f)
                 out.errors.append((f, f"loaded, but its delimiter {found.delimiter!r} is doubtful: {found.share:.0%} of the lines agree, and others occur"))
-        except Exception as e:  # noqa: BLE001  a bad file must not stop the others
-            log.warning("skipped %s: %s", f, e)
-            out.errors.append((f, str(e)))
     if not out.tables:
         raise ValueError(f"all CSV files failed to load in {folder}")
     return out

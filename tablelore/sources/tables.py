@@ -7,7 +7,7 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelore.operators.catalog import KEYS_SCHEMA
-from tablelore.sources.csv_folder import load_csv_folder
+from tablelore.sources.csv_folder import CsvFolder, load_csv_folder
 
 
 class InputKind(Enum):
@@ -28,7 +28,7 @@ def _listing(spark: SparkSession, path: str) -> list[str] | None:
 
 
 def detect_input_kind(spark: SparkSession, path: str) -> InputKind:
-    """Kind of input by suffix, then by folder, then by URI scheme."""
+    """Kind of input by suffix, then by URI scheme, then by what the folder holds."""
     p = path.strip()
     lower = p.lower()
     if lower.endswith((".sqlite", ".db")):
@@ -106,18 +106,37 @@ def jdbc_keys(spark: SparkSession, url: str, source: str, properties: dict[str,
             .select(F.lit(source).alias("source"), *[f.name for f in KEYS_SCHEMA.fields[1:]]))
 
 
+class Tables(dict):
+    """Tables by name, with what was skipped or doubtful on the way (file, error) and the values lost from date columns (file, column, number)."""
+
+    def __init__(self, tables: dict[str, DataFrame], csv: CsvFolder | None = None):
+        super().__init__(tables)
+        self.errors = csv.errors if csv else []
+        self.lost = csv.lost if csv else []
+
+    def load_errors(self, spark: SparkSession) -> DataFrame:
+        return CsvFolder(errors=self.errors).load_errors(spark)
+
+    def lost_values(self, spark: SparkSession) -> DataFrame:
+        return CsvFolder(lost=self.lost).lost_values(spark)
+
+
 def load_tables(spark: SparkSession, path: str, jdbc_tables: list[str] | None = None,
-                properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Tables of any supported input; the kind is taken from the path itself. A folder that holds Parquet and CSV gives both; two tables of one name are an error."""
+                properties: dict[str, str] | None = None, store: str | None = None) -> Tables:
+    """Tables of any supported input, and the list of files skipped; the kind is taken from the path itself.
+
+    A folder that holds Parquet and CSV gives both; two tables of one name are an error. CSV tables are written once to `store` (see load_csv_folder).
+    """
     kind = detect_input_kind(spark, path)
     if kind is InputKind.CSV_FOLDER:
-        return load_csv_folder(spark, path).tables
+        csv = load_csv_folder(spark, path, store)
+        return Tables(csv.tables, csv)
     if kind is InputKind.PARQUET_FOLDER:
         tables = load_parquet_folder(spark, path)
-        if any(n.endswith(".csv") for n in _listing(spark, path.strip()) or []):
-            more = load_csv_folder(spark, path).tables
-            if both := sorted(tables.keys() & more.keys()):
-                raise ValueError(f"Parquet and CSV tables of the same name: {', '.join(both)}")
-            tables |= more
-        return tables
-    return load_jdbc(spark, jdbc_url(path.strip(), kind), jdbc_tables or [], properties)
+        if not any(n.endswith(".csv") for n in _listing(spark, path.strip()) or []):
+            return Tables(tables)
+        csv = load_csv_folder(spark, path, store)
+        if both := sorted(tables.keys() & csv.tables.keys()):
+            raise ValueError(f"Parquet and CSV tables of the same name: {', '.join(both)}")
+        return Tables(tables | csv.tables, csv)
+    return Tables(load_jdbc(spark, jdbc_url(path.strip(), kind), jdbc_tables or [], properties))

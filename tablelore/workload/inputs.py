@@ -77,6 +77,13 @@ def mixed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {**load(spark, sf), **degraded(spark, sf, "orders", "customer")}
 
 
+# Every turn signed with something personal, as SQL that reads alike in both engines.
+SIGNED = """SELECT concat(CAST(conv_id AS STRING), '/', CAST(turn AS STRING)) AS turn_key,
+  concat(coalesce(text, ''), CASE turn % 4 WHEN 0 THEN concat(' Call +44 20 7946 0', CAST(100 + conv_id % 900 AS STRING), '.')
+    WHEN 1 THEN ' Card 4111 1111 1111 1111 12/27' WHEN 2 THEN ' Pay BE68539007547034 EUR'
+    ELSE concat(' Write to user', CAST(conv_id AS STRING), '@example.org') END) AS text FROM {conversations}"""
+
+
 # ---- many databases out of events --------------------------------------------------------------------------------
 
 # What a row refers to follows from the row itself, so no user's events have to be put in order.

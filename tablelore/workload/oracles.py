@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from tablelore.functions import pii
 from tablelore.workload import inputs
-from tablelore.workload.inputs import DEGRADED, ESTATE, EXTRA_NAME, HISTORY, SOURCE, STAR_KEYS  # noqa: F401
+from tablelore.workload.inputs import DEGRADED, ESTATE, EXTRA_NAME, HISTORY, SIGNED, SOURCE, STAR_KEYS  # noqa: F401
 
 # Columns of the given tables with a short type name.
 SCHEMA = {
@@ -188,9 +188,17 @@ ORACLES["quality_labels"] = (
 ORACLES["clean_strings"] = "SELECT DISTINCT p_name, nullif(p_type, 'PROMO') AS p_type, p_brand FROM part"
 
 ORACLES["parse_dates"] = (
-    "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED') THEN NULL "
-    "WHEN o_orderstatus IN ('F', 'O') THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) "
-    "ELSE date_trunc('second', o_orderdate) END AS order_date FROM orders")
+    "SELECT o_orderkey, CASE WHEN o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED') THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS order_date, "
+    "CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS delivery_date, "
+    "CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) - CASE WHEN o_orderstatus = 'P' THEN INTERVAL 0 HOUR ELSE INTERVAL 2 HOUR END AS paid_time FROM orders")
+ORACLES["date_layouts"] = """
+WITH o AS (SELECT *, o_orderpriority = '5-LOW' AS late, day(o_orderdate) <= 12 AS either FROM orders),
+c AS (SELECT 'order_date' AS column_name, count(*) FILTER (o_orderpriority <> '4-NOT SPECIFIED') AS filled,
+        count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')) AS m,
+        count(*) FILTER (either AND o_orderstatus = 'O' AND o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')) AS d, count(*) FILTER (late) AS lost FROM o
+      UNION ALL SELECT 'delivery_date', count(*), count(*) FILTER (late OR either), count(*) FILTER (NOT late), count(*) FILTER (late) FROM o
+      UNION ALL SELECT 'paid_time', count(*), 0, 0, 0 FROM o)
+SELECT column_name, filled, m AS month_first_fits, d AS day_first_fits, d > m AS day_first, filled - lost AS parsed, lost FROM c"""
 
 
 def _type_of(table: str, i: int, name: str, value: str) -> str:
@@ -363,25 +371,56 @@ def iban(m: str) -> str:
     t = f"(substr({c}, 5) || substr({c}, 1, 4))"
     digits = (f"array_to_string([CASE WHEN substr({t}, i, 1) BETWEEN '0' AND '9' THEN substr({t}, i, 1) "
               f"ELSE CAST(ascii(substr({t}, i, 1)) - 55 AS VARCHAR) END FOR i IN range(1, length({t}) + 1)], '')")
-    first = f"CAST(CAST(substr({digits}, 1, 30) AS HUGEINT) % 97 AS VARCHAR)"
+    first = f"CAST(TRY_CAST(substr({digits}, 1, 30) AS HUGEINT) % 97 AS VARCHAR)"
     rest = f"substr({digits}, 31)"
-    second = f"CAST(CAST({first} || substr({rest}, 1, 30) AS HUGEINT) % 97 AS VARCHAR)"
-    return (f"length({c}) BETWEEN 15 AND 34 AND CAST({second} || substr({rest}, 31) AS HUGEINT) % 97 = 1")
+    second = f"CAST(TRY_CAST({first} || substr({rest}, 1, 30) AS HUGEINT) % 97 AS VARCHAR)"
+    return (f"length({c}) BETWEEN 15 AND 34 AND TRY_CAST({second} || substr({rest}, 31) AS HUGEINT) % 97 = 1")
+
+
+CARD_RUNS = r"regexp_extract_all(cell, '\b[0-9](?:[ -]?[0-9]){12,}[A-Za-z_]?')"
+
+
+def _card_ends(w: str, p: str, e: str) -> str:
+    """Whether places p to e of a run are a card number that begins and ends with a group of digits."""
+    return (f"({p} = 1 OR substr({w}, {p} - 1, 1) IN (' ', '-')) AND substr({w}, {p}, 1) NOT IN (' ', '-') AND "
+            f"({e} = length({w}) OR substr({w}, {e} + 1, 1) IN (' ', '-')) AND substr({w}, {e}, 1) NOT IN (' ', '-') AND {luhn(f'substr({w}, {p}, {e} - {p} + 1)')}")
+
+
+def card_matches(frm: str) -> str:
+    """Ctes over rows (r, cell): all card numbers of every run of digits, then from left to right those that lie apart."""
+    return (f"""run AS (SELECT r, regexp_replace(unnest({CARD_RUNS}), '[ -]?[0-9]+[A-Za-z_]$', '') AS w, unnest(range(len({CARD_RUNS}))) AS nth FROM {frm}),
+  begun AS (SELECT *, unnest(range(1, length(w) - 11)) AS p FROM run), ended AS (SELECT *, unnest(range(p + 12, least(p + 36, length(w)) + 1)) AS e FROM begun),
+  card AS (SELECT r, nth, w, p, min(e) AS e FROM ended WHERE {_card_ends('w', 'p', 'e')} GROUP BY ALL),
+  apart AS (SELECT r, nth, min(p) AS p, arg_min(e, p) AS e FROM card GROUP BY r, nth
+            UNION ALL SELECT c.r, c.nth, min(c.p), arg_min(c.e, c.p) FROM apart a JOIN card c ON c.r = a.r AND c.nth = a.nth AND c.p > a.e GROUP BY c.r, c.nth)""")
+
+
+def iban_matches(cell: str) -> str:
+    """List of the account numbers in a text: every place where one may begin, tried with its country's length."""
+    def layout(n: int) -> str:
+        rest = f"(?: ?[A-Z0-9]{{{(n - 4) % 4}}})" if (n - 4) % 4 else ""
+        return f"'{n}': '^([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{rest})(?:[^A-Za-z0-9_]|$)'"
+
+    size = f"map {{{', '.join(f"'{c}': '{n}'" for c, n in pii.IBAN_LENGTHS.items())}}}[substr({cell}, p, 2)]"
+    shape = f"map {{{', '.join(layout(n) for n in sorted(set(pii.IBAN_LENGTHS.values())))}}}"
+    found = (f"[regexp_extract(substr({cell}, p, 48), coalesce({shape}[{size}], '^(x)$y'), 1) FOR p IN range(1, length({cell}) - 13) IF regexp_matches(substr({cell}, p, 4), "
+             f"'^[A-Z]{{2}}[0-9]{{2}}$') AND (p = 1 OR NOT regexp_matches(substr({cell}, p - 1, 1), '[A-Za-z0-9_]'))]")
+    return f"CASE WHEN regexp_matches({cell}, '[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}') THEN [m FOR m IN {found} IF m <> '' AND {iban('m')}] ELSE [] END"
 
 
 def matches(frm: str, key: str, text: str) -> str:
-    def one(entity: str, kind: str, pattern: str, check: str) -> str:
-        return (f"SELECT {key}, '{kind}' AS pii_type, '{entity}' AS entity_type, m AS match FROM (SELECT {key}, "
-                f"unnest(regexp_extract_all({text}, {_sql('(' + pattern + ')')}, 1)) AS m FROM {frm}) WHERE {check}")
+    def one(entity: str, kind: str, found: str) -> str:
+        return f"SELECT k AS {key}, '{kind}' AS pii_type, '{entity}' AS entity_type, unnest({found}) AS match FROM cells"
 
-    return " UNION ALL ".join([
-        one("EMAIL_ADDRESS", "EMAIL", pii.EMAIL, "true"), one("PHONE_NUMBER", "PHONE", pii.PHONE, "true"),
-        one("CREDIT_CARD", "FINANCIAL", pii.CARD, luhn("m")), one("IBAN_CODE", "FINANCIAL", pii.IBAN, iban("m"))])
+    every = " UNION ALL ".join([
+        one("EMAIL_ADDRESS", "EMAIL", f"regexp_extract_all(cell, {_sql(pii.EMAIL)})"), one("PHONE_NUMBER", "PHONE", f"regexp_extract_all(cell, {_sql(pii.PHONE)})"),
+        one("IBAN_CODE", "FINANCIAL", iban_matches("cell")),
+        f"SELECT c.k, 'FINANCIAL', 'CREDIT_CARD', substr(run.w, a.p, a.e - a.p + 1) FROM apart a JOIN run ON run.r = a.r AND run.nth = a.nth JOIN cells c ON c.r = a.r"])
+    return f"WITH RECURSIVE cells AS (SELECT row_number() OVER () AS r, {key} AS k, {text} AS cell FROM {frm}), {card_matches('cells')} {every}"
 
 
 ORACLES["pii_documents"] = matches("documents", "doc_id", "text")
-ORACLES["pii_conversations"] = matches(
-    "(SELECT conv_id || '/' || turn AS turn_key, text FROM conversations)", "turn_key", "text")
+ORACLES["pii_conversations"] = matches(f"({SIGNED.replace('{conversations}', 'conversations')})", "turn_key", "text")
 
 
 def star_catalog(tables: list[Table]) -> str:
@@ -404,8 +443,9 @@ def value_hits(tables: list[Table]) -> str:
     found = " UNION ALL ".join(
         f"SELECT '{t.label}' AS table_name, '{n}' AS column_name, CAST({n} AS VARCHAR) AS cell FROM {t.frm}"
         for t in tables for _, n, k in t.columns if k == "text" and (t.label, n) not in caught)
-    luhn_hit = f"len([m FOR m IN regexp_extract_all(cell, {_sql('(' + pii.CARD + ')')}, 1) IF {luhn('m')}]) > 0"
-    iban_hit = f"len([m FOR m IN regexp_extract_all(cell, {_sql('(' + pii.IBAN + ')')}, 1) IF {iban('m')}]) > 0"
+    cards = (f"[w FOR w IN [regexp_replace(x, '[ -]?[0-9]+[A-Za-z_]$', '') FOR x IN {CARD_RUNS}] IF "
+             f"len([p FOR p IN range(1, length(w) - 11) IF len([e FOR e IN range(p + 12, least(p + 36, length(w)) + 1) IF {_card_ends('w', 'p', 'e')}]) > 0]) > 0]")
+    luhn_hit, iban_hit = f"len({cards}) > 0", f"len({iban_matches('cell')}) > 0"
     kinds = [("EMAIL_ADDRESS", "EMAIL", 1.0, f"regexp_matches(cell, {_sql(pii.EMAIL)})"),
              ("PHONE_NUMBER", "PHONE", 0.75, f"regexp_matches(cell, {_sql(pii.PHONE)})"),
              ("CREDIT_CARD", "FINANCIAL", 1.0, luhn_hit), ("IBAN_CODE", "FINANCIAL", 1.0, iban_hit)]

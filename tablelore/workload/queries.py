@@ -177,15 +177,27 @@ def clean_strings(spark, sf):
     return cleaning.clean(cleaning.normalise_header(raw))
 
 
+def _dated(spark, sf) -> DataFrame:
+    """Dates of orders written in several ways: month first, day first, named months, with clock and zone; some wrong, some blank."""
+    orders = inputs.load(spark, sf, "orders")["orders"]
+    day, late = F.col("o_orderdate"), F.col("o_orderpriority") == "5-LOW"
+    ordered = (F.when(late, "31.31.2020").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "")
+               .when(F.col("o_orderstatus") == "F", F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderstatus") == "O", F.date_format(day, "MM/dd/yyyy"))
+               .otherwise(F.date_format(day, "MMM d, yyyy")))
+    delivered = F.when(late, "12/31/1996").otherwise(F.date_format(day, "dd/MM/yyyy"))
+    paid = F.when(F.col("o_orderstatus") == "P", F.date_format(day, " yyyy-MM-dd HH:mm:ss ")).otherwise(
+        F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    return orders.select("o_orderkey", ordered.alias("order_date"), delivered.alias("delivery_date"), paid.alias("paid_time"))
+
+
 @query
 def parse_dates(spark, sf):
-    orders = inputs.load(spark, sf, "orders")["orders"]
-    text = (F.when(F.col("o_orderpriority") == "5-LOW", "31.31.2020")
-            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "")
-            .when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd"))
-            .when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "MM/dd/yyyy"))
-            .otherwise(F.date_format("o_orderdate", " yyyy-MM-dd HH:mm:ss ")))
-    return cleaning.clean(orders.select("o_orderkey", text.alias("order_date")))
+    return cleaning.clean(_dated(spark, sf))
+
+
+@query
+def date_layouts(spark, sf):
+    return cleaning.date_layouts(cleaning.clean_texts(_dated(spark, sf))).drop("layouts")
 
 
 @query
@@ -287,7 +299,7 @@ def pii_documents(spark, sf):
 @query
 def pii_conversations(spark, sf):
     talk = inputs.load(spark, sf, "conversations")["conversations"]
-    return pii.matches_in_text(talk.withColumn("turn_key", F.concat_ws("/", "conv_id", "turn")), "turn_key", "text")
+    return pii.matches_in_text(spark.sql(inputs.SIGNED, conversations=talk), "turn_key", "text")
 
 
 @query

@@ -51,9 +51,33 @@ CELLS = [
     ("DE89370400440532013000", ["FINANCIAL"]),
     ("write to a.b+c@example.co.uk today", ["EMAIL"]), ("a@b", []),
     ("call (831) 555-5554 or 555-123-4567,555-987-6543", ["PHONE", "PHONE", "PHONE"]), ("12345-678-9012345", []),
-    (None, []),
+    (None, []), ("", []),
+    ("4111 1111 1111 1111 12/27", ["FINANCIAL"]), ("4111 1111 1111 1111 123", ["FINANCIAL"]), ("12 4111-1111-1111-1111 77", ["FINANCIAL"]),
+    ("5500 0000 0000 0004 4111 1111 1111 1111", ["FINANCIAL", "FINANCIAL"]), ("378282246310005", ["FINANCIAL"]), ("ID4111111111111111", []), ("4111111111111111a", []),
+    ("4111 1111 1111 1111a", []), ("41111111111111110000", []), ("9" * 6000, []),
+    ("BE68539007547034 EUR", ["FINANCIAL"]), ("BE68 5390 0754 7034 EURO", ["FINANCIAL"]), ("BE68539007547034 DE89370400440532013000", ["FINANCIAL", "FINANCIAL"]),
+    ("DE89370400440532013000X", []), ("DE89370400440532013000a", []), ("XX89370400440532013000", []), ("DE8937040044053201300", []),
+    ("+44 20 7946 0958", ["PHONE"]), ("+33 1 23 45 67 89 or +1 (831) 555-5554.", ["PHONE", "PHONE"]), ("+49(0)30 901820", ["PHONE"]), ("+353861234567", ["PHONE"]),
+    ("+999 123456789", []), ("+12 345", []), ("1+44 20 7946 0958 is a sum", ["PHONE"]),
 ]
 
+# What is found, literally.
+TEXTS = [
+    ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]), ("12 4111-1111-1111-1111 77", ["4111-1111-1111-1111"]),
+    ("BE68539007547034 EUR", ["BE68539007547034"]), ("pay DE89 3704 0044 0532 0130 00 EUR", ["DE89 3704 0044 0532 0130 00"]),
+    ("BE68539007547034 DE89370400440532013000", ["BE68539007547034", "DE89370400440532013000"]), ("(+44 20 7946 0958)", ["+44 20 7946 0958"]),
+    ("+33 1 23 45 67 89 or +1 (831) 555-5554.", ["+1 (831) 555-5554", "+33 1 23 45 67 89"]),
+]
+
+
+def test_matches_literally(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS)], "id int, t string")
+    found = {i: [] for i in range(len(TEXTS))}
+    for r in pii.matches_in_text(df, "id", "t").collect():
+        found[r.id].append(r.match)
+    for i, (text, want) in enumerate(TEXTS):
+        assert sorted(found[i]) == sorted(want), text
+
 
 def test_matches_and_flags(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CELLS)], "id int, t string")

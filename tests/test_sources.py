@@ -127,10 +127,45 @@ def test_odd_file_names_and_mixed_folders_load_whole(spark, tmp_path):
     assert set(load_tables(spark, str(tmp_path))) == {"q#1", "caf%41", "a b", "é", "plain", "p"}
 
 
-def test_more_date_layouts(spark):
-    texts = ["2020-01-01T00:00:00Z", "2020-01-01T10:00", "31/12/2020", "2020-01-01 05:00:00+02:00", "never"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(cells.parse_timestamp(cells.ref("t")).cast("string").alias("d")).collect()
-    assert [r.d for r in rows] == ["2020-01-01 00:00:00", "2020-01-01 10:00:00", "2020-12-31 00:00:00", "2020-01-01 03:00:00", None]
+LAYOUT_CASES = [
+    ("2020-01-01T00:00:00Z", "2020-01-01 00:00:00"), ("2020-01-01T10:00", "2020-01-01 10:00:00"), ("2020-01-01 05:00:00+02:00", "2020-01-01 03:00:00"),
+    ("2020-01-01 05:00:00 +0200", "2020-01-01 03:00:00"), ("2020-1-5", "2020-01-05 00:00:00"), ("2020/01/05 07:08:09.25", "2020-01-05 07:08:09.25"), ("20200105", "2020-01-05 00:00:00"),
+    ("Jan 5, 2020", "2020-01-05 00:00:00"), ("January 5 2020", "2020-01-05 00:00:00"), ("5 Jan 2020", "2020-01-05 00:00:00"), ("05-Jan-2020 10:30", "2020-01-05 10:30:00"),
+    ("5 January 2020", "2020-01-05 00:00:00"), ("MAY 5, 2020", "2020-05-05 00:00:00"), ("never", None), ("2020-13-01", None), ("5 Foo 2020", None), ("", None), ("12", None), (None, None),
+]
+
+
+def test_date_layouts_of_any_order(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LAYOUT_CASES)], "i int, t string")
+    for day_first in (False, True):
+        got = rows.select("i", cells.parse_timestamp(cells.ref("t"), day_first).cast("string").alias("d")).orderBy("i").collect()
+        assert [(LAYOUT_CASES[r.i][0], r.d) for r in got] == LAYOUT_CASES
+
+
+def test_one_column_never_mixes_day_first_and_month_first(spark):
+    rows = [("01/02/2020", "01/02/2020", "01.02.2020", "x"), ("31/12/2020", "12/31/2020", "31.12.2020", "x"), ("12/31/2020", "Jan 5, 2020", "2020-02-03", None), ("", "03-04-2020", " ", None)]
+    df = spark.createDataFrame(rows, "european_date string, american_date string, dotted_date string, some_time string")
+    texts = cleaning.clean_texts(df)
+    got = {r.column_name: (r.filled, r.month_first_fits, r.day_first_fits, r.day_first, r.parsed, r.lost) for r in cleaning.date_layouts(texts).collect()}
+    assert got["american_date"] == (4, 3, 2, False, 4, 0) and got["dotted_date"] == (3, 0, 2, True, 3, 0) and got["some_time"] == (2, 0, 0, False, 0, 2)
+    assert got["european_date"] == (3, 2, 2, False, 2, 1)  # a tie is read with the month first
+    read = {tuple(None if v is None else v.date().isoformat() for v in r) for r in cleaning.clean_cells(df).collect()}
+    assert read == {("2020-01-02", "2020-01-02", "2020-02-01", None), (None, "2020-12-31", "2020-12-31", None), ("2020-12-31", "2020-01-05", "2020-02-03", None),
+                    (None, "2020-03-04", None, None)}
+    more = df.union(spark.createDataFrame([("30/11/2020", None, None, None)], df.schema))
+    assert sorted(str(r[0]) for r in cleaning.clean_cells(more).select("european_date").collect()) == ["2020-02-01 00:00:00", "2020-11-30 00:00:00", "2020-12-31 00:00:00", "None", "None"]
+    assert cleaning.date_layouts(spark.createDataFrame([(1,)], "a int")).count() == 0
+    empty = cleaning.date_layouts(df.limit(0)).collect()
+    assert {(r.filled, r.day_first, r.parsed, r.lost) for r in empty} == {(0, False, 0, 0)}
+
+
+def test_loaded_tables_are_parquet_with_errors_and_lost_values(spark, folder):
+    tables = load_tables(spark, folder)
+    assert sorted(f.split("/")[-1] for f, _ in tables.errors) == ["empty.csv", "ragged.csv", "twice.csv"] and tables.load_errors(spark).count() == 3
+    assert [(f.split("/")[-1], c, n) for f, c, n in tables.lost] == [("plain.csv", "order_date", 1)] and tables.lost_values(spark).count() == 1
+    plan = profiling.table_sizes(profiling.column_ranges(tables))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan csv" not in plan and "parquet" in plan.lower()
+    assert all("FileScan csv" not in t._jdf.queryExecution().executedPlan().toString() for t in tables.values())
 
 
 def test_float_zeros_are_one_value(spark):

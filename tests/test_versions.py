@@ -135,4 +135,4 @@ def test_cluster_settings():
 
     assert cluster_settings(1 << 20)["spark.sql.shuffle.partitions"] == "200"
     assert cluster_settings(10 << 40)["spark.sql.shuffle.partitions"] == str((10 << 40) // (256 << 20))
-    assert cluster_settings(100 << 40)["spark.sql.shuffle.partitions"] == "200000"
+    assert cluster_settings(100 << 40)["spark.sql.shuffle.partitions"] == "409600"
