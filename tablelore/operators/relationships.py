@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelore.functions import names
 from tablelore.operators.catalog import catalog_fks, fk_pairs
+from tablelore.session import settle
 
 # Confidence of inferred links.
 SAME_COLUMN = 0.95
@@ -124,13 +125,23 @@ def junction_tables(keys: DataFrame) -> DataFrame:
 def linked_by_junction(pairs: DataFrame, junctions: DataFrame) -> DataFrame:
     """The (source, from_table, to_table) pairs that some third table links.
 
-    Starts from the pairs that have an edge and asks for a common junction, so no junction spells out its own pairs.
+    Starts from the pairs that have an edge, at the end with fewer junctions, and asks whether one of these holds the other end too. So a table that
+    thousands of junctions refer to costs a row for each junction of the tables around it, and no junction spells out its own pairs.
     """
     ends = junctions.select("source", F.col("table_name").alias("junction"), F.explode("referred").alias("end"))
-    reach = pairs.join(ends.withColumnRenamed("end", "from_table"), ["source", "from_table"])
+    degree = ends.groupBy("source", "end").agg(F.count(F.lit(1)).alias("degree"))
+
+    def known(side: str) -> DataFrame:
+        return degree.select("source", F.col("end").alias(side), F.col("degree").alias(f"degree_{side}"))
+
+    # a table no junction refers to is linked with nothing
+    both = pairs.join(known("from_table"), ["source", "from_table"]).join(known("to_table"), ["source", "to_table"])
+    fewer = F.col("degree_from_table") <= F.col("degree_to_table")
+    walk = both.select("source", "from_table", "to_table", F.when(fewer, F.col("from_table")).otherwise(F.col("to_table")).alias("near"),
+                       F.when(fewer, F.col("to_table")).otherwise(F.col("from_table")).alias("far"))
     third = (F.col("junction") != F.col("from_table")) & (F.col("junction") != F.col("to_table"))
-    return (reach.filter(third)
-            .join(ends.withColumnRenamed("end", "to_table"), ["source", "junction", "to_table"], "left_semi")
+    return (walk.join(ends.withColumnRenamed("end", "near"), ["source", "near"]).filter(third)
+            .join(ends.withColumnRenamed("end", "far"), ["source", "junction", "far"], "left_semi")
             .select("source", "from_table", "to_table").distinct())
 
 
@@ -155,8 +166,9 @@ def with_cardinality(edges: DataFrame, columns: DataFrame, keys: DataFrame) -> D
 
 
 def relationships(columns: DataFrame, keys: DataFrame) -> DataFrame:
-    """Declared and inferred edges with their cardinality."""
-    return with_cardinality(explicit_edges(keys).unionByName(implicit_edges(columns, keys)), columns, keys)
+    """Declared and inferred edges with their cardinality. Columns are read three times and edges twice, so both are settled once."""
+    columns = settle(columns)
+    return with_cardinality(settle(explicit_edges(keys).unionByName(implicit_edges(columns, keys))), columns, keys)
 
 
 # ---- views of the edges ------------------------------------------------------------------------------------------

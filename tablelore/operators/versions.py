@@ -1,9 +1,10 @@
 """Snapshots of a source over time, and the drift between one and the next.
 
 Snapshots are kept in three flat frames, so that a history of any length is compared with joins:
-  headers  (snapshot_id, source_path, source_key, captured_at)
-  tables   (snapshot_id, table_name, column_count, row_count, completeness_score)
+  headers  (snapshot_id, source_path, source_key, captured_at, schema_hash)
+  tables   (snapshot_id, table_name, column_count, row_count, completeness_score, table_digest)
   columns  (snapshot_id, table_name, column_name)
+Digests form a tree: of column names, of a table's columns, of a database's tables. Columns are only read of tables whose digests differ.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelore.functions.names import source_key
+from tablelore.session import settle
 
+HEADER = "snapshot_id string, source_path string, source_key string, captured_at timestamp_ntz, schema_hash string"
 COMPLETENESS_STEP = 0.02
 ROW_COUNT_STEP = 0.05
 
@@ -29,6 +32,18 @@ def schema_hash(columns: DataFrame, by: str = "source") -> DataFrame:
     return lines.groupBy(by).agg(F.md5(text).alias("schema_hash"))
 
 
+def table_digests(columns: DataFrame, by: str = "source") -> DataFrame:
+    """One digest per table over the digests of its column names; equal digests are equal sets of columns."""
+    leaves = F.array_sort(F.collect_list(F.md5("column_name")))
+    return columns.groupBy(by, "table_name").agg(F.md5(F.array_join(leaves, "")).alias("table_digest"))
+
+
+def database_digests(tables: DataFrame, by: str = "source") -> DataFrame:
+    """One digest per database over the names and digests of its tables."""
+    leaves = F.array_sort(F.collect_list(F.concat(F.md5("table_name"), F.col("table_digest"))))
+    return tables.groupBy(by).agg(F.md5(F.array_join(leaves, "")).alias("database_digest"))
+
+
 def snapshots(headers: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per snapshot with its names, counts and scores in maps."""
     def as_map(value: str) -> Column:
@@ -37,7 +52,7 @@ def snapshots(headers: DataFrame, tables: DataFrame, columns: DataFrame) -> Data
     maps = tables.groupBy("snapshot_id").agg(
         F.array_sort(F.collect_list("table_name")).alias("table_names"),
         as_map("column_count"), as_map("row_count"), as_map("completeness_score"))
-    return (headers.join(maps, "snapshot_id", "left").join(schema_hash(columns, "snapshot_id"), "snapshot_id", "left"))
+    return (headers.drop("schema_hash").join(maps, "snapshot_id", "left").join(schema_hash(columns, "snapshot_id"), "snapshot_id", "left"))
 
 
 def take_snapshot(source_path: str, columns: DataFrame, tables: DataFrame, profiles: DataFrame
@@ -47,13 +62,15 @@ def take_snapshot(source_path: str, columns: DataFrame, tables: DataFrame, profi
               .select(F.uuid().alias("snapshot_id"), F.lit(source_path).alias("source_path"),
                       source_key(F.lit(source_path)).alias("source_key"),
                       F.localtimestamp().alias("captured_at")))
-    row = header.first()  # one row; fixes the id for all three frames
-    head = columns.sparkSession.createDataFrame([row], header.schema)
+    digest = schema_hash(columns.select(F.lit("").alias("source"), "table_name", "column_name")).select("schema_hash")
+    row = header.join(digest, how="left").first()  # one row; fixes the id for all three frames
+    head = columns.sparkSession.createDataFrame([row], HEADER)
     sid = F.lit(row.snapshot_id).alias("snapshot_id")
     scores = profiles.select("table_name", "completeness_score")
+    digests = table_digests(columns).select("table_name", "table_digest")
     return (head,
-            tables.join(scores, "table_name", "left")
-            .select(sid, "table_name", "column_count", "row_count", "completeness_score"),
+            tables.join(scores, "table_name", "left").join(digests, "table_name", "left")
+            .select(sid, "table_name", "column_count", "row_count", "completeness_score", "table_digest"),
             columns.select(sid, "table_name", "column_name"))
 
 
@@ -107,13 +124,15 @@ def row_change(before: Column, after: Column) -> Column:
 
 
 def table_changes(pairs: DataFrame, tables: DataFrame) -> DataFrame:
-    """Both sides of every table of every pair, with the two reported changes."""
+    """Both sides of every table of every pair, with the two reported changes; where tables carry digests, those too."""
     def side(end: str, tag: str) -> DataFrame:
         return _side(pairs, tables, end).select(
             *PAIR, "table_name", F.lit(True).alias(f"in_{tag}"),
             F.coalesce("row_count", F.lit(0)).cast("long").alias(f"rows_{tag}"),
-            F.coalesce("completeness_score", F.lit(0.0)).alias(f"score_{tag}"))
+            F.coalesce("completeness_score", F.lit(0.0)).alias(f"score_{tag}"),
+            *([F.col("table_digest").alias(f"digest_{tag}")] if digested else []))
 
+    digested = "table_digest" in tables.columns
     both = side(PAIR[0], "before").join(side(PAIR[1], "after"), [*PAIR, "table_name"], "full_outer")
     shared = F.col("in_before") & F.col("in_after")
     return (both
@@ -123,12 +142,14 @@ def table_changes(pairs: DataFrame, tables: DataFrame) -> DataFrame:
                         .when(F.col("in_after").isNull(), "removed").otherwise("kept")))
 
 
-def column_changes(pairs: DataFrame, columns: DataFrame) -> DataFrame:
-    """Columns that came or went, whichever table they belong to."""
-    sides = (_side(pairs, columns, PAIR[0]).select(*PAIR, "table_name", "column_name", F.lit(1).alias("b"), F.lit(0).alias("a"))
-             .unionByName(_side(pairs, columns, PAIR[1])
-                          .select(*PAIR, "table_name", "column_name", F.lit(0).alias("b"), F.lit(1).alias("a"))))
-    return (sides.groupBy(*PAIR, "table_name", "column_name").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+def column_changes(changed: DataFrame, columns: DataFrame) -> DataFrame:
+    """Columns that came or went in the tables given as (pair, table_name)."""
+    def side(end: str, before: int, after: int) -> DataFrame:
+        return (changed.select(*PAIR, "table_name").join(columns.withColumnRenamed("snapshot_id", end), [end, "table_name"])
+                .select(*PAIR, "table_name", "column_name", F.lit(before).alias("b"), F.lit(after).alias("a")))
+
+    return (side(PAIR[0], 1, 0).unionByName(side(PAIR[1], 0, 1))
+            .groupBy(*PAIR, "table_name", "column_name").agg(F.max("b").alias("b"), F.max("a").alias("a"))
             .filter("a <> b").select(*PAIR, "table_name", "column_name", (F.col("a") == 1).alias("added")))
 
 
@@ -139,12 +160,17 @@ def _gathered(frame: DataFrame, keep: Column, value: Column, name: str) -> DataF
 
 
 def drift(headers: DataFrame, tables: DataFrame, columns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """One report per pair of snapshots; all consecutive pairs of each source unless some are named."""
-    pairs = consecutive(headers) if pairs is None else pairs
-    changes = table_changes(pairs, tables)
-    kept = F.col("change") == "kept"
-    moved = (column_changes(pairs, columns)
-             .join(changes.filter(kept).select(*PAIR, "table_name"), [*PAIR, "table_name"], "left_semi")
+    """One report per pair of snapshots; all consecutive pairs of each source unless some are named.
+
+    Pairs and both sides of their tables are worked out once and settled. Columns are read of tables whose digests differ; tables stored without
+    digests get them from their columns first.
+    """
+    pairs = settle(consecutive(headers) if pairs is None else pairs)
+    if "table_digest" not in tables.columns:
+        tables = tables.join(table_digests(columns, "snapshot_id"), ["snapshot_id", "table_name"], "left")
+    changes = settle(table_changes(pairs, tables))
+    differ = (F.col("change") == "kept") & ~F.col("digest_before").eqNullSafe(F.col("digest_after"))
+    moved = (column_changes(changes.filter(differ), columns)
              .groupBy(*PAIR, "table_name", "added").agg(F.array_sort(F.collect_list("column_name")).alias("names")))
     per_pair = changes.groupBy(*PAIR).agg(
         F.array_sort(F.collect_list(F.when(F.col("change") == "added", F.col("table_name")))).alias("tables_added"),

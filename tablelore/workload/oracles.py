@@ -615,6 +615,6 @@ ORACLES["parse_response_columns"] = (
     f"UNION ALL SELECT 'order_' || o_orderkey, 2, 'o_custkey', {NO_TEXT}, 'o_custkey', NULL FROM orders")
 
 ORACLES["reuse_summaries"] = (
-    f"{WITH_ESTATE}, h AS ({HASH.format(key='source', cols='cols')}) "
-    "SELECT n.source, n.table_name, h.schema_hash FROM names n JOIN h ON n.source = h.source "
-    "WHERE NOT EXISTS (SELECT 1 FROM tabs t WHERE t.source = n.source AND t.name = n.table_name AND t.n > 2)")
+    f"{WITH_ESTATE} SELECT source, table_name, md5(string_agg(md5(column_name), '' ORDER BY md5(column_name))) AS table_digest "
+    "FROM cols GROUP BY source, table_name HAVING bool_or(column_name = 'discard')")
+ORACLES["history_of_source"] = f"{WITH_HISTORY} SELECT snapshot_id, source_path, captured_at FROM head WHERE source_key = 'data/user 1'"

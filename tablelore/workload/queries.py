@@ -377,6 +377,12 @@ def newest_reports(spark, sf):
     return views.newest_artifacts(reports)
 
 
+@query
+def history_of_source(spark, sf):
+    headers, _, _ = inputs.history(spark, sf)
+    return versions.of_source(headers, " Data//./user%201/ ").select("snapshot_id", "source_path", "captured_at")
+
+
 @query
 def consecutive_snapshots(spark, sf):
     headers, _, _ = inputs.history(spark, sf)
@@ -521,11 +527,7 @@ def parse_response_columns(spark, sf):
 
 @query
 def reuse_summaries(spark, sf):
-    estate = inputs.Estate(spark, sf)
-    fields = estate.fields()
-    tables = fields.select("source", "table_name").distinct()
-    hashes = versions.schema_hash(fields)
-    stored = (estate.sizes().join(hashes, "source")
-              .select("source", "table_name", F.when(F.col("row_count") > 2, F.col("schema_hash"))
-                      .otherwise(F.md5(F.lit("an older schema"))).alias("schema_hash")))
-    return summaries.still_to_describe(tables, hashes, stored)
+    """Texts were written before some tables got a column `discard`: only these are described again."""
+    fields = inputs.Estate(spark, sf).fields()
+    stored = versions.table_digests(fields.filter("column_name <> 'discard'"))
+    return summaries.still_to_describe(versions.table_digests(fields), stored)

@@ -146,3 +146,16 @@ def test_diagram(spark):
     assert text[5:9] == ["    brands {", "    }", "    categories {", "    }"] and len(text) == 1 + 4 + 12
     none = rel.diagram_lines(rel.relationships(c, k).filter("false"), tables)
     assert none.count() == 0
+
+
+def test_a_hub_costs_rows_in_proportion_to_its_edges(spark):
+    """3000 junctions refer to one hub and each to a spoke of its own: the walk starts at the spokes, so no row is made per pair of junctions."""
+    n = 3000
+    keys = [("s", f"j{i}", ["hub_id", f"spoke{i}_id"], [("a", ["hub_id"], None, "hub", ["hub_id"], None), ("b", [f"spoke{i}_id"], None, f"spoke{i}", ["id"], None)]) for i in range(n)]
+    junctions = rel.junction_tables(spark.createDataFrame(keys, catalog.KEYS_SCHEMA)).cache()
+    assert junctions.count() == n
+    pairs = spark.createDataFrame([("s", f"spoke{i}", "hub") for i in range(n)] + [("s", "hub", "spoke7"), ("s", "hub", "stranger"), ("s", "spoke1", "spoke2"), ("s", "hub", "hub")],
+                                  "source string, from_table string, to_table string")
+    linked = {(r.from_table, r.to_table) for r in rel.linked_by_junction(pairs, junctions).collect()}
+    assert linked == {(f"spoke{i}", "hub") for i in range(n)} | {("hub", "spoke7"), ("hub", "hub")}
+    junctions.unpersist()
