@@ -12,8 +12,8 @@ at most HEAD_PAIRS of them, are looked up in a broadcast table; the others, rare
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def common_cuts(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
+def common_cuts(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> list[tuple[int, int]]:
     """After how many tokens of A and of B a group ends: the byte offsets at which a token of each side ends, ascending."""
     a_at = {end: i for i, end in enumerate(accumulate(a_sizes), 1)}
     b_at = {end: i for i, end in enumerate(accumulate(b_sizes), 1)}
@@ -61,6 +61,8 @@ class Aligner:
         self.a_bytes = [x.encode() if i in added else bytes(map(letters.__getitem__, x)) for i, x in enumerate(names)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        self.a_name, self.b_name = [f"{i}|" for i in range(len(names))], [str(i) for i in range(len(pieces))]
+        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
         self.borders = not any(BORDER.search(x.decode("utf-8", "replace")) for x in (*self.a_bytes, *self.b_bytes))
         self.known: dict[str, tuple] = {}
 
@@ -72,47 +74,49 @@ class Aligner:
 
     def ids(self, text: str) -> tuple[list[int], list[int]]:
         """The ids of both sides; B puts the blank before the text by itself."""
-        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
 
-    def _entry(self, a: list[int], b: list[int], cuts: list[tuple[int, int]]) -> tuple:
-        """n_a, n_b, n_groups, the groups as text, ids of A and of B of the links."""
-        if len(a) == len(b) == 1:
-            return 1, 1, 1, f"{a[0]}|{b[0]}", a, b
-        out, la, lb, i, j = [], [], [], 0, 0
+    def _groups(self, a: list[int], b: list[int], cuts: list[tuple[int, int]]) -> tuple[list[str], list[bytes]]:
+        """Each group as text, and its links."""
+        groups, links, i, j = [], [], 0, 0
+        a_name, b_name, every = self.a_name, self.b_name, self.every
         for x, y in cuts:
-            out.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            if self.every:
-                la += [t for t in a[i:x] for _ in range(j, y)]
-                lb += b[j:y] * (x - i)
-            else:  # of a group, only its last two tokens end together
-                la.append(a[x - 1])
-                lb.append(b[y - 1])
+            p, q = a[x - 1], b[y - 1]  # of a group, only the last two tokens end together
+            if x - i == 1 and y - j == 1:
+                groups.append(a_name[p] + b_name[q])
+                links.append((p << 32 | q).to_bytes(8, "little"))
+            else:
+                groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+                links.append(b"".join((t << 32 | u).to_bytes(8, "little") for t in a[i:x] for u in b[j:y]) if every else (p << 32 | q).to_bytes(8, "little"))
             i, j = x, y
-        return len(a), len(b), len(cuts), ";".join(out), la, lb
+        return groups, links
 
     def _together(self, stretches: list[str]) -> list[tuple] | None:
-        """The entries of stretches, each with a blank before it; None where a tokenizer changes their bytes."""
+        """For stretches, each with a blank before it: (n_a, n_b, n_groups), the groups as text, the links. None where a tokenizer changes their bytes."""
         text = " ".join(stretches)
         a, b = self.ids(text)
         whole = b" " + text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        cuts = common_cuts([len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b])
+        cuts = common_cuts(map(self.a_size.__getitem__, a), map(self.b_size.__getitem__, b))
+        groups, links = self._groups(a, b, cuts)
         if len(stretches) == 1:
-            return [self._entry(a, b, cuts)]
-        a_ends = list(accumulate(len(self.a_bytes[i]) for i in a))
-        out, at, i, j, end = [], 0, 0, 0, 0
+            return [((len(a), len(b), len(cuts)), ";".join(groups), b"".join(links))]
+        # after which group each stretch ends
+        token_ends = list(accumulate(map(self.a_size.__getitem__, a)))
+        group_at = {token_ends[x - 1]: n for n, (x, _) in enumerate(cuts, 1)}
+        out, n, i, j, end = [], 0, 0, 0, 0
         for s in stretches:
-            end += len(s.encode()) + 1
-            begin = at
-            while a_ends[cuts[at][0] - 1] < end:
-                at += 1
-            if a_ends[cuts[at][0] - 1] != end:
+            end += (len(s) if s.isascii() else len(s.encode())) + 1
+            last = group_at.get(end)
+            if last is None:
                 return None
-            at += 1
-            x, y = cuts[at - 1]
-            out.append(self._entry(a[i:x], b[j:y], [(p - i, q - j) for p, q in cuts[begin:at]]))
-            i, j = x, y
+            x, y = cuts[last - 1]
+            if last - n == 1:
+                out.append(((x - i, y - j, 1), groups[n], links[n]))
+            else:
+                out.append(((x - i, y - j, last - n), ";".join(groups[n:last]), b"".join(links[n:last])))
+            n, i, j = last, x, y
         return out
 
     def _learn(self, fresh: list[str]) -> None:
@@ -126,20 +130,20 @@ class Aligner:
             self.known.update(zip(group, entries or [None], strict=True))
 
     def align(self, texts: list[str]) -> Iterator[tuple | None]:
-        """The entry of each text; None where a tokenizer does not give back its bytes, or where there is none."""
+        """(n_a, n_b, n_groups), the groups as text and the links (A's id in the upper, B's in the lower 32 bits) of each text; None where a tokenizer does not give back its bytes, or where there is none."""
         split = [(BORDER.split(t) if self.borders else [t]) if t else [] for t in texts]
-        fresh = [s for s in dict.fromkeys(s for part in split for s in part) if s not in self.known]
+        fresh = list(set(chain.from_iterable(split)).difference(self.known))
         self._learn(fresh)
         for text, part in zip(texts, split, strict=True):
-            entries = [self.known[s] for s in part]
+            entries = list(map(self.known.__getitem__, part))
             if not part:
                 yield None
             elif None in entries:  # changed bytes of two stretches might still make up the text's
                 entry = self._together([text])
                 yield entry and entry[0]
             else:
-                n_a, n_b, n_groups, groups, la, lb = zip(*entries, strict=True)
-                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), [x for p in la for x in p], [x for p in lb for x in p]
+                sizes, groups, links = zip(*entries, strict=True)
+                yield tuple(map(sum, zip(*sizes, strict=True))), ";".join(groups), b"".join(links)
         room = KEPT - len(self.known) + len(fresh)
         for i, s in enumerate(fresh):
             if i >= room or len(s) > KEPT_LENGTH:
@@ -161,9 +165,11 @@ def align(docs: DataFrame, a_file: str, b_file: str, links: str = "end", id_col:
     kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int32())] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # nothing here refers to itself, and the collector would walk all kept stretches again and again
         aligner = Aligner.of(a_file, b_file, links)
         for batch in batches:
             texts, at = as_bytes(batch.column(1)), 0
@@ -174,8 +180,8 @@ def align(docs: DataFrame, a_file: str, b_file: str, links: str = "end", id_col:
                     if entry is None or (len(text) and "�" in text and text.encode() != raw):
                         rows.append((0, 0, 0, None, [], [], []))
                         continue
-                    pair, n = np.unique(np.array(entry[4], np.int64) << 32 | np.array(entry[5], np.int64), return_counts=True)
-                    rows.append((*entry[:4], (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)))
+                    pair, n = np.unique(np.frombuffer(entry[2], "<i8"), return_counts=True)
+                    rows.append((*entry[0], entry[1], (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)))
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(chunk)), *columns], names=["id", *names])
                 at += len(chunk)
