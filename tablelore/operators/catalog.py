@@ -45,6 +45,11 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def with_source(frame: DataFrame, source: str) -> DataFrame:
+    """A frame on tables, such as their profiles, under the database they belong to."""
+    return frame.select(F.lit(source).alias("source"), *[c for c in frame.columns if c != "source"])
+
+
 def field_frame(spark: SparkSession, tables: dict[str, DataFrame], source: str,
                 defaults: dict[tuple[str, str], object] | None = None) -> DataFrame:
     """One row per column of the given tables, read from their schemas; no data is touched."""

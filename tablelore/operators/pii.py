@@ -22,15 +22,18 @@ def by_name(columns: DataFrame) -> DataFrame:
                     F.lit(None).cast("string").alias("sample_trigger")))
 
 
-def _unnamed(tables: dict[str, DataFrame], columns: DataFrame) -> dict[str, list[T.StructField]]:
-    """Text columns left for the value scan. The name hits are no more than the columns of the schemas at hand."""
-    named = {(r.table_name, r.column_name) for r in by_name(columns).select("table_name", "column_name").collect()}
-    out = {}
-    for t in table_names(tables):
-        left = [f for f in tables[t].schema.fields
-                if isinstance(f.dataType, T.StringType) and (t, f.name) not in named]
-        if left:
-            out[t] = left
+def _unnamed(tables: dict[str, DataFrame], columns: DataFrame, source: str | None) -> dict[str, list[T.StructField]]:
+    """Text columns left for the value scan. Only name hits on text columns of the tables at hand come to the driver: fewer than their schemas hold."""
+    texts = {(t, f.name): f for t in table_names(tables) for f in tables[t].schema.fields if isinstance(f.dataType, T.StringType)}
+    here = columns.filter(F.col("table_name").isin(*tables))
+    if source is not None:
+        here = here.filter(F.col("source") == source)
+    hits = by_name(here).filter(F.col("column_name").isin(*{c for _, c in texts}))
+    named = {(r.table_name, r.column_name) for r in hits.select("table_name", "column_name").distinct().collect()}
+    out: dict[str, list[T.StructField]] = {}
+    for (t, c), f in texts.items():
+        if (t, c) not in named:
+            out.setdefault(t, []).append(f)
     return out
 
 
@@ -44,14 +47,14 @@ def _text_cells(tables: dict[str, DataFrame], fields: dict[str, list[T.StructFie
 
 
 def value_hits(tables: dict[str, DataFrame], columns: DataFrame,
-               recognise: Callable[[Column], Column] | None = None) -> DataFrame | None:
+               recognise: Callable[[Column], Column] | None = None, source: str | None = None) -> DataFrame | None:
     """Rows and hits per (table, column, entity), from one scan of the text columns no name rule caught.
 
     Only cells with a hit reach the aggregation, and equal hits are added up before they are shuffled.
     ``recognise`` may add entities that need a language model: a function from a text column to an
-    array of struct(entity_type, score), usually a pandas_udf.
+    array of struct(entity_type, score), usually a pandas_udf. ``source`` says whose tables these are, where columns hold several databases.
     """
-    fields = _unnamed(tables, columns)
+    fields = _unnamed(tables, columns, source)
     if not fields:
         return None
     cell = F.col("cell")
@@ -72,7 +75,7 @@ def value_hits(tables: dict[str, DataFrame], columns: DataFrame,
 def by_value(tables: dict[str, DataFrame], columns: DataFrame, source: str,
              recognise: Callable[[Column], Column] | None = None) -> DataFrame:
     """Findings from cell values."""
-    hits = value_hits(tables, columns, recognise)
+    hits = value_hits(tables, columns, recognise, source)
     if hits is None:
         return by_name(columns).limit(0)
     return hits.select(F.lit(source).alias("source"), "table_name", "column_name", "pii_type",

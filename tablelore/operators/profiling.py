@@ -3,7 +3,8 @@
 Two scans per table. The first folds the cheap statistics into one row per task, so nothing but those rows is
 shuffled. The second turns each row into narrow (table, column, key) cells and de-duplicates them: every distinct
 count of every table, and the duplicate-row count, comes out of that one shuffle. Equal cells collapse before the
-shuffle, so a value that fills a third of a column costs no more than any other.
+shuffle, so a value that fills a third of a column costs no more than any other. Samples come out of it too: the first scan tells about how many
+different long texts a column has, and so which few of them must travel with their digest.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from tablelore.functions import cells
 from tablelore.operators.catalog import table_names, union_all
 
 SAMPLES = 5
+CANDIDATES = 96  # long texts that travel for a column's samples
 LONG_TEXT = 64  # octets; longer cells travel as digests
+PREFIX = 4  # digits of a digest that rows are counted by
+SORTED = 10_000  # so many rows are put in order at once
 ROW = 0  # ordinal of the pseudo-column that stands for the whole row
 NULL_RATE_LIMIT = 0.3
 
@@ -25,17 +29,17 @@ def _name(field: T.StructField) -> str:
     return "`" + field.name.replace("`", "``") + "`"
 
 
-def _literal(text: str) -> str:
+def literal_sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _present(field: T.StructField) -> str:
+def present_sql(field: T.StructField) -> str:
     """The cell with NaN turned into NULL."""
     c = _name(field)
     return f"CASE WHEN NOT isnan({c}) THEN {c} END" if cells.is_float(field.dataType) else c
 
 
-def _text(field: T.StructField) -> str:
+def text_sql(field: T.StructField) -> str:
     c = _name(field)
     if isinstance(field.dataType, T.StringType):
         return c
@@ -43,7 +47,7 @@ def _text(field: T.StructField) -> str:
         return f"'<bytes:' || octet_length({c}) || '>'"
     if cells.is_nested(field.dataType):
         return f"to_json({c})"
-    return f"CAST({_present(field)} AS STRING)"
+    return f"CAST({present_sql(field)} AS STRING)"
 
 
 # ---- first scan: counts, ranges, means ---------------------------------------------------------------------------
@@ -51,38 +55,48 @@ def _text(field: T.StructField) -> str:
 ORDERED = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)  # typed order equals text order
 
 
-def _fold(table: str, df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+def is_text(field: T.StructField) -> bool:
+    """Cells of any length: these travel as digests where they are long."""
+    return isinstance(field.dataType, T.StringType) or cells.is_nested(field.dataType)
+
+
+def _fold(table: str, df: DataFrame, fields: list[tuple[int, T.StructField]], estimates: bool) -> DataFrame:
     folds, picks = ["count(1) AS n"], []
     for i, f in fields:
-        c = _present(f)
+        c = present_sql(f)
         number = cells.is_numeric(f.dataType)
         if not number and not isinstance(f.dataType, ORDERED):
-            c = _text(f)
-        folds += [f"count({_present(f)}) AS kept_{i}", f"min({c}) AS low_{i}", f"max({c}) AS high_{i}"]
+            c = text_sql(f)
+        folds += [f"count({present_sql(f)}) AS kept_{i}", f"min({c}) AS low_{i}", f"max({c}) AS high_{i}"]
         if number:
             folds.append(f"avg(CAST({c} AS DOUBLE)) AS mean_{i}")
         low, high, mean = (f"low_{i}", f"high_{i}", f"mean_{i}") if number else ("NULL", "NULL", "NULL")
+        estimate = ""
+        if estimates:
+            if is_text(f):
+                folds.append(f"approx_count_distinct(CASE WHEN octet_length({c}) > {LONG_TEXT} THEN {c} END) AS long_{i}")
+            estimate = f", {f'long_{i}' if is_text(f) else 'CAST(NULL AS BIGINT)'} AS long_estimate"
         picks.append(
-            f"struct({i} AS ordinal, {_literal(f.name)} AS column_name, {_literal(f.dataType.simpleString())} AS data_type,"
+            f"struct({i} AS ordinal, {literal_sql(f.name)} AS column_name, {literal_sql(f.dataType.simpleString())} AS data_type,"
             f" n - kept_{i} AS null_count, CAST({low} AS DOUBLE) AS min_num, CAST({high} AS DOUBLE) AS max_num,"
             f" CAST({mean} AS DOUBLE) AS mean_value, CAST(low_{i} AS STRING) AS min_value,"
-            f" CAST(high_{i} AS STRING) AS max_value)")
+            f" CAST(high_{i} AS STRING) AS max_value{estimate})")
     return (df.selectExpr(*folds)
-            .selectExpr(f"{_literal(table)} AS table_name", "n AS total_rows", f"inline(array({', '.join(picks)}))"))
+            .selectExpr(f"{literal_sql(table)} AS table_name", "n AS total_rows", f"inline(array({', '.join(picks)}))"))
 
 
-def _scan_one(table: str, df: DataFrame) -> list[DataFrame]:
+def _scan_one(table: str, df: DataFrame, estimates: bool) -> list[DataFrame]:
     """Columns of fixed width fold in generated code; texts cannot, and would slow the others down. Each column is
     still read once, for a scan reads only the columns it folds."""
     numbered = list(enumerate(df.schema.fields, 1))
     fixed = [x for x in numbered if cells.is_numeric(x[1].dataType) or isinstance(x[1].dataType, ORDERED)]
     texts = [x for x in numbered if x not in fixed]
-    return [_fold(table, df, part) for part in (fixed, texts) if part]
+    return [_fold(table, df, part, estimates) for part in (fixed, texts) if part]
 
 
-def column_ranges(tables: dict[str, DataFrame]) -> DataFrame:
-    """Missing cells, minimum, maximum and mean of every column."""
-    out = union_all([part for t in table_names(tables) for part in _scan_one(t, tables[t])])
+def column_ranges(tables: dict[str, DataFrame], estimates: bool = False) -> DataFrame:
+    """Missing cells, minimum, maximum and mean of every column; with `estimates` also about how many different long texts a column holds."""
+    out = union_all([part for t in table_names(tables) for part in _scan_one(t, tables[t], estimates)])
     return out.withColumn("null_rate", F.when(F.col("total_rows") == 0, 0.0).otherwise(
         F.col("null_count") / F.col("total_rows")))
 
@@ -90,28 +104,33 @@ def column_ranges(tables: dict[str, DataFrame]) -> DataFrame:
 # ---- second scan: distinct cells and rows ------------------------------------------------------------------------
 
 def _cell(ordinal: int, long: str = "NULL", double: str = "NULL", text: str = "NULL", digest: str = "NULL",
-          order: str = "NULL") -> str:
+          order: str = "NULL", sample: str = "NULL") -> str:
     return (f"struct({ordinal} AS ordinal, CAST({long} AS BIGINT) AS k_long, CAST({double} AS DOUBLE) AS k_double,"
-            f" CAST({text} AS STRING) AS k_text, CAST({digest} AS BINARY) AS k_digest, CAST({order} AS STRING) AS k_order)")
+            f" CAST({text} AS STRING) AS k_text, CAST({digest} AS BINARY) AS k_digest, CAST({order} AS STRING) AS k_order,"
+            f" CAST({sample} AS STRING) AS k_sample)")
 
 
-def _column_cell(ordinal: int, field: T.StructField) -> str:
-    """Where a cell's identity goes: whole numbers, floats, short texts, or a digest of anything longer."""
+def _column_cell(ordinal: int, field: T.StructField, limit: str | None) -> str:
+    """Where a cell's identity goes: whole numbers, floats, short texts, or a digest of anything longer.
+
+    A long text whose md5 is below `limit` travels beside its digest: samples are taken from these.
+    """
     kind, c = field.dataType, _name(field)
     if isinstance(kind, T.IntegralType):
         return _cell(ordinal, long=c)
     if isinstance(kind, T.FloatType):  # by its shortest digits, so that samples show them; 0.0 and -0.0 are one value
-        return _cell(ordinal, double=f"CAST(CAST({_present(field)} AS STRING) AS DOUBLE) + 0.0D")
+        return _cell(ordinal, double=f"CAST(CAST({present_sql(field)} AS STRING) AS DOUBLE) + 0.0D")
     if isinstance(kind, T.DoubleType):
-        return _cell(ordinal, double=_present(field))
+        return _cell(ordinal, double=present_sql(field))
     if isinstance(kind, T.BinaryType):
-        return _cell(ordinal, text=_text(field), digest=f"unhex(sha2({c}, 256))", order=f"md5({c})")
-    text = _text(field)
+        return _cell(ordinal, text=text_sql(field), digest=f"unhex(sha2({c}, 256))", order=f"md5({c})")
+    text = text_sql(field)
     if isinstance(kind, T.StringType) or cells.is_nested(kind):
         long = f"octet_length({text}) > {LONG_TEXT}"
         return _cell(ordinal, text=f"CASE WHEN NOT ({long}) THEN {text} END",
                      digest=f"CASE WHEN {long} THEN unhex(sha2({text}, 256)) END",
-                     order=f"CASE WHEN {long} THEN md5({text}) END")
+                     order=f"CASE WHEN {long} THEN md5({text}) END",
+                     sample="NULL" if limit is None else f"CASE WHEN {long} AND md5({text}) < '{limit}' THEN {text} END")
     return _cell(ordinal, text=text)
 
 
@@ -120,30 +139,44 @@ def _row_digest(schema: T.StructType) -> str:
     parts = []
     for f in schema.fields:
         if cells.is_float(f.dataType):
-            text = f"CAST({_present(f)} + 0.0D AS STRING)"  # 0.0 and -0.0 are one value
+            text = f"CAST({present_sql(f)} + 0.0D AS STRING)"  # 0.0 and -0.0 are one value
         elif isinstance(f.dataType, T.BinaryType):
             text = f"hex({_name(f)})"
         else:
-            text = _text(f)
+            text = text_sql(f)
         if isinstance(f.dataType, T.StringType) or cells.is_nested(f.dataType):
             text = f"octet_length({text}) || ':' || {text}"
         parts.append(f"coalesce({text}, '-')")
     return f"unhex(sha2(concat_ws(',', {', '.join(parts)}), 256))"
 
 
-def _cells_of(table: str, df: DataFrame, rows: bool, columns: bool) -> DataFrame:
-    found = [_column_cell(i, f) for i, f in enumerate(df.schema.fields, 1)] if columns else []
+def _cells_of(table: str, df: DataFrame, rows: bool, columns: bool, limits: dict[tuple[str, int], str]) -> DataFrame:
+    found = [_column_cell(i, f, limits.get((table, i))) for i, f in enumerate(df.schema.fields, 1)] if columns else []
     if rows:
         found.append(_cell(ROW, digest=_row_digest(df.schema)))
-    return df.selectExpr(f"{_literal(table)} AS table_name", f"inline(array({', '.join(found)}))")
+    return df.selectExpr(f"{literal_sql(table)} AS table_name", f"inline(array({', '.join(found)}))")
 
 
 KEY = ["k_long", "k_double", "k_text", "k_digest"]
 
 
-def distinct_cells(tables: dict[str, DataFrame], rows: bool = True, columns: bool = True) -> DataFrame:
+def sample_limits(ranges: DataFrame) -> dict[tuple[str, int], str]:
+    """Per column of long texts a limit for their md5, from column_ranges with estimates: about CANDIDATES different texts lie below it.
+
+    So many that fewer than SAMPLES of them would be a chance below 1e-15; where a column has not more, all of them. One row a text column comes to
+    the driver.
+    """
+    out = {}
+    for r in ranges.filter("long_estimate > 0").select("table_name", "ordinal", "long_estimate").collect():
+        share = CANDIDATES / r.long_estimate
+        out[r.table_name, r.ordinal] = "g" if share >= 1 else f"{int(share * (1 << 48)):012x}"
+    return out
+
+
+def distinct_cells(tables: dict[str, DataFrame], rows: bool = True, columns: bool = True,
+                   limits: dict[tuple[str, int], str] | None = None) -> DataFrame:
     """Every distinct non-missing cell of every column, and every distinct row digest, of all tables."""
-    tall = union_all([_cells_of(t, tables[t], rows, columns) for t in table_names(tables)])
+    tall = union_all([_cells_of(t, tables[t], rows, columns, limits or {}) for t in table_names(tables)])
     return tall.dropna(how="all", subset=KEY).distinct()
 
 
@@ -153,41 +186,21 @@ def distinct_counts(cells_frame: DataFrame) -> DataFrame:
 
 # ---- samples -----------------------------------------------------------------------------------------------------
 
-def _long_texts(tables: dict[str, DataFrame]) -> DataFrame | None:
-    """Cells that travelled as digests, with their text."""
-    frames = []
-    for t in table_names(tables):
-        picks = [f"struct({i} AS ordinal, {_text(f)} AS long_text)" for i, f in enumerate(tables[t].schema.fields, 1)
-                 if isinstance(f.dataType, T.StringType) or cells.is_nested(f.dataType)]
-        if picks:
-            frames.append(tables[t].selectExpr(f"{_literal(t)} AS table_name", f"inline(array({', '.join(picks)}))"))
-    if not frames:
-        return None
-    return (union_all(frames).filter(F.octet_length("long_text") > LONG_TEXT)
-            .withColumn("sample_order", F.md5("long_text")))
-
-
 def sample_values(tables: dict[str, DataFrame], cells_frame: DataFrame | None = None, n: int = SAMPLES) -> DataFrame:
     """Up to n distinct non-missing values per column: those whose text has the smallest md5.
 
-    The rank filter keeps n rows per column and task before its shuffle. Long cells are fetched back by joining the
-    scan with at most n digests per column, a side whose size that rank bounds.
+    The rank filter keeps n rows per column and task before its shuffle. Cells given must have been made with sample_limits, for long texts are
+    only there below these; without cells both scans are run here.
     """
-    cells_frame = distinct_cells(tables, rows=False) if cells_frame is None else cells_frame
-    short = F.coalesce(F.col("k_text"), F.col("k_long").cast("string"), F.col("k_double").cast("string"))
-    order = F.coalesce("k_order", F.md5(short))
+    if cells_frame is None:
+        cells_frame = distinct_cells(tables, rows=False, limits=sample_limits(column_ranges(tables, estimates=True)))
+    value = F.coalesce(F.col("k_text"), F.col("k_long").cast("string"), F.col("k_double").cast("string"), F.col("k_sample"))
+    order = F.coalesce("k_order", F.md5(value))
     w = Window.partitionBy("table_name", "ordinal").orderBy("sample_order")
     # No filter goes on the cells here: this way the plan that counts them and the plan that samples them share a shuffle.
     picked = (cells_frame
-              .select("table_name", "ordinal", order.alias("sample_order"), short.alias("value"))
+              .select("table_name", "ordinal", order.alias("sample_order"), value.alias("value"))
               .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
-    on = ["table_name", "ordinal", "sample_order"]
-    scan = _long_texts(tables)
-    if scan is not None:
-        wanted = picked.filter(F.col("value").isNull()).select(*on)
-        fetched = scan.join(F.broadcast(wanted), on).select(*on, "long_text").distinct()
-        picked = (picked.join(fetched, on, "left")
-                  .withColumn("value", F.coalesce("value", "long_text")))
     lists = picked.groupBy("table_name", "ordinal").agg(
         F.array_sort(F.collect_list(F.struct("sample_order", "value"))).alias("s"))
     return lists.select("table_name", "ordinal", F.col("s.value").alias("sample_values"))
@@ -199,7 +212,9 @@ def column_profiles(tables: dict[str, DataFrame], samples: bool = True, ranges:
                     cells_frame: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """The full profile of every column of every table."""
     ranges = column_ranges(tables) if ranges is None else ranges
-    cells_frame = distinct_cells(tables, rows=False) if cells_frame is None else cells_frame
+    if cells_frame is None:
+        limits = sample_limits(column_ranges(tables, estimates=True)) if samples else None
+        cells_frame = distinct_cells(tables, rows=False, limits=limits)
     counts = distinct_counts(cells_frame) if counts is None else counts
     on = ["table_name", "ordinal"]
     out = ranges.join(counts, on, "left")
@@ -217,20 +232,6 @@ def column_profiles(tables: dict[str, DataFrame], samples: bool = True, ranges:
     return out
 
 
-def approximate_profiles(tables: dict[str, DataFrame], rsd: float = 0.05) -> DataFrame:
-    """Profile columns without the second scan: distinct counts are estimates, so no key flag is given."""
-    frames = []
-    for t in table_names(tables):
-        fields = tables[t].schema.fields
-        sketch = tables[t].agg(*[
-            F.approx_count_distinct(cells.cell_text(f) if cells.is_nested(f.dataType) else cells.present(f), rsd).alias(f"d_{i}")
-            for i, f in enumerate(fields)])
-        frames.append(sketch.select(F.lit(t).alias("table_name"), F.explode(F.array(*[
-            F.struct(F.lit(i + 1).alias("ordinal"), F.col(f"d_{i}").alias("unique_estimate"))
-            for i in range(len(fields))])).alias("c")).select("table_name", "c.*"))
-    return column_ranges(tables).join(union_all(frames), ["table_name", "ordinal"], "left")
-
-
 def table_sizes(ranges: DataFrame) -> DataFrame:
     """Rows, columns and completeness per table, from the first scan."""
     return ranges.groupBy("table_name").agg(
@@ -266,14 +267,45 @@ def database_profile(profiles: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int) -> DataFrame:
-    """A repeatable sample of n rows: those whose JSON text has the smallest md5."""
+    """A repeatable sample of n rows: those whose JSON text has the smallest md5.
+
+    Digests are counted by their first digits, a bounded table; all rows below the digits where the count reaches n are in, without being sorted. Only
+    the rows that share these digits are looked at again, by their next digits, until few are left or all of them are equal.
+    """
+    if n <= 0:
+        return df.limit(0)
     text = F.to_json(F.struct(*[cells.ref(c) for c in df.columns]), {"ignoreNullFields": "false"})
     key = "__order"
-    return df.withColumn(key, F.md5(text)).orderBy(key).limit(n).drop(key)  # equal keys are equal rows
+    keyed, prefix, taken = df.withColumn(key, F.md5(text)), "", []
+    while True:
+        digits = len(prefix) + PREFIX
+        rest = keyed.filter(F.col(key).startswith(prefix)) if prefix else keyed
+        sizes = rest.groupBy(F.left(key, F.lit(digits)).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+        last, below = None, 0
+        for r in sorted(sizes.collect()):  # 16 ** PREFIX rows at most
+            if below + r.n > n:
+                last = r
+                break
+            below += r.n
+        if last is None:  # all of them
+            return _all_rows([*taken, rest], key)
+        taken.append(rest.filter(F.col(key) < last.p))
+        n -= below
+        if n == 0:
+            return _all_rows(taken, key)
+        prefix = last.p
+        if last.low == last.high:  # equal rows: any n of them
+            return _all_rows([*taken, keyed.filter(F.col(key) == last.low).limit(n)], key)
+        if last.n <= SORTED or digits + PREFIX > 32:
+            return _all_rows([*taken, keyed.filter(F.col(key).startswith(prefix)).orderBy(key).limit(n)], key)
+
+
+def _all_rows(parts: list[DataFrame], key: str) -> DataFrame:
+    return union_all(parts).drop(key)
 
 
 def top_null_columns(profiles: DataFrame, n: int = 3) -> DataFrame:
-    """The n columns of each table with most missing cells; ties in schema order."""
-    w = Window.partitionBy("table_name").orderBy(F.desc("null_rate"), "ordinal")
+    """The n columns of each table of each source with most missing cells; ties in schema order."""
+    w = Window.partitionBy("source", "table_name").orderBy(F.desc("null_rate"), "ordinal")
     return (profiles.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-            .select("table_name", "rank", "column_name", "null_rate"))
+            .select("source", "table_name", "rank", "column_name", "null_rate"))

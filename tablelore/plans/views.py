@@ -1,4 +1,7 @@
-"""Result frames a reader queries: roll-ups, column dictionary, quality issues, one table's detail."""
+"""Result frames a reader queries: roll-ups, column dictionary, quality issues, one table's detail.
+
+Every frame that comes in carries a source column (catalog.with_source adds it to profiles), so several databases that share table names stay apart.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ TABLE = ["source", "table_name"]
 
 def table_rollup(tables: DataFrame, profiles: DataFrame, edges: DataFrame, findings: DataFrame) -> DataFrame:
     """One row per profiled table: size, completeness, quality flag, PII columns, edges."""
-    return (tables.join(profiles.select("table_name", "completeness_score", "has_data_quality_issues"), "table_name")
+    return (tables.join(profiles.select(*TABLE, "completeness_score", "has_data_quality_issues"), TABLE)
             .join(pii.pii_columns_per_table(findings), TABLE, "left")
             .join(relationships.edge_lists(edges), TABLE, "left")
             .select(*TABLE, "row_count", "column_count", "completeness_score",
@@ -25,7 +28,7 @@ def overall_stats(tables: DataFrame, profiles: DataFrame, edges: DataFrame, find
     """One row per source: tables, columns, completeness, edges, PII columns."""
     size = tables.groupBy("source").agg(F.count(F.lit(1)).alias("total_tables"),
                                         F.sum("column_count").cast("long").alias("total_columns"))
-    score = (tables.select(*TABLE).join(profiles.select("table_name", "completeness_score"), "table_name")
+    score = (tables.select(*TABLE).join(profiles.select(*TABLE, "completeness_score"), TABLE)
              .groupBy("source").agg(F.avg("completeness_score").alias("overall_completeness")))
     n_edges = edges.groupBy("source").agg(F.count(F.lit(1)).alias("total_relationships"))
     n_pii = findings.groupBy("source").agg(F.count_distinct("table_name", "column_name").alias("total_pii_columns"))
@@ -42,9 +45,9 @@ def column_dictionary(columns: DataFrame, profiles: DataFrame, findings: DataFra
     """Every column of every profiled table with its type, keys, quality, description and PII findings."""
     found = findings.groupBy(*TABLE, "column_name").agg(F.array_sort(F.collect_list(F.struct(
         "pii_type", "detection_method", "confidence", "sample_trigger"))).alias("pii_findings"))
-    rates = profiles.select("table_name", "column_name", "null_rate")
-    out = (columns.join(profiles.select("table_name").distinct(), "table_name", "left_semi")
-           .join(rates, ["table_name", "column_name"], "left")
+    rates = profiles.select(*TABLE, "column_name", "null_rate")
+    out = (columns.join(profiles.select(*TABLE).distinct(), TABLE, "left_semi")
+           .join(rates, [*TABLE, "column_name"], "left")
            .join(found, [*TABLE, "column_name"], "left"))
     if summaries is not None:
         out = out.join(summaries.select(*TABLE, "column_name", "business_description",
@@ -70,10 +73,10 @@ def table_report(profiles: DataFrame) -> DataFrame:
 
 def quality_issues(table_profiles: DataFrame, column_profiles: DataFrame, n: int = 3) -> DataFrame:
     """Flagged tables with their n columns of most missing cells."""
-    worst = profiling.top_null_columns(column_profiles, n).groupBy("table_name").agg(
+    worst = profiling.top_null_columns(column_profiles, n).groupBy(*TABLE).agg(
         F.array_sort(F.collect_list(F.struct("rank", "column_name", "null_rate"))).alias("top_null_columns"))
-    return (table_profiles.filter("has_data_quality_issues").join(worst, "table_name", "left")
-            .select("table_name", "completeness_score", "duplicate_row_count", "top_null_columns"))
+    return (table_profiles.filter("has_data_quality_issues").join(worst, TABLE, "left")
+            .select(*TABLE, "completeness_score", "duplicate_row_count", "top_null_columns"))
 
 
 def table_detail(table: str, columns: DataFrame, column_profiles: DataFrame, rollup: DataFrame, findings: DataFrame,
@@ -83,9 +86,9 @@ def table_detail(table: str, columns: DataFrame, column_profiles: DataFrame, rol
     schema = columns.filter(at).groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct(
         "ordinal", "column_name", "data_type", "is_nullable", "is_primary_key", "is_foreign_key",
         "foreign_key_references", "default_value"))).alias("table_schema"))
-    profile = column_profiles.filter(at).groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct(
-        *column_profiles.drop("table_name").columns))).alias("profile"))
-    out = (schema.join(profile, "table_name").join(rollup.filter(at), TABLE)
+    profile = column_profiles.filter(at).groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct(
+        *column_profiles.drop(*TABLE).columns))).alias("profile"))
+    out = (schema.join(profile, TABLE).join(rollup.filter(at), TABLE)
            .join(pii.findings_by_table(findings.filter(at)), TABLE, "left"))
     if summaries is not None:
         out = out.join(summaries.filter(at).select(*TABLE, F.struct("*").alias("summary")), TABLE, "left")

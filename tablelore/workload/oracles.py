@@ -126,7 +126,7 @@ ORACLES["estate_catalog"] = f"{WITH_ESTATE}{FLAGGED} SELECT * FROM flagged"
 
 ORACLES["column_nulls"] = (
     f"SELECT table_name, ordinal, column_name, total_rows, null_count, "
-    f"round(CAST(null_count AS DOUBLE) / total_rows, 9) AS null_rate FROM ({nulls(list(SPOILT.values()))})")
+    f"round(CAST(null_count AS DOUBLE) / total_rows, 9) AS null_rate FROM ({nulls(BOTH)})")
 
 ORACLES["column_uniqueness"] = (
     "SELECT table_name, ordinal, column_name, unique_count, round(CAST(unique_count AS DOUBLE) / n, 9) AS uniqueness_rate, "
@@ -143,11 +143,33 @@ ORACLES["text_min_max"] = per_column(
     BOTH, lambda t, i, n, k: f"'{n}' AS column_name, CAST(min({n}) AS VARCHAR) AS min_value, CAST(max({n}) AS VARCHAR) AS max_value",
     lambda k: k in ("text", "time"))
 
+def java_text(x: str) -> str:
+    """A float as Java writes it: with an exponent below a thousandth and from ten millions on."""
+    s = f"regexp_replace(CAST({x} AS VARCHAR), '^-', '')"
+    digits = f"rtrim(ltrim(regexp_replace(regexp_replace({s}, 'e.*$', ''), '[.]', ''), '0'), '0')"
+    power = f"CAST(floor(log10(abs({x}))) AS INT)"
+    exponent = f"({power} + CASE WHEN abs({x}) >= power(10.0, {power} + 1) THEN 1 WHEN abs({x}) < power(10.0, {power}) THEN -1 ELSE 0 END)"
+    return (f"CASE WHEN {x} = 0 OR (abs({x}) >= 1e-3 AND abs({x}) < 1e7) THEN CAST({x} AS VARCHAR) ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || "
+            f"left({digits}, 1) || '.' || CASE WHEN length({digits}) > 1 THEN substr({digits}, 2) ELSE '0' END || 'E' || {exponent} END")
+
+
+def cell_text(name: str, kind: str) -> str:
+    if kind == "double":
+        return java_text(name)
+    if kind == "array":
+        return f"'[' || array_to_string([{java_text('x')} FOR x IN {name}], ',') || ']'"
+    return f"CAST({name} AS VARCHAR)"
+
+
 ORACLES["sample_values"] = " UNION ALL ".join(
     f"SELECT '{t.label}' AS table_name, '{n}' AS column_name, string_agg(v, '|' ORDER BY h) AS samples FROM ("
-    f"SELECT v, md5(v) AS h FROM (SELECT DISTINCT CAST({n} AS VARCHAR) AS v FROM {t.frm} WHERE {n} IS NOT NULL) ORDER BY h LIMIT 5)"
-    for t in GIVEN if t.label in ("orders", "part", "documents", "conversations", "events", "pages")
-    for i, n, k in t.columns if k != "double")
+    f"SELECT v, md5(v) AS h FROM (SELECT DISTINCT {cell_text(n, k)} AS v FROM {t.frm} WHERE {n} IS NOT NULL) ORDER BY h LIMIT 5)"
+    for t in GIVEN for i, n, k in t.columns)
+
+ORACLES["approximate_distinct"] = per_column(BOTH, lambda t, i, n, k: (
+    f"'{n}' AS column_name, count(*) AS total_rows, count(*) - count({t.present(n, k)}) AS null_count, "
+    + (f"CAST(min({t.present(n, k)}) AS DOUBLE) AS min_num, CAST(max({t.present(n, k)}) AS DOUBLE) AS max_num, round(avg({t.present(n, k)}), 5) AS mean_value, "
+       if k in ("int", "double") else "NULL AS min_num, NULL AS max_num, NULL AS mean_value, ") + "true AS within_bound"))
 
 ORACLES["duplicate_rows"] = (
     f"SELECT table_name, total_rows, total_columns, round(completeness_score, 9) AS completeness_score, "
@@ -171,7 +193,7 @@ ORACLES["display_values"] = (
     "CASE WHEN p_type = 'PROMO' THEN '' ELSE p_type END AS p_type FROM part")
 
 ORACLES["top_null_columns"] = (
-    f"WITH n AS ({nulls(list(SPOILT.values()))}), p AS ({profiles(list(SPOILT.values()))}), "
+    f"WITH n AS ({nulls(BOTH)}), p AS ({profiles(BOTH)}), "
     "r AS (SELECT *, CAST(null_count AS DOUBLE) / total_rows AS rate, row_number() OVER (PARTITION BY table_name "
     "ORDER BY CAST(null_count AS DOUBLE) / total_rows DESC, ordinal) AS rank FROM n) "
     "SELECT r.table_name, p.duplicate_row_count, CAST(r.rank AS INT) AS rank, r.column_name, round(r.rate, 9) AS null_rate "
@@ -574,6 +596,48 @@ ORACLES["column_dictionary"] = (
     "LEFT JOIN (SELECT table_name, column_name, string_agg(pii_type, ',' ORDER BY pii_type) AS kinds FROM best "
     "GROUP BY table_name, column_name) f ON c.table_name = f.table_name AND c.column_name = f.column_name")
 
+UNIQUE = per_column(MIXED, lambda t, i, n, k: f"{i} AS ordinal, '{n}' AS column_name, count(*) - count({t.present(n, k)}) AS null_count, "
+                                              f"count(DISTINCT {t.present(n, k)}) AS unique_count")
+FOUND = "(SELECT table_name, string_agg(column_name || ':' || pii_type, ',' ORDER BY column_name, pii_type) AS pii FROM best GROUP BY table_name)"
+EDGE_LISTS = "(SELECT table_name, string_agg(edge, '; ' ORDER BY edge) AS edges FROM touch GROUP BY table_name)"
+ORACLES["table_detail"] = (
+    f"{STAR_VIEW}, uniq AS ({UNIQUE}) SELECT p.table_name, p.total_rows AS row_count, p.total_columns AS column_count, "
+    "round(p.completeness_score, 9) AS completeness_score, p.flag AS has_quality_issues, coalesce(e.edges, '') AS relationships, coalesce(f.pii, '') AS findings, "
+    "u.ordinal, u.column_name, c.is_primary_key, c.foreign_key_references, u.null_count, u.unique_count "
+    f"FROM prof p JOIN uniq u ON u.table_name = p.table_name JOIN flagged c ON c.table_name = u.table_name AND c.column_name = u.column_name "
+    f"LEFT JOIN {FOUND} f ON f.table_name = p.table_name LEFT JOIN {EDGE_LISTS} e ON e.table_name = p.table_name WHERE p.table_name = 'orders'")
+ORACLES["dictionary_document"] = (
+    f"{STAR_VIEW}, uniq AS ({UNIQUE}), "
+    "cc AS (SELECT u.table_name, string_agg(u.column_name || ':' || c.is_primary_key || ':' || c.is_foreign_key, ',' ORDER BY u.ordinal) AS columns, "
+    "string_agg(u.column_name || ':' || u.null_count || ':' || u.unique_count, ',' ORDER BY u.ordinal) AS profiles "
+    "FROM uniq u JOIN flagged c ON c.table_name = u.table_name AND c.column_name = u.column_name GROUP BY u.table_name), "
+    "ee AS (SELECT table_name, string_agg(e, ',' ORDER BY e) AS edges FROM (SELECT unnest(list_distinct([from_table, to_table])) AS table_name, "
+    "from_table || '.' || from_column || '.' || to_table || '.' || to_column AS e FROM edges) GROUP BY table_name), "
+    "kk AS (SELECT table_name, string_agg('fk_' || table_name || '_' || fk_position || ':' || to_table, ',' ORDER BY fk_position) AS foreign_keys FROM fks GROUP BY table_name) "
+    "SELECT p.table_name, p.total_rows AS row_count, round(p.completeness_score, 9) AS completeness_score, p.duplicate_row_count, cc.columns, cc.profiles, "
+    "coalesce(kk.foreign_keys, '') AS foreign_keys, ee.edges, f.pii FROM prof p JOIN cc ON cc.table_name = p.table_name "
+    f"LEFT JOIN kk ON kk.table_name = p.table_name LEFT JOIN ee ON ee.table_name = p.table_name LEFT JOIN {FOUND} f ON f.table_name = p.table_name")
+ORACLES["database_document"] = (
+    f"{STAR_VIEW}, o AS (SELECT * FROM ({ORACLES['overall_stats'].removeprefix(STAR_VIEW)})), "
+    "b AS (SELECT string_agg(pii_type || '=' || n, ',' ORDER BY pii_type) AS by_pii_type FROM (SELECT pii_type, count(*) AS n FROM best GROUP BY pii_type)), "
+    "a AS (SELECT string_agg(from_table || '>' || t, ',' ORDER BY from_table) AS adjacency FROM (SELECT from_table, string_agg(to_table, '+' ORDER BY to_table) AS t "
+    "FROM (SELECT DISTINCT from_table, to_table FROM edges) GROUP BY from_table)), "
+    "i AS (SELECT coalesce(string_agg(table_name, ',' ORDER BY table_name), '') AS tables_with_issues FROM prof WHERE flag), "
+    f"s AS ({HASH.format(key='source', cols='cols')}) "
+    f"SELECT '{SOURCE}' AS source, '2024-01-01T00:00:00' AS generated_at, o.*, i.tables_with_issues, a.adjacency, b.by_pii_type, s.schema_hash FROM o, b, a, i, s")
+
+
+def _database(source: str, tables: list[Table]) -> str:
+    return (f"SELECT '{source}' AS source, p.table_name, p.total_rows AS row_count, p.total_columns AS column_count, round(p.completeness_score, 9) AS completeness_score, "
+            f"p.flag AS has_quality_issues, n.columns, n.null_rates, printf('Completeness (avg): %.3f; duplicate rows: %d; quality flag: %s', p.completeness_score, "
+            f"p.duplicate_row_count, CASE WHEN p.flag THEN 'True' ELSE 'False' END) AS data_quality_notes, count(*) OVER () AS total_tables, "
+            f"round(avg(p.completeness_score) OVER (), 9) AS overall_completeness FROM ({profiles(tables)}) p JOIN (SELECT table_name, count(*) AS columns, "
+            f"round(sum(CAST(null_count AS DOUBLE) / total_rows), 6) AS null_rates FROM ({nulls(tables)}) GROUP BY table_name) n ON n.table_name = p.table_name")
+
+
+ORACLES["two_databases"] = " UNION ALL ".join([
+    _database("given", [t for t in GIVEN if t.label in SPOILT]), _database("spoilt", list(SPOILT.values()))])
+
 # ---- texts -------------------------------------------------------------------------------------------------------
 
 ORACLES["fallback_column_notes"] = (

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablelore.functions import cells, pii as pii_names
-from tablelore.operators import catalog, cleaning, pii, profiling, relationships, versions
+from tablelore.operators import catalog, cleaning, pii, profiling, relationships, sketches, versions
 from tablelore.plans import dictionary, summaries, views
+from tablelore.session import settle
 from tablelore.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,16 +70,21 @@ def estate_catalog(spark, sf):
 
 # ---- profiles ----------------------------------------------------------------------------------------------------
 
+def _both(spark, sf) -> dict[str, DataFrame]:
+    """All tables as given, and the degraded copies under names of their own."""
+    return {**inputs.load(spark, sf), **{f"{t}_degraded": d for t, d in inputs.degraded(spark, sf).items()}}
+
+
 @query
 def column_nulls(spark, sf):
-    ranges = profiling.column_ranges(inputs.degraded(spark, sf))
+    ranges = profiling.column_ranges(_both(spark, sf))
     return ranges.select("table_name", "ordinal", "column_name", "total_rows", "null_count",
                          F.round("null_rate", 9).alias("null_rate"))
 
 
 @query
 def column_uniqueness(spark, sf):
-    tables = {**inputs.load(spark, sf), **{f"{t}_degraded": d for t, d in inputs.degraded(spark, sf).items()}}
+    tables = _both(spark, sf)
     profiles = profiling.column_profiles(tables, samples=False)
     return profiles.select("table_name", "ordinal", "column_name", "unique_count",
                            F.round("uniqueness_rate", 9).alias("uniqueness_rate"), "is_constant", "is_unique_key")
@@ -86,14 +92,14 @@ def column_uniqueness(spark, sf):
 
 @query
 def numeric_stats(spark, sf):
-    tables = {**inputs.load(spark, sf), **{f"{t}_degraded": d for t, d in inputs.degraded(spark, sf).items()}}
+    tables = _both(spark, sf)
     return (profiling.column_ranges(tables).filter("min_num IS NOT NULL")
             .select("table_name", "column_name", "min_num", "max_num", F.round("mean_value", 5).alias("mean_value")))
 
 
 @query
 def text_min_max(spark, sf):
-    tables = {**inputs.load(spark, sf), **{f"{t}_degraded": d for t, d in inputs.degraded(spark, sf).items()}}
+    tables = _both(spark, sf)
     return (profiling.column_ranges(tables)
             .filter("min_num IS NULL AND data_type IN ('string', 'timestamp_ntz') AND null_count < total_rows")
             .select("table_name", "column_name", "min_value", "max_value"))
@@ -101,16 +107,16 @@ def text_min_max(spark, sf):
 
 @query
 def sample_values(spark, sf):
-    tables = inputs.load(spark, sf, "orders", "part", "documents", "conversations", "events", "pages")
-    names = profiling.column_ranges(tables).select("table_name", "ordinal", "column_name", "data_type")
-    return (profiling.sample_values(tables).join(names, ["table_name", "ordinal"])
-            .filter("data_type <> 'double'")
+    tables = inputs.load(spark, sf)
+    ranges = settle(profiling.column_ranges(tables, estimates=True))
+    cells_frame = profiling.distinct_cells(tables, rows=False, limits=profiling.sample_limits(ranges))
+    return (profiling.sample_values(tables, cells_frame).join(ranges, ["table_name", "ordinal"])
             .select("table_name", "column_name", joined("sample_values", "|").alias("samples")))
 
 
 @query
 def duplicate_rows(spark, sf):
-    tables = {**inputs.load(spark, sf), **{f"{t}_degraded": d for t, d in inputs.degraded(spark, sf).items()}}
+    tables = _both(spark, sf)
     return profiling.table_profiles(tables).select(
         "table_name", "total_rows", "total_columns", F.round("completeness_score", 9).alias("completeness_score"),
         "duplicate_row_count", "has_data_quality_issues")
@@ -142,9 +148,9 @@ def display_values(spark, sf):
 
 @query
 def top_null_columns(spark, sf):
-    tables = inputs.degraded(spark, sf)
-    ranges = profiling.column_ranges(tables)
-    issues = views.quality_issues(profiling.table_profiles(tables, ranges), ranges)
+    tables = _both(spark, sf)
+    ranges = settle(profiling.column_ranges(tables))
+    issues = views.quality_issues(*(catalog.with_source(f, inputs.SOURCE) for f in (profiling.table_profiles(tables, ranges), ranges)))
     return (issues.select("table_name", "duplicate_row_count", F.explode("top_null_columns").alias("t"))
             .select("table_name", "duplicate_row_count", "t.rank", "t.column_name", F.round("t.null_rate", 9).alias("null_rate")))
 
@@ -161,8 +167,13 @@ def quality_labels(spark, sf):
 
 @query
 def approximate_distinct(spark, sf):
-    return profiling.approximate_profiles(inputs.load(spark, sf)).select(
-        "table_name", "column_name", "total_rows", "null_count", "unique_estimate")
+    """Estimates from mergeable sketches, held against the exact counts: each within four standard errors."""
+    tables = _both(spark, sf)
+    exact = profiling.distinct_counts(profiling.distinct_cells(tables, rows=False))
+    found = sketches.profiles_of(sketches.column_states(tables)).join(exact, ["table_name", "ordinal"], "left")
+    unique = F.coalesce("unique_count", F.lit(0))
+    near = F.abs(F.col("unique_estimate") - unique) <= 1 + sketches.error_bound() * unique
+    return found.select("table_name", "column_name", "total_rows", "null_count", "min_num", "max_num", F.round("mean_value", 5).alias("mean_value"), near.alias("within_bound"))
 
 
 # ---- cleaning ----------------------------------------------------------------------------------------------------
@@ -427,7 +438,7 @@ def _rollup_parts(spark, sf):
 @query
 def table_rollup(spark, sf):
     tables, sizes, edges, found = _rollup_parts(spark, sf)
-    return views.table_rollup(sizes, profiling.table_profiles(tables), edges, found).select(
+    return views.table_rollup(sizes, catalog.with_source(profiling.table_profiles(tables), inputs.SOURCE), edges, found).select(
         "table_name", "row_count", "column_count", F.round("completeness_score", 9).alias("completeness_score"),
         "has_quality_issues", "pii_column_count", joined("relationships", "; ").alias("relationships"))
 
@@ -435,7 +446,7 @@ def table_rollup(spark, sf):
 @query
 def overall_stats(spark, sf):
     tables, sizes, edges, found = _rollup_parts(spark, sf)
-    scores = profiling.table_sizes(profiling.column_ranges(tables))
+    scores = catalog.with_source(profiling.table_sizes(profiling.column_ranges(tables)), inputs.SOURCE)
     return views.overall_stats(sizes, scores, edges, found).select(
         "total_tables", "total_columns", F.round("overall_completeness", 9).alias("overall_completeness"),
         "total_relationships", "total_pii_columns")
@@ -445,7 +456,7 @@ def overall_stats(spark, sf):
 def column_dictionary(spark, sf):
     tables, keys, columns = _warehouse(spark, sf, inputs.mixed(spark, sf))
     findings = pii.best_findings(pii.scan(tables, columns, inputs.SOURCE))
-    d = views.column_dictionary(columns, profiling.column_ranges(tables), findings)
+    d = views.column_dictionary(columns, catalog.with_source(profiling.column_ranges(tables), inputs.SOURCE), findings)
     kinds = F.transform("pii_findings", lambda f: f["pii_type"])
     return d.select("table_name", "ordinal", "column_name", "is_primary_key", "is_foreign_key", "foreign_key_references",
                     F.round("null_rate", 9).alias("null_rate"), "null_rate_pct", "quality_class", joined(kinds).alias("pii_types"))
@@ -453,13 +464,53 @@ def column_dictionary(spark, sf):
 
 @query
 def table_detail(spark, sf):
-    d = _dictionary(spark, sf, samples=True)
-    return views.table_detail("orders", d.columns, d.column_profiles, d.rollup(), d.findings)
+    d = dictionary.table_detail(spark, inputs.mixed(spark, sf), "orders", inputs.SOURCE, inputs.star_keys(spark))
+    kinds = F.transform("findings", lambda f: F.concat(f["column_name"], F.lit(":"), f["pii_type"]))
+    column = F.explode(F.arrays_zip("profile", "table_schema")).alias("c")
+    return d.select("table_name", "row_count", "column_count", F.round("completeness_score", 9).alias("completeness_score"), "has_quality_issues",
+                    joined("relationships", "; ").alias("relationships"), F.coalesce(joined(kinds), F.lit("")).alias("findings"), column).select(
+        "table_name", "row_count", "column_count", "completeness_score", "has_quality_issues", "relationships", "findings", "c.profile.ordinal", "c.profile.column_name",
+        "c.table_schema.is_primary_key", "c.table_schema.foreign_key_references", "c.profile.null_count", "c.profile.unique_count")
 
 
 @query
 def dictionary_document(spark, sf):
-    return dictionary.document(_dictionary(spark, sf, samples=True))
+    doc = dictionary.document(_dictionary(spark, sf, samples=True))
+
+    def text(c: str, *fields: str) -> Column:
+        return F.coalesce(joined(F.transform(c, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields]))), F.lit(""))
+
+    return doc.select("table_name", "row_count", F.round("completeness_score", 9).alias("completeness_score"), "duplicate_row_count",
+                      text("columns", "column_name", "is_primary_key", "is_foreign_key").alias("columns"),
+                      text("column_profiles", "column_name", "null_count", "unique_count").alias("profiles"),
+                      text("foreign_keys", "fk_name", "referred_table").alias("foreign_keys"),
+                      F.array_join(F.array_sort(F.transform("relationships", lambda e: F.concat_ws(".", e["from_table"], e["from_column"], e["to_table"], e["to_column"]))), ",").alias("edges"),
+                      F.array_join(F.array_sort(F.transform("pii_findings", lambda f: F.concat_ws(":", f["column_name"], f["pii_type"]))), ",").alias("pii"))
+
+
+@query
+def database_document(spark, sf):
+    doc = dictionary.database_document(_dictionary(spark, sf), "2024-01-01T00:00:00")
+    arcs = F.transform("adjacency", lambda a: F.concat(a["from_table"], F.lit(">"), F.array_join(a["to_tables"], "+")))
+    by_type = F.transform(F.map_entries("pii_summary.by_pii_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return doc.select("source", "generated_at", "total_tables", "total_columns", F.round("overall_completeness", 9).alias("overall_completeness"), "total_relationships",
+                      "total_pii_columns", joined("tables_with_issues").alias("tables_with_issues"), joined(arcs).alias("adjacency"), joined(by_type).alias("by_pii_type"),
+                      "schema_hash")
+
+
+@query
+def two_databases(spark, sf):
+    """Two databases that share table names, one as given, one degraded: nothing of one shows under the other."""
+    names = ("customer", "orders", "lineitem")
+    parts = [dictionary.build(spark, tables, source, samples=False, find_pii=False)
+             for source, tables in (("given", inputs.load(spark, sf, *names)), ("spoilt", inputs.degraded(spark, sf, *names)))]
+    both = dictionary.combine(parts)
+    stats = both.stats().select("source", "total_tables", F.round("overall_completeness", 9).alias("overall_completeness"))
+    rates = both.column_dictionary().groupBy("source", "table_name").agg(F.count(F.lit(1)).alias("columns"), F.round(F.sum("null_rate"), 6).alias("null_rates"))
+    notes = both.fallback_summaries().select("source", "table_name", "data_quality_notes")
+    return both.rollup().join(rates, ["source", "table_name"]).join(notes, ["source", "table_name"]).join(stats, "source").select(
+        "source", "table_name", "row_count", "column_count", F.round("completeness_score", 9).alias("completeness_score"), "has_quality_issues", "columns", "null_rates",
+        "data_quality_notes", "total_tables", "overall_completeness")
 
 
 # ---- texts -------------------------------------------------------------------------------------------------------

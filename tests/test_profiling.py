@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F, types as T
 
-from tablelore.operators import profiling as P
+from tablelore.operators import catalog, profiling as P
 from tablelore.plans import views
 
 NAN = float("nan")
@@ -115,18 +115,72 @@ def test_sample_rows_is_repeatable(spark):
     a = P.sample_rows(df, 20).collect()
     b = P.sample_rows(df.repartition(7), 20).collect()
     assert len(a) == 20 and sorted(a) == sorted(b) and P.sample_rows(df.limit(0), 20).count() == 0
-
-
-def test_approximate_profiles(spark):
-    df = spark.range(1000).select("id", F.lit("x").alias("c"))
-    p = by_column(P.approximate_profiles({"t": df}))
-    assert abs(p["t", "id"].unique_estimate - 1000) < 150 and p["t", "c"].unique_estimate == 1
+    assert P.sample_rows(df, 0).count() == 0 and P.sample_rows(df, 500).count() == P.sample_rows(df, 900).count() == 500
+    key = F.md5(F.to_json(F.struct("id", "b")))
+    assert sorted(a) == sorted(df.orderBy(key).limit(20).collect())
+
+
+def test_large_samples_and_equal_rows_are_not_sorted_whole(spark, monkeypatch):
+    monkeypatch.setattr(P, "PREFIX", 1)
+    monkeypatch.setattr(P, "SORTED", 50)
+    df = spark.range(20_000).select("id")
+    want = {r.id for r in df.orderBy(F.md5(F.to_json(F.struct("id")))).limit(12_345).collect()}
+    got = P.sample_rows(df, 12_345)
+    assert {r.id for r in got.collect()} == want and got.count() == 12_345
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=12345" not in plan and "rangepartitioning" not in plan
+    same = spark.range(5000).select(F.lit("x").alias("s")).union(spark.range(100).select(F.col("id").cast("string")))
+    for n in (1, 60, 3000, 5099, 5100, 6000):
+        assert P.sample_rows(same, n).count() == min(n, 5100)
+
+
+def test_samples_of_many_long_texts_travel_below_a_limit(spark):
+    text = F.concat(F.repeat(F.lit("long "), F.lit(20)), F.col("id").cast("string"))
+    df = spark.range(20_000).select(text.alias("s"), F.when(F.col("id") < 3, text).alias("few"), F.lit(None).cast("string").alias("none"), F.array(text).alias("nested"))
+    ranges = P.column_ranges({"t": df}, estimates=True)
+    limits = P.sample_limits(ranges)
+    assert set(limits) == {("t", 1), ("t", 2), ("t", 4)} and limits["t", 2] == "g"
+    cells = P.distinct_cells({"t": df}, limits=limits)
+    travelling = {r.ordinal: r.n for r in cells.filter("k_sample IS NOT NULL").groupBy("ordinal").agg(F.count("*").alias("n")).collect()}
+    assert 40 < travelling[1] < 200 and travelling[2] == 3
+    p = {r.column_name: r.sample_values for r in P.column_profiles({"t": df}).collect()}
+    assert p["s"] == [r.s for r in df.select("s").distinct().orderBy(F.md5("s")).limit(5).collect()]
+    assert len(p["few"]) == 3 and p["none"] == [] and len(p["nested"]) == 5
+
+
+def test_states_merge_and_only_new_files_are_read(spark, tmp_path):
+    from tablelore.operators import sketches
+
+    def part(a, b):
+        return spark.range(a, b).select("id", (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("t"), F.col("id"))).alias("s"))
+
+    table, other = str(tmp_path / "grown"), str(tmp_path / "other")
+    part(0, 3000).coalesce(2).write.parquet(table)
+    part(0, 10).coalesce(1).write.parquet(other)
+    store = sketches.ProfileStore(spark, str(tmp_path / "store"))
+    assert store.profiles().count() == 0
+    assert store.update({"grown": table, "other": other}) == {"grown": 2, "other": 1}
+    part(2000, 6000).withColumn("more", F.lit(1)).coalesce(1).write.mode("append").parquet(table)
+    assert store.update({"grown": table, "other": other}) == {"grown": 1, "other": 0}
+    assert store.update({"grown": table, "other": other}) == {"grown": 0, "other": 0}
+    p = {(r.table_name, r.column_name): r for r in store.profiles().collect()}
+    whole = spark.read.option("mergeSchema", "true").parquet(table)
+    fresh = {r.column_name: r for r in sketches.profiles_of(sketches.column_states({"grown": whole})).collect()}
+    for c in ("id", "x", "s", "more"):
+        a, b = p["grown", c], fresh[c]
+        assert (a.total_rows, a.null_count, a.min_num, a.max_num, a.mean_value) == (b.total_rows, b.null_count, b.min_num, b.max_num, b.mean_value)
+        assert a.unique_estimate == b.unique_estimate  # a merged sketch is the sketch of the whole
+    assert abs(p["grown", "id"].unique_estimate - 6000) < 6000 * sketches.error_bound() and p["grown", "s"].min_value == "t0"
+    assert p["other", "x"].unique_estimate == 7 and p["grown", "more"].null_count == 3000
+    part(0, 5).coalesce(1).write.mode("overwrite").parquet(other)  # what was profiled is gone: the table starts anew
+    assert store.update({"grown": table, "other": other})["other"] == 1
+    assert {r.column_name: r.total_rows for r in store.profiles().filter("table_name = 'other'").collect()} == {"id": 5, "x": 5, "s": 5}
 
 
 def test_quality_issues_and_report(spark):
     df = spark.createDataFrame([(None, None, None, 1), (None, None, 2, 1), (None, 3, 2, 1)], "a int, b int, c int, d int")
-    ranges = P.column_ranges({"t": df, "fine": df.select("d").limit(1)})
-    issues = views.quality_issues(P.table_profiles({"t": df, "fine": df.select("d").limit(1)}, ranges), ranges).collect()
+    ranges = catalog.with_source(P.column_ranges({"t": df, "fine": df.select("d").limit(1)}), "db")
+    issues = views.quality_issues(catalog.with_source(P.table_profiles({"t": df, "fine": df.select("d").limit(1)}, ranges), "db"), ranges).collect()
     assert [(i.table_name, [x.column_name for x in i.top_null_columns]) for i in issues] == [("t", ["a", "b", "c"])]
     r = {x.table_name: x for x in views.table_report(P.table_sizes(ranges)).collect()}
     assert (r["t"].completeness_pct, r["t"].completeness_class) == (50.0, "bad") and r["fine"].completeness_class == "good"

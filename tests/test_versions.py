@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,10 +117,13 @@ def test_store_round_trip(spark, tmp_path):
 
 def test_document(spark, tmp_path):
     d = _dictionary(spark, 4)
-    doc = dictionary.document(d)
-    path = dictionary.write_document(doc, str(tmp_path), "parquet_folder", "2024-01-01T00:00:00")
-    assert path.endswith("dictionary_result_parquet_folder_2024-01-01T00-00-00.json")
-    back = spark.read.json(path).first()
+    path = dictionary.write_document(d, str(tmp_path), "parquet_folder", "2024-01-01T00:00:00")
+    assert path.endswith("dictionary_result_parquet_folder_2024-01-01T00-00-00")
+    whole = spark.read.json(f"{path}/database").first()
+    assert (whole.source, whole.total_tables, whole.total_columns, whole.generated_at) == ("Data/Shop", 1, 2, "2024-01-01T00:00:00")
+    assert whole.tables_with_issues == ["t"] and whole.adjacency == [] and whole.pii_summary.by_pii_type.EMAIL == 1 and whole.overall_completeness == 0.75
+    assert json.loads((tmp_path / path.split("/")[-1] / "manifest.json").read_text())["lines"] == {"database": 1, "tables": 1}
+    back = spark.read.json(f"{path}/tables").first()
     assert back.table_name == "t" and back.row_count == 4 and [c.column_name for c in back.columns] == ["id", "email"]
     assert back.pii_findings[0].pii_type == "EMAIL" and back.column_profiles[1].null_count == 2
     assert d.rollup().first().pii_column_count == 1 and d.stats().first().total_columns == 2
@@ -128,7 +132,6 @@ def test_document(spark, tmp_path):
     assert "  - id: bigint (nullable=" in prompt and "PK=False" in prompt
     assert "  - email: null_rate=0.500, uniqueness_rate=0.250" in prompt and "  (none detected)" in prompt
     assert "  - email: EMAIL via rule_based (confidence=0.95)" in prompt
-    d.release()
 
 
 def _parts(spark, i, rows=100, names=("a", "b"), path="Data/Shop"):
