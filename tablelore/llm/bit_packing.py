@@ -149,7 +149,7 @@ def _encoded(path: str, end_id: int, width: int):
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> str:
     """Writes the token ids of every whole text, `end_id` after each, and returns the folder (a new shared one if none is given).
 
-    Null text counts as empty, so it is the end id alone. Rows without an id are left out; rows that repeat an id are all written, ordered by text. Other
+    Null text counts as empty, so it is the end id alone. Rows without an id are left out; rows that repeat an id are all written, ordered by a hash of the text. Other
     columns are ignored. An empty table gives empty files. Documents are dealt to shards by ranges of (id, text): one repeated id
     does not fill a shard. `tokenizer` names a file of the tokenizers library whose tokens never reach over white space.
     """

@@ -19,6 +19,8 @@ from tablelore.llm.common import as_bytes, in_chunks
 
 WINDOW = 128
 BATCH = 2048
+SPAN = 1 << 30  # steps of the hash that documents are sampled by
+CANDIDATES = 4  # times as many documents as wanted lie below the limit
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -159,7 +161,12 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", docs_per_language: int = 400,
         windows_per_doc: int = 8, window: int = 64) -> tuple[list[str], Network | None]:
-    """Languages, ascending, and a network trained on a bounded sample: docs_per_language documents of each (smallest hash of the key), windows_per_doc windows of each."""
+    """Languages, ascending, and a network trained on a bounded sample: docs_per_language documents of each (smallest hash of key and text), windows_per_doc windows of each.
+
+    Rows that repeat key and text count once, however many there are; a null key is a key like any other. Rows without a language or with a null or empty
+    text are left out. A row a language comes to the driver, as the network has an output for each; from that follows a limit for the hash, so
+    that about CANDIDATES times as many documents as wanted are looked at, and no others move.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -170,11 +177,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
                 out += [(lang, raw[s : s + window]) for s in sorted(set(starts.tolist()))]
             yield pd.DataFrame(out, columns=["lang", "w"])
 
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col).alias("h"), F.col(key_col).alias("k"))
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col).alias("h"))
     rows = rows.where("lang IS NOT NULL AND length(text) > 0")
-    first = rows.select("lang", "h", "k").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))).where(F.col("at") <= docs_per_language)
-    picked = rows.join(first.select("k").distinct(), "k", "left_semi")
-    sample = picked.mapInPandas(cut, "lang string, w binary").toPandas()
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    if not sizes:
+        return [], None
+    limit = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, max(1, min(SPAN, int(SPAN * CANDIDATES * docs_per_language / r.n))))))
+    near = rows.where(F.pmod("h", F.lit(SPAN)) < F.try_element_at(limit, F.col("lang")))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "h")
+    picked = once.withColumn("at", F.row_number().over(order)).where(F.col("at") <= docs_per_language)
+    sample = picked.select("lang", "text", "h").mapInPandas(cut, "lang string, w binary").toPandas()
     if sample.empty:
         return [], None
     sample = sample.sort_values(["lang", "w"], kind="stable")
@@ -186,10 +199,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
 def predict(docs: DataFrame, languages: list[str], net: Network | None, text_col: str = "text") -> DataFrame:
     """The rows with lang_pred and score: the language of the highest pooled probability (ties: the smaller name), and that probability.
 
-    Null, empty and letterless texts, and all texts if nothing was learned, are `und` with score 0. Only the text is used.
+    Null, empty and letterless texts, and all texts if nothing was learned, are `und` with score 0. Only the text is used. Columns of docs with the
+    names of the new ones are replaced; rows that repeat are all returned.
     """
+    docs = docs.drop(*(c for c in ("lang_pred", "score") if c != text_col))
     if net is None:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+        return docs.drop(text_col).withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     model = docs.sparkSession.sparkContext.broadcast((languages, net))
     at = docs.columns.index(text_col)
 

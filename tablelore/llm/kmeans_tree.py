@@ -116,25 +116,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     """query_id, rank (from 1), id, score: the k nearest rows found for each query, other than the query's own row; ties to the smaller id.
 
     `queries` are rows of `vectors`, with the same columns. Vectors that are null, empty, zero or hold a null or non-finite component take no
-    part, neither do rows without an id; of several lengths the most frequent (then the smaller) is searched. Repeated (id, vector) rows count
-    once. Equal vectors are indexed once with their k+1 smallest ids, which are all that a result can hold. An empty table gives no rows.
-    Other columns are ignored. sample_rows bounds what the tree is fitted on, calibration_queries what is compared with all vectors.
+    part, neither do rows without an id. Vectors of one length are searched among those of that length, each length with a tree of its own.
+    Repeated (id, vector) rows count once. Equal vectors are indexed once with their k+1 smallest ids, which are all that a result can hold. An empty
+    table gives no rows. Other columns are ignored. sample_rows bounds what a tree is fitted on, calibration_queries what is compared with all vectors.
     """
-    spark = vectors.sparkSession
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
     def valid(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
         return df.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad).where(F.exists("v", lambda x: x != 0))
 
+    own, asked = valid(vectors), valid(queries)
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").collect():  # at most as many as the longest vector has components
+        out = out.unionByName(_nearest_of(own.where(F.size("v") == r.n), asked.where(F.size("v") == r.n), k, recall, sample_rows, calibration_queries))
+    return out
+
+
+def _nearest_of(own: DataFrame, asked: DataFrame, k: int, recall: float, sample_rows: int, calibration_queries: int) -> DataFrame:
+    """The same for valid vectors (id, v) of one length."""
+    spark = own.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    lengths = valid(vectors).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
-        return empty
-    own = valid(vectors).where(F.size("v") == lengths.n).distinct()
+    own = own.distinct()
     ranked = own.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
     classes = settle(ranked.groupBy("v").agg(F.min("id").alias("c"), F.sort_array(F.collect_list("id")).alias("ids")), "classes")
-    asked = settle(valid(queries).where(F.size("v") == lengths.n).distinct().join(classes.select("v", "c"), "v").select("id", "c"), "asked")
+    asked = settle(asked.distinct().join(classes.select("v", "c"), "v").select("id", "c"), "asked")
 
     sample = classes.select("v").orderBy(F.xxhash64("c"), "c").limit(sample_rows).toPandas()
     tree = spark.sparkContext.broadcast(fit_tree(_unit(sample.v)))

@@ -203,10 +203,11 @@ def score_texts(docs: DataFrame, pieces_file: str, text_col: str = "text", held_
     Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end a text. Learned from rows whose held_col is false. base_score sums
     log10((c + 1) / (N + V + 1)) over the tokens: c the token's count, N all tokens, V the different ones, in training texts. score
     is the lattice model's log10 probability of the text. Null texts count as empty: an end alone. Null in held_col counts as held out.
-    No rows give no rows; with nothing to learn from, the base is 0 and the vocabulary's own scores stand.
+    No rows give no rows; with nothing to learn from, the base is 0 and the vocabulary's own scores stand. Columns of docs with the names of the new
+    ones are replaced. Pieces of over 64 bytes and those with a blank inside are not used: no word holds the latter.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(held_col).cast("boolean"), F.lit(True)).alias("held_out"), F.struct(*rest).alias("own"))
     words = settle(word_counts(rows), "words")
     ends = rows.where("NOT held_out").count()

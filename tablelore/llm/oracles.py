@@ -43,16 +43,19 @@ s2 AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY cap / weight, ord ROW
     / sum(weight) OVER (ORDER BY cap / weight, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM s1),
 s3 AS (SELECT *, cap / weight > lev AS free FROM s2),
 s4 AS (SELECT *, CASE WHEN free THEN (SELECT arg_min(lev, cap / weight) FROM s3 WHERE free) * weight ELSE cap END AS target FROM s3),
-b0 AS (SELECT greatest(1, least(1024, floor(sum(target) / (1024 * count(*)))))::BIGINT AS block, floor(sum(target) / greatest(1, least(1024, floor(sum(target) / (1024 * count(*))))) + 0.5) AS blocks FROM s4),
-q AS (SELECT ord, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, ord) AS nth FROM s4, b0, range(0, 100000) r(i) WHERE target > 0 AND i <= 2 * blocks * target / whole + 20),
-s5 AS (SELECT s4.*, b0.block, (SELECT count(*) FROM q, b0 WHERE q.ord = s4.ord AND nth <= blocks) AS won FROM s4, b0),
+b0 AS (SELECT greatest(1, least(1024, floor(sum(target) / (1024 * count(*)))))::BIGINT AS block FROM s4),
+b1 AS (SELECT s4.*, b0.block AS common, greatest(1, floor(target / 16))::BIGINT AS own, target > 0 AND greatest(1, floor(target / 16)) < b0.block AS small FROM s4, b0),
+b2 AS (SELECT sum(target) AS shared, floor(sum(target) / any_value(common) + 0.5) AS blocks FROM b1 WHERE NOT small),
+q AS (SELECT ord, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, ord) AS nth FROM (SELECT ord, target, unnest(range(0, (2 * blocks * target / shared)::BIGINT + 20)) AS i FROM b1, b2 WHERE NOT small AND target > 0)),
+s5 AS (SELECT b1.* EXCLUDE (common, own), CASE WHEN small THEN own ELSE common END AS block,
+    CASE WHEN small THEN floor(target / own + 0.5)::BIGINT ELSE (SELECT count(*) FROM q, b2 WHERE q.ord = b1.ord AND nth <= blocks) END AS won FROM b1),
 d0 AS (SELECT z.*, s5.source_size, s5.target, s5.ord, s5.block, s5.won, z.h % greatest(ceil(s5.source_size / 1000000)::BIGINT, 1) AS shard FROM z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
 d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY ord, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d0 WHERE size > 0),
 t0 AS (SELECT ord, shard, sum(size)::BIGINT AS held, any_value(won) AS won, any_value(block) AS block FROM d GROUP BY 1, 2),
-tq AS (SELECT ord, shard, won, row_number() OVER (PARTITION BY ord ORDER BY held / (2 * i + 1) DESC, shard) AS nth FROM t0, range(0, 100000) r(i) WHERE i <= won),
+tq AS (SELECT ord, shard, won, row_number() OVER (PARTITION BY ord ORDER BY held / (2 * i + 1) DESC, shard) AS nth FROM (SELECT *, unnest(range(0, won + 1)) AS i FROM t0)),
 t AS (SELECT t0.*, least((SELECT count(*) FROM tq WHERE tq.ord = t0.ord AND tq.shard = t0.shard AND tq.nth <= tq.won) * block, 2 * held) AS wanted FROM t0),
 t2 AS (SELECT *, wanted // held AS passes, wanted % held AS rest FROM t),
-k0 AS (SELECT ord, shard, block, rest, i, least(block, held - i * block) AS words, ('0x' || substr(md5('17|' || ord || '|' || shard || '|' || i), 1, 15))::BIGINT AS r FROM t2, range(0, 100000) g(i) WHERE rest > 0 AND i * block < held),
+k0 AS (SELECT ord, shard, block, rest, i, least(block, held - i * block) AS words, ('0x' || substr(md5('17|' || ord || '|' || shard || '|' || i), 1, 15))::BIGINT AS r FROM (SELECT *, unnest(range(0, (held - 1) // block + 1)) AS i FROM t2 WHERE rest > 0)),
 k AS (SELECT *, least(words, rest - coalesce(sum(words) OVER (PARTITION BY ord, shard ORDER BY r, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS part FROM k0),
 x AS (SELECT d.ord, d.shard, d.a, sum(greatest(least(d.a + d.size, k.i * k.block + k.part) - greatest(d.a, k.i * k.block), 0)) AS extra
     FROM d JOIN k ON k.ord = d.ord AND k.shard = d.shard AND k.part > 0 AND k.i * k.block < d.a + d.size AND (k.i + 1) * k.block > d.a GROUP BY 1, 2, 3)

@@ -35,7 +35,9 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
     Columns of docs with the names of the new ones are replaced.
     """
     new = ["n_bytes", "shard", "shard_depth", "shard_bytes"]
-    docs = docs.drop(*new).withColumn("n_bytes", F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")).withColumn("_h", hash_bits(F.col(id_col)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    docs = docs.select(F.struct(*kept).alias("own"), size.alias("n_bytes"), hash_bits(F.col(id_col)).alias("_h"))  # so that no name of docs meets one of ours
     total = docs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first().n
     depth, out, todo = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + 6), [], docs
     while True:
@@ -55,7 +57,7 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    return whole.select(*(c for c in docs.columns if c not in (*new, "_h")), *new)
+    return whole.select("own.*", *new)
 
 
 def _same_hash(rows: DataFrame, limit: int) -> DataFrame:

@@ -39,17 +39,18 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a window similar to an item of `benchmark`."""
+    """Drops documents with a window similar to an item of `benchmark`. Null and empty texts stay, as do rows without an id; all rows of an id that repeats go if one has such a window."""
     return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes its words, rounded: 0, 1 or 2 times. Documents without words go; rows without an id stay as they are."""
     taken = mix(docs.where("doc_id IS NOT NULL")).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies"))
-    mixed = docs.join(taken.where("copies > 0"), "doc_id").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(docs.columns)
+    whole = docs.select("doc_id", F.struct(*docs.columns).alias("own"))  # so that no column of docs is taken for a count
+    mixed = whole.join(taken.where("copies > 0"), "doc_id").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("own.*")
     return mixed.unionByName(docs.where("doc_id IS NULL"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard."""
+    """The documents with their shard. Null and empty texts count no bytes; null ids share a hash; rows that repeat are all kept. Columns with the names of the new ones are replaced."""
     return assign_shards(docs, SHARD_BYTES)

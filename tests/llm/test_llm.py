@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -140,7 +141,7 @@ def test_chat_round_trip_and_intervals(spark, tmp_path):
         assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     nodes = {r.node: r for r in spark.read.parquet(f"{folder}/nodes").collect()}
-    assert len([n for n in nodes.values() if n.tree == nodes[next(iter(nodes))].tree or True]) == len({p for n in nodes.values() for p in n.path})
+    assert set(nodes) == {p for n in nodes.values() for p in n.path}
     for tree in {n.tree for n in nodes.values()}:
         own = sorted((n for n in nodes.values() if n.tree == tree), key=lambda n: n.start)
         packed = "".join(n.text for n in own)
@@ -420,3 +421,84 @@ def test_stages(spark, tmp_path):
     want = collections.Counter({r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixing.mix(kept).collect() if r["size"]})
     assert collections.Counter(ids(mixed)) == +want and mixed.columns == docs.columns
     assert ids(stages.sharding(spark, mixed, str(tmp_path))) == ids(mixed)
+
+
+# ---- names that clash, repeats, lengths, bounds
+
+def test_columns_named_like_ours_do_no_harm(spark):
+    names = ("cell", "bits", "_h", "own", "d", "s", "_n", "copies", "copy", "score", "lang_pred", "n_tokens", "shard", "n_bytes", "train_tokens", "size", "taken")
+    docs = documents(spark, [(i, f"some words of text {i} " * 30, "en", "s0") for i in range(12)]).withColumns({n: F.lit(n) for n in names})
+    got = sharding.assign_shards(docs, 2000).collect()
+    assert len(got) == 12 and all(r.cell == "cell" and r.own == "own" and r.n_bytes == len(r.text) and r.shard_bytes <= 2000 for r in got)
+    same = documents(spark, [(1, "x" * 900, "en", "s0")] * 9).withColumns({n: F.lit(n) for n in names})
+    assert [(r._h, r.d, r.s) for r in sharding.assign_shards(same, 1000).collect()] == [("_h", "d", "s")] * 9
+    mixed = stages.mixing(spark, docs, "")
+    assert mixed.columns == docs.columns and {r.copies for r in mixed.collect()} == {"copies"}
+    net = byte_rnn.train([b"abc", b"xyz"], np.array([0, 1]), 2, steps=2, batch=4)
+    for model in ((["a", "b"], net), ([], None)):
+        r = byte_rnn.predict(docs.select("doc_id", "text", "score", "lang_pred", "own"), *model).first()
+        assert isinstance(r.score, float) and r.lang_pred in ("a", "b", "und") and r.own == "own"
+    scored = lattice_lm.score_texts(docs.withColumn("held_out", F.lit(False)), public_tokenizers.path("piece_bpe_32k.model"), rounds=1).first()
+    assert scored.n_tokens == 30 * 5 + 1 and isinstance(scored.score, float) and scored.cell == "cell"
+
+
+def test_language_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(byte_rnn, "train", lambda windows, labels, classes, **kw: sizes.append((len(windows), classes)) or None)
+    hot = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.repeat(F.lit("all the same words "), F.lit(40)).alias("text"), F.lit("en").alias("lang"))
+    many = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("eins zwei drei "), F.lit(40)), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    few = spark.createDataFrame([(1, "un deux trois", "fr"), (2, None, "fr"), (3, "", "fr"), (4, "sans langue", None)], "doc_id long, text string, lang string")
+    languages, _ = byte_rnn.fit(hot.union(many).union(few), docs_per_language=50)
+    assert languages == ["de", "en", "fr"] and sizes[0][1] == 3
+    assert 50 * 8 * 0.9 < sizes[0][0] <= 50 * 8 + 8 + 8  # 50 documents of one language, one of the others
+    assert byte_rnn.fit(few.limit(0)) == ([], None)
+
+
+def _exact_nearest(rows, queries, k):
+    out = []
+    for q, v in queries:
+        a = np.array(v)
+        near = sorted((-(a @ np.array(w)) / np.linalg.norm(a) / np.linalg.norm(w), i) for i, w in rows if i != q and len(w) == len(v))
+        out += [(q, n, i) for n, (_, i) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.RandomState(8)
+    rows = [(i, rng.randn(3 if i % 5 == 0 else 8 if i % 2 else 5).tolist()) for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, [0.0, 0.0]), (901, None), (902, [1.0, float("nan")]), (903, [2.0])], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0 OR vec_id IN (1, 2, 5) OR vec_id >= 900")
+    got = sorted((r.query_id, r["rank"], r.id) for r in kmeans_tree.nearest(df, asked, recall=1.0).collect())
+    assert got == _exact_nearest(rows, [r for r in rows if r[0] % 20 == 0 or r[0] in (1, 2, 5)], 5)
+
+
+def test_default_recall_holds_beyond_the_calibration_queries(spark):
+    rng = np.random.RandomState(9)
+    centres = rng.randn(40, 24) * 2
+    rows = [(i, (centres[i % 40] + rng.randn(24)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.id) for r in kmeans_tree.nearest(df, df.where("vec_id % 8 = 0")).collect()}
+    want = {(q, i) for q, _, i in _exact_nearest(rows, [r for r in rows if r[0] % 8 == 0], 5)}
+    assert len(want) == 2500 and len(got & want) >= 0.93 * len(want)
+
+
+def test_language_query_on_held_out_documents(spark):
+    from tablelore.llm.queries import op5_language_id
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    rows = op5_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    known = [r for r in rows if r.lang_pred != "und"]
+    assert len(known) > 200 and sum(r.lang_pred == r.lang for r in known) >= 0.97 * len(known)
+
+
+def test_toxicity_query_on_held_out_documents(spark):
+    from tablelore.llm.queries import op6_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    rows = op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
