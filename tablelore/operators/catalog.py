@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tablelore.functions.cells import is_numeric
+
 FK_TYPE = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("constrained_columns", T.ArrayType(T.StringType())),
@@ -63,6 +65,12 @@ def field_frame(spark: SparkSession, tables: dict[str, DataFrame], source: str,
     return spark.createDataFrame(rows, FIELD_SCHEMA)
 
 
+def numeric_fields(spark: SparkSession, tables: dict[str, DataFrame], source: str) -> DataFrame:
+    """Whether each column holds numbers, by the class of its type."""
+    rows = [(source, t, f.name, is_numeric(f.dataType)) for t in table_names(tables) for f in tables[t].schema.fields]
+    return spark.createDataFrame(rows, "source string, table_name string, column_name string, is_numeric boolean")
+
+
 def no_keys(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], KEYS_SCHEMA)
 

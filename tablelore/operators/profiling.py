@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from tablelore.functions import cells
 from tablelore.operators.catalog import table_names, union_all
+from tablelore.session import settle
 
 SAMPLES = 5
 CANDIDATES = 96  # long texts that travel for a column's samples
@@ -210,11 +211,11 @@ def sample_values(tables: dict[str, DataFrame], cells_frame: DataFrame | None =
 
 def column_profiles(tables: dict[str, DataFrame], samples: bool = True, ranges: DataFrame | None = None,
                     cells_frame: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """The full profile of every column of every table."""
-    ranges = column_ranges(tables) if ranges is None else ranges
+    """The full profile of every column of every table. With samples the first scan is run at once, for the second depends on it."""
+    if ranges is None:
+        ranges = settle(column_ranges(tables, estimates=True)) if samples else column_ranges(tables)
     if cells_frame is None:
-        limits = sample_limits(column_ranges(tables, estimates=True)) if samples else None
-        cells_frame = distinct_cells(tables, rows=False, limits=limits)
+        cells_frame = distinct_cells(tables, rows=False, limits=sample_limits(ranges) if samples else None)
     counts = distinct_counts(cells_frame) if counts is None else counts
     on = ["table_name", "ordinal"]
     out = ranges.join(counts, on, "left")

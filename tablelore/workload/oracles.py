@@ -6,6 +6,7 @@ Written from the rules, not from the Spark plans: edges, for one, are scored pai
 from __future__ import annotations
 
 from tablelore.functions import pii
+from tablelore.plans import summaries
 from tablelore.workload import inputs
 from tablelore.workload.inputs import DEGRADED, ESTATE, EXTRA_NAME, HISTORY, SIGNED, SOURCE, STAR_KEYS  # noqa: F401
 
@@ -672,6 +673,14 @@ ORACLES["parse_responses"] = (
     "CASE WHEN parsed THEN CASE WHEN o_orderstatus = 'F' THEN 'order_' || o_orderkey ELSE 'Order ' || o_orderstatus END END "
     f"AS suggested_business_name, {NO_TEXT} AS business_purpose, "
     "CASE WHEN parsed THEN nullif(o_orderstatus, 'P') END AS pii_warning FROM r")
+ORACLES["merge_tables"] = (
+    f"WITH p AS ({ORACLES['parse_responses']}), f AS (SELECT 'order_' || o_orderkey AS table_name FROM orders UNION ALL SELECT 'order_none') "
+    "SELECT f.table_name, coalesce(p.business_description, 'business_description of ' || f.table_name) AS business_description, "
+    "coalesce(p.suggested_business_name, 'suggested_business_name of ' || f.table_name) AS suggested_business_name, "
+    f"CASE WHEN p.parsed IS NULL THEN 'business_purpose of ' || f.table_name ELSE {NO_TEXT} END AS business_purpose, "
+    f"CASE WHEN coalesce(p.parsed, false) THEN {NO_TEXT} ELSE 'data_quality_notes of ' || f.table_name END AS data_quality_notes, "
+    "CASE WHEN coalesce(p.parsed, false) THEN p.pii_warning ELSE 'pii_warning of ' || f.table_name END AS pii_warning "
+    "FROM f LEFT JOIN p ON p.table_name = f.table_name")
 ORACLES["parse_response_columns"] = (
     "SELECT 'order_' || o_orderkey AS table_name, 1 AS ordinal, 'o_orderkey' AS column_name, "
     "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN o_orderpriority "
@@ -682,3 +691,41 @@ ORACLES["reuse_summaries"] = (
     f"{WITH_ESTATE} SELECT source, table_name, md5(string_agg(md5(column_name), '' ORDER BY md5(column_name))) AS table_digest "
     "FROM cols GROUP BY source, table_name HAVING bool_or(column_name = 'discard')")
 ORACLES["history_of_source"] = f"{WITH_HISTORY} SELECT snapshot_id, source_path, captured_at FROM head WHERE source_key = 'data/user 1'"
+
+
+def fixed(x: str, digits: int) -> str:
+    """Decimal digits, ties away from zero."""
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(18, 9)), {digits}) AS DECIMAL(18, {digits})) AS VARCHAR)"
+
+
+def yes(x: str) -> str:
+    return f"CASE WHEN {x} THEN 'True' ELSE 'False' END"
+
+
+TITLES = "array_to_string([upper(left(x, 1)) || substr(x, 2) FOR x IN string_split(table_name, '_')], ' ')"
+ORACLES["database_prompts"] = (
+    f"WITH t AS (SELECT unnest([{', '.join(repr(t.label) for t in GIVEN)}]) AS table_name) SELECT '{SOURCE}' AS source, "
+    f"{_sql(summaries.DATABASE_HEAD)} || 'Database: {SOURCE}' || chr(10) || 'Tables: {len(GIVEN)}' || chr(10) || 'Columns: {sum(len(t.columns) for t in GIVEN)}' || chr(10) || chr(10) || "
+    "'Its tables, as JSON:' || chr(10) || '[ ' || string_agg('{' || chr(10) || '  \"table_name\" : \"' || table_name || '\",' || chr(10) || "
+    f"'  \"suggested_business_name\" : \"' || {TITLES} || '\",' || chr(10) || '  \"business_purpose\" : \"' || {NO_TEXT} || '\",' || chr(10) || "
+    f"'  \"business_description\" : \"' || {NO_TEXT} || '\"' || chr(10) || '}}', ', ' ORDER BY table_name) || ' ]' || {_sql(summaries.DATABASE_TAIL)} AS prompt FROM t")
+
+KINDS = "map {'BIGINT': 'bigint', 'INTEGER': 'int', 'DOUBLE': 'double', 'VARCHAR': 'string', 'TIMESTAMP': 'timestamp_ntz', 'FLOAT[]': 'array<float>', 'DOUBLE[]': 'array<double>'}"
+TYPES = per_column(MIXED, lambda t, i, n, k: f"'{n}' AS column_name, any_value(typeof({n})) AS kind, count(*) AS n")
+ORACLES["table_prompts"] = (
+    f"{STAR_VIEW}, uniq AS ({UNIQUE}), kinds AS ({TYPES}), "
+    f"cl AS (SELECT u.table_name, string_agg('  - ' || u.column_name || ': ' || {KINDS}[k.kind] || ' (nullable=True, PK=' || {yes('c.is_primary_key')} || ', FK=' || "
+    f"{yes('c.is_foreign_key')} || ')', chr(10) ORDER BY u.ordinal) AS schema_lines, string_agg('  - ' || u.column_name || ': null_rate=' || "
+    f"{fixed('CAST(u.null_count AS DOUBLE) / k.n', 3)} || ', uniqueness_rate=' || {fixed('CAST(u.unique_count AS DOUBLE) / k.n', 3)}, chr(10) ORDER BY u.ordinal) AS profile_lines "
+    "FROM uniq u JOIN flagged c ON c.table_name = u.table_name AND c.column_name = u.column_name JOIN kinds k ON k.table_name = u.table_name AND k.column_name = u.column_name GROUP BY u.table_name), "
+    "el AS (SELECT table_name, string_agg(line, chr(10) ORDER BY is_explicit DESC, from_table, position, line) AS edge_lines FROM (SELECT *, unnest(list_distinct([from_table, to_table])) AS table_name, "
+    "'  - ' || from_table || '.' || from_column || ' -> ' || to_table || '.' || to_column || ' (' || relationship_type || ', ' || CASE WHEN is_explicit THEN 'explicit' ELSE 'implicit' END || "
+    f"', confidence=' || {fixed('confidence', 2)} || ')' AS line FROM edges) GROUP BY table_name), "
+    f"pl AS (SELECT table_name, string_agg('  - ' || column_name || ': ' || pii_type || ' via ' || detection_method || ' (confidence=' || {fixed('confidence', 2)} || ')', chr(10) "
+    "ORDER BY column_name, pii_type) AS pii_lines FROM best GROUP BY table_name) "
+    f"SELECT p.table_name, {_sql(summaries.TABLE_HEAD)} || 'Table: ' || p.table_name || chr(10) || 'Rows in the catalogue: ' || p.total_rows || chr(10) || 'Rows profiled: ' || p.total_rows || chr(10) || "
+    f"'Share of cells filled, mean over columns: ' || {fixed('p.completeness_score', 4)} || chr(10) || 'Rows that repeat another: ' || p.duplicate_row_count || chr(10) || "
+    f"'Flagged for quality: ' || {yes('p.flag')} || chr(10) || chr(10) || 'Schema:' || chr(10) || cl.schema_lines || chr(10) || chr(10) || 'Figures by column:' || chr(10) || cl.profile_lines || "
+    "chr(10) || chr(10) || 'Links to and from other tables:' || chr(10) || coalesce(el.edge_lines, '  (none detected)') || chr(10) || chr(10) || 'Columns that may hold personal data:' || chr(10) || "
+    f"coalesce(pl.pii_lines, '  (none flagged)') || {_sql(summaries.TABLE_TAIL)} AS prompt FROM prof p JOIN cl ON cl.table_name = p.table_name LEFT JOIN el ON el.table_name = p.table_name "
+    "LEFT JOIN pl ON pl.table_name = p.table_name")

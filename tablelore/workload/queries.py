@@ -48,10 +48,10 @@ def table_row_counts(spark, sf):
 @query
 def catalog_of_tables(spark, sf):
     tables, keys, columns = _warehouse(spark, sf)
-    numeric = F.col("data_type").isin("int", "bigint", "double", "float", "smallint", "tinyint")
+    numeric = catalog.numeric_fields(spark, tables, inputs.SOURCE)
     counts = catalog.row_counts(tables, inputs.SOURCE)
-    return (columns.join(counts, ["source", "table_name"])
-            .select("table_name", "ordinal", "column_name", numeric.alias("is_numeric"), "is_primary_key", "is_foreign_key",
+    return (columns.join(counts, ["source", "table_name"]).join(numeric, ["source", "table_name", "column_name"])
+            .select("table_name", "ordinal", "column_name", "is_numeric", "is_primary_key", "is_foreign_key",
                     "foreign_key_references", "row_count"))
 
 
@@ -533,6 +533,14 @@ def fallback_summaries(spark, sf):
         "source", "table_name", "suggested_business_name", "data_quality_notes", "pii_warning")
 
 
+@query
+def database_prompts(spark, sf):
+    tables, keys, columns = _warehouse(spark, sf, inputs.mixed(spark, sf))
+    totals = catalog.database_totals(catalog.catalog_tables(columns, catalog.row_counts(tables, inputs.SOURCE), keys))
+    profiles = catalog.with_source(profiling.table_profiles(tables), inputs.SOURCE)
+    return summaries.database_prompts(totals, summaries.fallback_tables(profiles, pii.best_findings(pii.by_name(columns))))
+
+
 @query
 def fallback_column_notes(spark, sf):
     tables, _, columns = _warehouse(spark, sf, inputs.mixed(spark, sf))
@@ -565,6 +573,16 @@ def parse_responses(spark, sf):
         "table_name", "parsed", "business_description", "suggested_business_name", "business_purpose", "pii_warning")
 
 
+@query
+def merge_tables(spark, sf):
+    """Answers over fallback texts; one table has no answer."""
+    responses = _responses(spark, sf)
+    tables = responses.select("source", "table_name").union(spark.createDataFrame([("orders", "order_none")], "source string, table_name string"))
+    fallback = tables.select("source", "table_name", *[F.concat(F.lit(f"{c} of "), "table_name").alias(c) for c in (
+        "business_description", "suggested_business_name", "business_purpose", "data_quality_notes", "pii_warning")])
+    return summaries.merge_tables(summaries.parse_responses(responses), fallback).drop("source")
+
+
 @query
 def parse_response_columns(spark, sf):
     responses = _responses(spark, sf)
