@@ -7,12 +7,13 @@ import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablelore.functions import cells
 from tablelore.operators import cleaning
+from tablelore.operators.catalog import union_all
 from tablelore.session import shared_folder
 
 log = logging.getLogger(__name__)
@@ -43,15 +44,34 @@ def table_name(file_name):
     return F.regexp_extract(F.try_url_decode(file_name), r"^(.*)\.csv$", 1)
 
 
+def _entries(spark: SparkSession, folder: str) -> list[tuple[str, str, bool]]:
+    """(name, path, whether it is a folder) of what is called *.csv directly under a folder, by path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        raise FileNotFoundError(f"not a folder: {folder}")
+    return sorted((s.getPath().getName(), s.getPath().toString(), s.isDirectory()) for s in fs.listStatus(path) if s.getPath().getName().endswith(".csv"))
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """file_path (of a file, or of a folder whose files are one table), file_name, value."""
+    entries = _entries(spark, folder)
+    reader, parts = spark.read.option("pathGlobFilter", "*.csv"), []
+    if files := [path for _, path, is_folder in entries if not is_folder]:
+        parts.append(reader.text(files).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value"))
+    for name, path, is_folder in entries:
+        if is_folder:
+            parts.append(reader.text(path).select(F.lit(quote(path, safe="/:")).alias("file_path"), F.lit(quote(name)).alias("file_name"), "value"))
+    return union_all(parts)
+
+
 def file_layout(spark: SparkSession, folder: str) -> DataFrame:
     """Delimiter of each file, whether a quoted line break makes it unsplittable, and whether the delimiter is doubtful (with the share of lines that agree on it): one pass over the text.
 
     Lines vote with their number of delimiters outside quotes, those without any for none, which counts as a comma unless quotes hold line breaks; the most
     votes win. Counts are added up before they are shuffled.
     """
-    lines = (spark.read.option("pathGlobFilter", "*.csv").text(folder)
-             .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value")
-             .filter(~F.col("value").rlike(r"^\s*$")))
+    lines = _lines(spark, folder).filter(~F.col("value").rlike(r"^\s*$"))
     bare = F.regexp_replace("value", '"[^"]*"', "")
     number = {d: F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS}
     none = (sum(number.values()) == 0).cast("int")  # a line with no delimiter votes once for a file of one column
@@ -126,15 +146,10 @@ def load_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line:
 def load_csv_folder(spark: SparkSession, folder: str, store: str | None = None) -> CsvFolder:
     """Every CSV file directly under a folder, written once as typed Parquet under `store` (a new shared folder if none is given).
 
-    A bad file is skipped and listed under errors; one whose delimiter is doubtful is loaded and listed there too.
+    A folder called *.csv is one table too, of all its files, each with a header, as Spark writes them. A bad file is skipped and listed under
+    errors; one whose delimiter is doubtful is loaded and listed there too.
     """
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
-        raise FileNotFoundError(f"not a folder: {folder}")
-    files = sorted(str(s.getPath().toString()) for s in fs.listStatus(path)
-                   if s.isFile() and s.getPath().getName().endswith(".csv"))
+    files = [path for _, path, _ in _entries(spark, folder)]
     if not files:
         raise ValueError(f"no .csv files in {folder}")
     layout = {unquote(r.file_path.split("/")[-1]): r for r in file_layout(spark, folder).collect()}  # one row per file; Spark writes its paths URL-encoded

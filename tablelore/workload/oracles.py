@@ -5,7 +5,7 @@ Written from the rules, not from the Spark plans: edges, for one, are scored pai
 
 from __future__ import annotations
 
-from tablelore.functions import pii
+from tablelore.functions import cells, pii
 from tablelore.plans import summaries
 from tablelore.workload import inputs
 from tablelore.workload.inputs import DEGRADED, ESTATE, EXTRA_NAME, HISTORY, SIGNED, SOURCE, STAR_KEYS  # noqa: F401
@@ -88,6 +88,10 @@ def quality(score: str) -> str:
     return f"CASE WHEN {score} > 0.95 THEN 'good' WHEN {score} > 0.8 THEN 'warn' ELSE 'bad' END"
 
 
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 ORACLES: dict[str, str] = {}
 
 # ---- catalogue ---------------------------------------------------------------------------------------------------
@@ -224,6 +228,25 @@ c AS (SELECT 'order_date' AS column_name, count(*) FILTER (o_orderpriority <> '4
 SELECT column_name, filled, m AS month_first_fits, d AS day_first_fits, d > m AS day_first, filled - lost AS parsed, lost FROM c"""
 
 
+def _csv_column(t: Table, i: int, n: str, k: str) -> str:
+    """What a column reads as once it was text: white space around it is gone, blanks are NULL, and so are the texts that stand for missing cells."""
+    if k == "text":
+        tokens = ", ".join(_sql(x) for x in cells.NULL_TOKENS)
+        value = f"CASE WHEN {n} NOT IN ({tokens}) THEN nullif(regexp_replace({n}, '^[\\s\\x0B\\x{{85}}\\p{{Z}}]+|[\\s\\x0B\\x{{85}}\\p{{Z}}]+$', '', 'g'), '') END"
+        return (f"{i} AS ordinal, '{n}' AS column_name, 'string' AS data_type, count(*) AS total_rows, count(*) - count({value}) AS null_count, "
+                f"count(DISTINCT {value}) AS unique_count, NULL AS min_num, NULL AS max_num, NULL AS mean_value")
+    if k == "time":
+        value = f"date_trunc('millisecond', {n})"
+        return (f"{i} AS ordinal, '{n}' AS column_name, 'timestamp_ntz' AS data_type, count(*) AS total_rows, 0 AS null_count, count(DISTINCT {value}) AS unique_count, "
+                "NULL AS min_num, NULL AS max_num, NULL AS mean_value")
+    kind = "'whole'" if k == "int" else f"CASE WHEN bool_and({n} % 1 = 0) THEN 'whole' ELSE 'double' END"
+    return (f"{i} AS ordinal, '{n}' AS column_name, {kind} AS data_type, count(*) AS total_rows, 0 AS null_count, count(DISTINCT {n}) AS unique_count, "
+            f"CAST(min({n}) AS DOUBLE) AS min_num, CAST(max({n}) AS DOUBLE) AS max_num, round(avg({n}), 4) AS mean_value")
+
+
+ORACLES["csv_tables"] = per_column([t for t in GIVEN if t.label in ("orders", "part", "customer", "nation", "documents")], _csv_column)
+
+
 def _type_of(table: str, i: int, name: str, value: str) -> str:
     """Type of a text expression: numeric when every value parses, whole when none has a fraction."""
     return (f"SELECT '{table}' AS table_name, {i} AS ordinal, '{name}' AS column_name, CASE "
@@ -377,10 +400,6 @@ ORACLES["pii_summary_of_estate"] = (
     f"{WITH_ESTATE}{FLAGGED}{NAMED}, found AS (SELECT *, true AS rule FROM named){SUMMARY}")
 
 
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 def luhn(m: str) -> str:
     d = f"reverse(regexp_replace({m}, '[ -]', '', 'g'))"
     return (f"length({d}) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(substr({d}, i, 1) AS INT) "
@@ -575,6 +594,17 @@ w AS (SELECT pairs.*, coalesce(ta, '') AS tables_added, coalesce(tr, '') AS tabl
       LEFT JOIN m ON pairs.snapshot_id_after = m.snapshot_id_after)
 SELECT * EXCLUDE (parts), CASE WHEN parts = '' THEN 'No drift detected between snapshots.' ELSE parts || '.' END AS summary FROM w"""
 
+BEFORE, AFTER = [t for t in GIVEN if t.label in SPOILT], [*SPOILT.values(), next(t for t in GIVEN if t.label == "nation")]
+LOST = {t.label: [n for _, n, _ in t.columns if n not in [x for _, x, _ in SPOILT[t.label].columns]] for t in BEFORE}
+ORACLES["stored_drift"] = (
+    f"WITH b AS ({sizes(BEFORE)}), a AS ({sizes(AFTER)}), j AS (SELECT a.table_name, a.completeness_score - b.completeness_score AS score, "
+    "CAST(a.total_rows - b.total_rows AS DOUBLE) / b.total_rows AS rows FROM a JOIN b ON a.table_name = b.table_name) "
+    "SELECT 'data/warehouse' AS source_key, 'nation' AS tables_added, '' AS tables_removed, '' AS columns_added, "
+    f"'{','.join(f'{t}:{"+".join(sorted(c))}' for t, c in sorted(LOST.items()) if c)}' AS columns_removed, "
+    "coalesce(string_agg(table_name || ':' || CAST(round(score * 10000) AS BIGINT), ',' ORDER BY table_name) FILTER (abs(score) > 0.02), '') AS completeness_changes, "
+    "coalesce(string_agg(table_name || ':' || CAST(round(rows * 10000) AS BIGINT), ',' ORDER BY table_name) FILTER (abs(rows) > 0.05), '') AS row_count_changes, "
+    "true AS has_breaking_changes FROM j")
+
 # ---- views -------------------------------------------------------------------------------------------------------
 
 STAR_VIEW = f"{star_findings(MIXED)}{TOUCH}, prof AS ({profiles(MIXED)}), rate AS (SELECT *, CAST(null_count AS DOUBLE) / total_rows AS null_rate FROM ({nulls(MIXED)}))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablelore.functions import cells, pii as pii_names
 from tablelore.operators import catalog, cleaning, pii, profiling, relationships, sketches, versions
 from tablelore.plans import dictionary, summaries, views
-from tablelore.session import settle
+from tablelore.session import settle, shared_folder
+from tablelore.sources.tables import load_tables
+from tablelore.sources.version_store import VersionStore
 from tablelore.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,6 +233,20 @@ def infer_types(spark, sf):
         for t, df in dirty.items()])
 
 
+@query
+def csv_tables(spark, sf):
+    """Tables written as CSV, each with a delimiter of its own, and loaded again: names, types, filled and different cells, sums."""
+    folder = f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    given = inputs.load(spark, sf, "orders", "part", "customer", "nation", "documents")
+    for (name, df), sep in zip(given.items(), (";", "\t", ",", ";", ","), strict=True):
+        out = df.select(*[F.col(c).alias(f" {c.upper()} ") for c in df.columns])
+        out.write.csv(f"{folder}/{name}.csv", header=True, sep=sep, escape='"', quoteAll=name == "documents", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    tables = load_tables(spark, folder)
+    profiles = profiling.column_profiles(tables, samples=False)
+    return profiles.select("table_name", "ordinal", "column_name", F.regexp_replace("data_type", "bigint|int", "whole").alias("data_type"), "total_rows", "null_count",
+                           "unique_count", "min_num", "max_num", F.round("mean_value", 4).alias("mean_value"))
+
+
 # ---- relationships -----------------------------------------------------------------------------------------------
 
 @query
@@ -422,6 +439,20 @@ def drift_tables(spark, sf):
                           F.round("row_delta", 9).alias("row_delta"), F.round("score_delta", 9).alias("score_delta"))
 
 
+@query
+def stored_drift(spark, sf):
+    """Two snapshots of one source in a version store: as given, then degraded."""
+    store = VersionStore(spark, f"{shared_folder(spark).rstrip('/')}/versions-{uuid.uuid4().hex}")
+    names = ("customer", "orders", "lineitem")
+    for tables in (inputs.load(spark, sf, *names), {**inputs.degraded(spark, sf, *names), **inputs.load(spark, sf, "nation")}):
+        report = store.detect_drift(dictionary.snapshot(dictionary.build(spark, tables, "Data/Warehouse", samples=False, find_pii=False)))
+    by_table = lambda c: joined(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "+"))))
+    changes = [joined(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"][d] * 10000).cast("long").cast("string")))).alias(c)
+               for c, d in (("completeness_changes", "delta"), ("row_count_changes", "delta_pct"))]
+    return report.select("source_key", joined("tables_added").alias("tables_added"), joined("tables_removed").alias("tables_removed"),
+                         by_table("columns_added").alias("columns_added"), by_table("columns_removed").alias("columns_removed"), *changes, "has_breaking_changes")
+
+
 # ---- views -------------------------------------------------------------------------------------------------------
 
 def _dictionary(spark, sf, samples: bool = False) -> dictionary.Dictionary:

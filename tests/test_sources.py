@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablelore.functions import cells
 from tablelore.operators import catalog, cleaning, pii, profiling, relationships
@@ -196,3 +197,11 @@ def test_delimiter_with_most_votes_is_taken_and_doubt_is_listed(spark, tmp_path)
     assert got.tables["semi"].columns == ["a", "b", "c"] and got.tables["semi"].count() == 4
     assert got.tables["one"].columns == got.tables["said"].columns == ["note"] and got.tables["said"].count() == 2
     assert sorted((f.split("/")[-1], "doubtful" in e) for f, e in got.errors) == [("said.csv", True), ("semi.csv", True)]
+
+
+def test_a_folder_of_parts_is_one_table(spark, tmp_path):
+    spark.range(100).select("id", F.concat(F.lit("a;b "), F.col("id")).alias("text")).repartition(4).write.csv(str(tmp_path / "parts.csv"), header=True, sep="\t")
+    (tmp_path / "one.csv").write_text("a;b\n1;2\n")
+    tables = load_tables(spark, str(tmp_path))
+    assert sorted(tables) == ["one", "parts"] and not tables.errors
+    assert tables["parts"].columns == ["id", "text"] and tables["parts"].count() == 100 and tables["one"].columns == ["a", "b"]
