@@ -25,6 +25,7 @@ from tablelore.llm.common import as_bytes, mix, settle, shingle_set
 from tablelore.llm.components import components
 
 FILTER_BITS = 1 << 24
+SLICE = 1000
 
 
 def sketch(shingles: np.ndarray, t: Fraction) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -48,9 +49,16 @@ def sketch(shingles: np.ndarray, t: Fraction) -> Iterator[tuple[int, np.ndarray,
         yield octave, keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE rows: what Python holds of a batch at once is a tenth or so of it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _sketches(width: int, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out: dict[str, list] = {k: [] for k in ("id", "n", "f", "g", "octave", "own", "keys", "bits")}
             for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if key is None:
@@ -70,7 +78,7 @@ def _sketches(width: int, t: Fraction):
 def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(wanted.value, np.uint8)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
             rows = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
