@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelore.llm.common import as_bytes, mix, settle, shingle_set
@@ -26,6 +26,8 @@ from tablelore.llm.components import components
 
 FILTER_BITS = 1 << 24
 SLICE = 1000
+HUB = 500  # pairs of one document beyond which its row is repeated, once for so many pairs
+CROWD = 32  # pairs a member beyond which a bucket's members meet by their rarest shingles instead
 
 
 def sketch(shingles: np.ndarray, t: Fraction) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -115,16 +117,56 @@ def _close(t: Fraction) -> Column:
     return (n * q >= m * p) & (m * q >= n * p) & (apart * (p + q) <= (n + m) * (q - p))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are similar enough. Sets are made anew, for the documents in question only."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _beside(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of x, whose key is a, and of y, whose key is b. Pairs of a hub are spread over tasks."""
+    met = pairs
+    for side, table in (("a", x), ("b", y)):
+        hubs = pairs.groupBy(side).count().where(F.col("count") > HUB).select(side, F.ceil(F.col("count") / HUB).cast("int").alias("parts"))
+        hubs = settle(hubs, "hubs")
+        parts = F.coalesce("parts", F.lit(1))
+        spread = met.join(hubs, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
+        rows = table.join(hubs, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        met = spread.join(rows, [side, "part"]).drop("part")
+    return met
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, s: the shingle sets of the documents in question, made anew."""
     wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
     sets = docs.where("id IS NOT NULL").mapInArrow(_sets(width, wanted), "id long, s array<long>").join(ids, "id", "left_semi")
-    sets = settle(sets.distinct(), "sets")
-    x, y = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    return settle(sets.distinct(), "sets")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are similar enough."""
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(x, "a").join(y, "b").where(both * t.denominator >= union * t.numerator).select("a", "b").distinct()
+    met = _beside(pairs, sets.toDF("a", "sa"), sets.toDF("b", "sb"))
+    return met.where(both * t.denominator >= union * t.numerator).select("a", "b").distinct()
+
+
+def _by_rarest(docs: DataFrame, ids: DataFrame, roots: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of the listed documents, in different components, among which are all similar ones.
+
+    With shingles in one order, rarest first, a similar pair shares one that is among the first n - 2tn/(1+t) + 1 of the smaller set and among
+    the first n - tn + 1 of the larger. What a template gives to all its documents comes last, so those that are not similar do not meet.
+    """
+    p, q = t.numerator, t.denominator
+    sets = _sets_of(docs, ids, width).withColumn("own", F.xxhash64("s"))  # an id that repeats may have several sets
+    each = sets.select("id", "own", F.size("s").cast("long").alias("n"), F.explode("s").alias("shingle"))
+    often = settle(each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    own = Window.partitionBy("id", "own")
+    placed = each.join(often, "shingle").withColumn("at", F.row_number().over(own.orderBy("held", "shingle")))
+    placed = placed.withColumn("at", F.col("at") + F.col("n") - F.count("*").over(own))  # those that no other set holds come first
+    first = placed.where(f"at <= n - (n * {p} + {q - 1}) div {q} + 1").withColumn("early", F.expr(f"at <= n - (2 * n * {p} + {p + q - 1}) div {p + q} + 1"))
+    first = first.join(roots.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "own", "n", "early", F.coalesce("root", "id").alias("root"))
+    first = settle(first, "first")
+    mixed = first.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("early").alias("early")).where("lo < hi AND early")
+    first = settle(first.join(mixed.select("shingle"), "shingle", "left_semi"), "first")
+    x, y = first.where("early").alias("x"), first.alias("y")
+    near = "x.shingle = y.shingle AND x.root <> y.root AND struct(x.n, x.id, x.own) < struct(y.n, y.id, y.own)" + f" AND y.n * {p} <= x.n * {q}"
+    return x.join(y, F.expr(near)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: str = "0.8") -> DataFrame:
@@ -136,8 +178,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are left out. Rows that repeat an id are all returned and are one node, linked if any of their texts is. Other columns are ignored.
 
     Equal sets become one before any key is made. Every bucket of equal keys then links its members with its smallest and
-    its largest one; only members of a bucket that are still in different components after that are compared with each other, so
-    a large group of near copies costs rows in proportion to its size, and no link between components is missed.
+    its largest one; only members of a bucket that are still in different components after that are compared with each other:
+    those outside its largest component with all, where that is at most CROWD pairs a member. Members of more crowded buckets (documents of a template,
+    say, that share keys without being similar) meet by their rarest shingles. So a large group of near copies or of a template costs rows in
+    proportion to its size, and no link between components is missed.
     """
     t = Fraction(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -149,8 +193,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = settle(spread.join(shared, "key").select("key", "id", "lo", "hi"), "buckets")
     sketches = settle(classes.select("id", "octave", "n", "bits").join(buckets.select("id").distinct(), "id", "left_semi"), "bits")
     star = buckets.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(buckets.select("id", "hi")).where("a <> b").distinct()
-    x, y = sketches.alias("x"), sketches.alias("y")
-    near = star.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & (F.col("x.octave") == F.col("y.octave")))
+    side = lambda name, to: sketches.select(F.col("id").alias(name), F.struct("octave", "n", "bits").alias(to))
+    near = _beside(settle(star, "star"), side("a", "x"), side("b", "y")).where("x.octave = y.octave")
     tested = settle(near.where(_close(t)).select("a", "b").distinct(), "pairs")
     heads = settle(whole.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("head")), "heads")  # a table of its own, so that adaptive execution splits the joins at a set with many copies
     held = whole.join(heads, ["n", "f", "g"]).select("id", "head")
@@ -159,13 +203,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(links)
 
     labelled = buckets.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = settle(labelled.join(mixed, "key", "left_semi"), "mixed")
-    members = rest.join(sketches, "id").select("key", "id", "root", "octave", "n", "bits")
-    x, y = members.alias("x"), members.alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.octave") == F.col("y.octave")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    more = x.join(y, same & _close(t)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = settle(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
+    sizes = sizes.agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inner"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+    mixed = sizes.where("roots > 1").select("key", (F.col("size") * F.col("size") - F.col("inner") > 2 * CROWD * F.col("size")).alias("crowded"), F.col("most.root").alias("major"))
+    rest = settle(labelled.join(mixed, "key"), "mixed")
+    members = rest.where("NOT crowded").join(sketches, "id").select("key", "id", "root", "major", "octave", "n", "bits")
+    x, y = members.where("root <> major").alias("x"), members.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.octave") == F.col("y.octave")) & (F.col("x.root") != F.col("y.root"))
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
+    more = x.join(y, same & once & _close(t)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    crowd = settle(rest.where("crowded").select("id").distinct(), "crowd")
+    if not crowd.isEmpty():
+        more = more.union(_by_rarest(docs, crowd, roots, width, t))
+    more = settle(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         roots = components(links.union(_verified(docs, more, width, t)))
     heads = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("n", "f", "g", F.coalesce("root", "head").alias("root"))

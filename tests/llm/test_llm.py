@@ -15,6 +15,7 @@ from tablelore.llm import bit_packing, chat_tree, decontamination, kmeans_tree,
 from tablelore.llm import byte_rnn
 from tablelore.llm.common import word_hashes
 from tablelore.llm.components import components
+from tablelore.llm import parity_join
 from tablelore.llm.parity_join import similar_groups, sketch
 from fractions import Fraction
 
@@ -78,6 +79,35 @@ def test_similar_groups_equal_brute_force(spark, width, threshold):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == groups_by_force(rows, width, t.numerator, t.denominator)
 
 
+@pytest.mark.parametrize("width,threshold", [(4, "0.85"), (5, "0.8")])
+def test_similar_groups_by_rarest_shingles_equal_brute_force(spark, monkeypatch, width, threshold):
+    """All buckets count as crowded and every document as a hub: the same groups."""
+    monkeypatch.setattr(parity_join, "CROWD", 0)
+    monkeypatch.setattr(parity_join, "HUB", 2)
+    rows = near_copies()
+    t = Fraction(threshold)
+    got = similar_groups(documents(spark, rows), width=width, threshold=threshold)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == groups_by_force(rows, width, t.numerator, t.denominator)
+
+
+@pytest.mark.parametrize("own", [40, 18])
+def test_templates_make_no_pairs(spark, monkeypatch, own):
+    """2000 documents of one template, each with `own` of 142 words of its own (Jaccard 0.56 and 0.77, unlinked), make no rows of pairs; a few near copies are found."""
+    seen = {}
+    settle = parity_join.settle
+    def counted(df, name):
+        out = settle(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(parity_join, "settle", counted)
+    head = prose(3, 142 - own, 5000)
+    rows = [(i, " ".join(head + [f"d{i}x{j}" for j in range(own)])) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(0, 2000, 500)]
+    got = {r.doc_id: r.component_id for r in similar_groups(documents(spark, rows)).collect()}
+    assert got == {i: i % 5000 for i, _ in rows}
+    assert seen["pairs"] < 3 * len(rows)
+
+
 def test_similar_groups_repeated_ids_and_no_rows(spark):
     a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
     got = similar_groups(documents(spark, [(5, a), (5, b), (7, a), (8, b), (8, b), (None, a)]))
