@@ -194,8 +194,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketches = settle(classes.select("id", "octave", "n", "bits").join(buckets.select("id").distinct(), "id", "left_semi"), "bits")
     star = buckets.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(buckets.select("id", "hi")).where("a <> b").distinct()
     side = lambda name, to: sketches.select(F.col("id").alias(name), F.struct("octave", "n", "bits").alias(to))
-    near = _beside(settle(star, "star"), side("a", "x"), side("b", "y")).where("x.octave = y.octave")
-    tested = settle(near.where(_close(t)).select("a", "b").distinct(), "pairs")
+    close = lambda pairs: _beside(pairs, side("a", "x"), side("b", "y")).where("x.octave = y.octave").where(_close(t)).select("a", "b").distinct()
+    tested = settle(close(settle(star, "star")), "pairs")
     heads = settle(whole.where("n > 0").groupBy("n", "f", "g").agg(F.min("id").alias("head")), "heads")  # a table of its own, so that adaptive execution splits the joins at a set with many copies
     held = whole.join(heads, ["n", "f", "g"]).select("id", "head")
     repeated = held.groupBy("id").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo < hi").select("id")
@@ -214,7 +214,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = x.join(y, same & once & _close(t)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     crowd = settle(rest.where("crowded").select("id").distinct(), "crowd")
     if not crowd.isEmpty():
-        more = more.union(_by_rarest(docs, crowd, roots, width, t))
+        more = more.union(close(settle(_by_rarest(docs, crowd, roots, width, t), "met")))
     more = settle(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         roots = components(links.union(_verified(docs, more, width, t)))

@@ -105,7 +105,7 @@ def test_templates_make_no_pairs(spark, monkeypatch, own):
     rows += [(5000 + i, rows[i][1] + " end") for i in range(0, 2000, 500)]
     got = {r.doc_id: r.component_id for r in similar_groups(documents(spark, rows)).collect()}
     assert got == {i: i % 5000 for i, _ in rows}
-    assert seen["pairs"] < 3 * len(rows)
+    assert seen["pairs"] + seen.get("met", 0) < 3 * len(rows)
 
 
 def test_similar_groups_repeated_ids_and_no_rows(spark):
