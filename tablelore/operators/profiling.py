@@ -104,35 +104,38 @@ def column_ranges(tables: dict[str, DataFrame], estimates: bool = False) -> Data
 
 # ---- second scan: distinct cells and rows ------------------------------------------------------------------------
 
-def _cell(ordinal: int, long: str = "NULL", double: str = "NULL", text: str = "NULL", digest: str = "NULL",
-          order: str = "NULL", sample: str = "NULL") -> str:
-    return (f"struct({ordinal} AS ordinal, CAST({long} AS BIGINT) AS k_long, CAST({double} AS DOUBLE) AS k_double,"
-            f" CAST({text} AS STRING) AS k_text, CAST({digest} AS BINARY) AS k_digest, CAST({order} AS STRING) AS k_order,"
-            f" CAST({sample} AS STRING) AS k_sample)")
-
+# Types whose equal values have equal texts: their cells are compared as they are and turned into text afterwards, once a distinct value.
+PLAIN = (T.DateType, T.TimestampNTZType, T.BooleanType, T.DecimalType)
 
-def _column_cell(ordinal: int, field: T.StructField, limit: str | None) -> str:
-    """Where a cell's identity goes: whole numbers, floats, short texts, or a digest of anything longer.
 
-    A long text whose md5 is below `limit` travels beside its digest: samples are taken from these.
-    """
+def _key_sql(field: T.StructField) -> tuple[str, str] | None:
+    """The kind of a column's cells and the fixed-width key they are compared by; None for texts."""
     kind, c = field.dataType, _name(field)
     if isinstance(kind, T.IntegralType):
-        return _cell(ordinal, long=c)
+        return "bigint", f"CAST({c} AS BIGINT)"
     if isinstance(kind, T.FloatType):  # by its shortest digits, so that samples show them; 0.0 and -0.0 are one value
-        return _cell(ordinal, double=f"CAST(CAST({present_sql(field)} AS STRING) AS DOUBLE) + 0.0D")
+        return "double", f"CAST(CAST({present_sql(field)} AS STRING) AS DOUBLE) + 0.0D"
     if isinstance(kind, T.DoubleType):
-        return _cell(ordinal, double=present_sql(field))
-    if isinstance(kind, T.BinaryType):
-        return _cell(ordinal, text=text_sql(field), digest=f"unhex(sha2({c}, 256))", order=f"md5({c})")
-    text = text_sql(field)
-    if isinstance(kind, T.StringType) or cells.is_nested(kind):
-        long = f"octet_length({text}) > {LONG_TEXT}"
-        return _cell(ordinal, text=f"CASE WHEN NOT ({long}) THEN {text} END",
-                     digest=f"CASE WHEN {long} THEN unhex(sha2({text}, 256)) END",
-                     order=f"CASE WHEN {long} THEN md5({text}) END",
-                     sample="NULL" if limit is None else f"CASE WHEN {long} AND md5({text}) < '{limit}' THEN {text} END")
-    return _cell(ordinal, text=text)
+        return "double", present_sql(field)
+    return (kind.simpleString(), c) if isinstance(kind, PLAIN) else None
+
+
+def _text_cell(slot: int, field: T.StructField, limit: str | None) -> str:
+    """Where a text's identity goes: short ones as they are, or a digest of anything longer.
+
+    A long text whose md5 is below `limit` travels beside its digest: samples are taken from these.
+    """
+    c, text = _name(field), text_sql(field)
+    long = f"octet_length({text}) > {LONG_TEXT}"
+    digest = order = sample = "NULL"
+    if isinstance(field.dataType, T.BinaryType):
+        digest, order = f"unhex(sha2({c}, 256))", f"md5({c})"
+    elif is_text(field):
+        digest = f"CASE WHEN {long} THEN unhex(sha2({text}, 256)) END"
+        sample = "NULL" if limit is None else f"CASE WHEN {long} AND md5({text}) < '{limit}' THEN {text} END"
+        text = f"CASE WHEN NOT ({long}) THEN {text} END"
+    return (f"struct({slot} AS slot, CAST({text} AS STRING) AS k_text, CAST({digest} AS BINARY) AS k_digest, CAST({order} AS STRING) AS k_order,"
+            f" CAST({sample} AS STRING) AS k_sample)")
 
 
 def _row_digest(schema: T.StructType) -> str:
@@ -151,14 +154,7 @@ def _row_digest(schema: T.StructType) -> str:
     return f"unhex(sha2(concat_ws(',', {', '.join(parts)}), 256))"
 
 
-def _cells_of(table: str, df: DataFrame, rows: bool, columns: bool, limits: dict[tuple[str, int], str]) -> DataFrame:
-    found = [_column_cell(i, f, limits.get((table, i))) for i, f in enumerate(df.schema.fields, 1)] if columns else []
-    if rows:
-        found.append(_cell(ROW, digest=_row_digest(df.schema)))
-    return df.selectExpr(f"{literal_sql(table)} AS table_name", f"inline(array({', '.join(found)}))")
-
-
-KEY = ["k_long", "k_double", "k_text", "k_digest"]
+CELL = {"k_long": "bigint", "k_double": "double", "k_text": "string", "k_digest": "binary", "k_order": "string", "k_sample": "string"}
 
 
 def sample_limits(ranges: DataFrame) -> dict[tuple[str, int], str]:
@@ -174,15 +170,49 @@ def sample_limits(ranges: DataFrame) -> dict[tuple[str, int], str]:
     return out
 
 
+def _distinct(parts: list[tuple[DataFrame, list[str]]], kept: str) -> DataFrame:
+    """The different cells of one kind, of all tables: a struct of slot and key for each cell that `kept` lets through."""
+    return union_all([df.selectExpr(f"inline(array({', '.join(structs)}))") for df, structs in parts]).filter(kept).distinct()
+
+
 def distinct_cells(tables: dict[str, DataFrame], rows: bool = True, columns: bool = True,
                    limits: dict[tuple[str, int], str] | None = None) -> DataFrame:
-    """Every distinct non-missing cell of every column, and every distinct row digest, of all tables."""
-    tall = union_all([_cells_of(t, tables[t], rows, columns, limits or {}) for t in table_names(tables)])
-    return tall.dropna(how="all", subset=KEY).distinct()
+    """Every distinct non-missing cell of every column, and every distinct row digest, of all tables.
+
+    Cells are compared kind by kind: a slot, which stands for table and column, and a key of that kind's type. So a number costs 16 bytes of a task's
+    memory and of the shuffle, and no column of one kind carries the empty fields of another.
+    """
+    slots: list[tuple[str, int]] = []
+    kinds: dict[str, list[tuple[DataFrame, list[str]]]] = {}
+    for t in table_names(tables):
+        own: dict[str, list[str]] = {}
+        for i, f in enumerate(tables[t].schema.fields, 1) if columns else ():
+            slots.append((t, i))
+            key = _key_sql(f)
+            cell = f"struct({len(slots)} AS slot, {key[1]} AS k)" if key else _text_cell(len(slots), f, (limits or {}).get((t, i)))
+            own.setdefault(key[0] if key else "text", []).append(cell)
+        if rows:
+            slots.append((t, ROW))
+            own["row"] = [f"struct({len(slots)} AS slot, {_row_digest(tables[t].schema)} AS k)"]
+        for kind, structs in own.items():
+            kinds.setdefault(kind, []).append((tables[t], structs))
+    # never null, so that no join on them adds a filter below the shuffle of one of its sides
+    names = f"coalesce(element_at(array({', '.join(literal_sql(t) for t, _ in slots)}), slot), '') AS table_name"
+    ordinals = f"coalesce(element_at(array({', '.join(str(i) for _, i in slots)}), slot), 0) AS ordinal"
+    out = []
+    for kind, parts in sorted(kinds.items()):
+        found = _distinct(parts, "k_text IS NOT NULL OR k_digest IS NOT NULL" if kind == "text" else "k IS NOT NULL")
+        held = {c: c for c in found.columns if c in CELL} or {{"bigint": "k_long", "double": "k_double", "row": "k_digest"}.get(kind, "k_text"): "k"}
+        out.append(found.selectExpr("slot", names, ordinals, *[f"CAST({held.get(c, 'NULL')} AS {kind_of}) AS {c}" for c, kind_of in CELL.items()]))
+    return union_all(out)
+
+
+def _slot_counts(cells_frame: DataFrame) -> DataFrame:
+    return cells_frame.groupBy("slot", "table_name", "ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
 def distinct_counts(cells_frame: DataFrame) -> DataFrame:
-    return cells_frame.groupBy("table_name", "ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
+    return _slot_counts(cells_frame).drop("slot")
 
 
 # ---- samples -----------------------------------------------------------------------------------------------------
@@ -190,28 +220,38 @@ def distinct_counts(cells_frame: DataFrame) -> DataFrame:
 def sample_values(tables: dict[str, DataFrame], cells_frame: DataFrame | None = None, n: int = SAMPLES) -> DataFrame:
     """Up to n distinct non-missing values per column: those whose text has the smallest md5.
 
-    The rank filter keeps n rows per column and task before its shuffle. Cells given must have been made with sample_limits, for long texts are
-    only there below these; without cells both scans are run here.
+    Of a column with many different cells only about CANDIDATES are ranked, those with an md5 below a limit that follows from their exact number: so
+    cells are not sorted. Cells given must have been made with sample_limits, for long texts are only there below these; without cells both scans are
+    run here.
     """
     if cells_frame is None:
         cells_frame = distinct_cells(tables, rows=False, limits=sample_limits(column_ranges(tables, estimates=True)))
     value = F.coalesce(F.col("k_text"), F.col("k_long").cast("string"), F.col("k_double").cast("string"), F.col("k_sample"))
-    order = F.coalesce("k_order", F.md5(value))
+    order = F.coalesce("k_order", F.md5(value), F.lit("z"))  # never null, or the join would filter cells below the shuffle; "z" is above every limit
     w = Window.partitionBy("table_name", "ordinal").orderBy("sample_order")
+    held, wanted = F.col("unique_count"), CANDIDATES * n / SAMPLES
+    share = F.lpad(F.lower(F.hex(F.floor(F.lit(wanted * (1 << 48)) / held))), 12, "0")
+    below = _slot_counts(cells_frame).select("slot", F.when(held <= wanted, "g").otherwise(share).alias("below"))
     # No filter goes on the cells here: this way the plan that counts them and the plan that samples them share a shuffle.
     picked = (cells_frame
-              .select("table_name", "ordinal", order.alias("sample_order"), value.alias("value"))
+              .select("slot", "table_name", "ordinal", order.alias("sample_order"), value.alias("value"))
+              .join(F.broadcast(below), "slot").filter(F.col("sample_order") < F.col("below"))
               .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
     lists = picked.groupBy("table_name", "ordinal").agg(
         F.array_sort(F.collect_list(F.struct("sample_order", "value"))).alias("s"))
     return lists.select("table_name", "ordinal", F.col("s.value").alias("sample_values"))
 
 
+def counts_and_samples(cells_frame: DataFrame) -> DataFrame:
+    """Distinct counts and samples of every column in one plan, so that the cells are made and shuffled once."""
+    return distinct_counts(cells_frame).join(sample_values({}, cells_frame), ["table_name", "ordinal"], "left")
+
+
 # ---- profiles ----------------------------------------------------------------------------------------------------
 
 def column_profiles(tables: dict[str, DataFrame], samples: bool = True, ranges: DataFrame | None = None,
-                    cells_frame: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """The full profile of every column of every table. With samples the first scan is run at once, for the second depends on it."""
+                    cells_frame: DataFrame | None = None, counts: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """The full profile of every column of every table; counts and lists of samples that are there already are taken. With samples the first scan is run at once, for the second depends on it."""
     if ranges is None:
         ranges = settle(column_ranges(tables, estimates=True)) if samples else column_ranges(tables)
     if cells_frame is None:
@@ -220,7 +260,7 @@ def column_profiles(tables: dict[str, DataFrame], samples: bool = True, ranges:
     on = ["table_name", "ordinal"]
     out = ranges.join(counts, on, "left")
     if samples:
-        out = out.join(sample_values(tables, cells_frame), on, "left")
+        out = out.join(sample_values(tables, cells_frame) if lists is None else lists, on, "left")
         sample = F.coalesce("sample_values", F.array().cast("array<string>"))
     unique = F.coalesce("unique_count", F.lit(0)).cast("long")
     out = out.select(

@@ -56,9 +56,10 @@ def build(spark: SparkSession, tables: dict[str, DataFrame], source: str, keys:
     profiled = tables if sample_size is None else {t: profiling.sample_rows(df, sample_size) for t, df in tables.items()}
     ranges = settle(profiling.column_ranges(profiled, estimates=samples))
     cells = profiling.distinct_cells(profiled, limits=profiling.sample_limits(ranges) if samples else None)
-    counts = settle(profiling.distinct_counts(cells))
+    found = settle(profiling.counts_and_samples(cells) if samples else profiling.distinct_counts(cells))
+    counts, lists = found.drop("sample_values"), found.drop("unique_count") if samples else None
     raw = settle(pii.scan(tables, columns, source) if find_pii else pii.by_name(columns).limit(0))
-    column_profiles = settle(profiling.column_profiles(profiled, samples, ranges, cells, counts))
+    column_profiles = settle(profiling.column_profiles(profiled, samples, ranges, cells, counts, lists))
     return Dictionary(
         source=source, columns=columns, keys=keys,
         tables=settle(catalog.catalog_tables(columns, catalog.row_counts(tables, source), keys)),

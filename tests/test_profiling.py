@@ -189,3 +189,25 @@ def test_quality_issues_and_report(spark):
 def test_no_tables_are_complete(spark):
     found = P.database_profile(P.table_profiles({})).first()
     assert (found.total_tables, found.overall_completeness) == (0, 1.0)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_made_once_for_counts_and_samples(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("d"), F.concat(F.lit("t"), F.col("id") % 900).alias("s"), F.lit(None).cast("string").alias("none"),
+                                  F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % 400).cast("int")).alias("day"), (F.col("id") % 3).cast("decimal(9,2)").alias("dec"))
+    got = P.counts_and_samples(P.distinct_cells({"t": df, "u": df.limit(2)}, limits={}))
+    rows = {(r.table_name, r.ordinal): r for r in got.collect()}
+    assert [rows["t", i].unique_count for i in (0, 1, 2, 3, 5, 6)] == [3000, 3000, 7, 900, 400, 3] and ("t", 4) not in rows and rows["u", 0].unique_count == 2
+    plan = plan_of(got).split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") >= 5  # every kind of cells but, at most, one
+    for i, c in ((1, "id"), (2, "d"), (3, "s"), (5, "day"), (6, "dec")):
+        text = F.col(c).cast("string")
+        assert rows["t", i].sample_values == [r.v for r in df.select(text.alias("v")).distinct().orderBy(F.md5("v")).limit(5).collect()]
+
+
+def test_a_number_is_compared_by_its_slot_and_itself(spark):
+    plan = plan_of(P.distinct_cells({"t": spark.range(5)}, rows=False))
+    assert "keys=[slot" in plan and "k_text" not in plan.split("HashAggregate(keys=[slot")[-1]
