@@ -80,9 +80,12 @@ def _stem_parents(parents: DataFrame, primary: DataFrame) -> DataFrame:
 
 
 def implicit_edges(columns: DataFrame, keys: DataFrame) -> DataFrame:
-    """At most one inferred edge per column: highest confidence, then table name, then column name."""
+    """At most one inferred edge per column: highest confidence, then table name, then column name.
+
+    Parents and children are worked out once and settled, with the names they are compared by: each is read twice.
+    """
     primary = keys.select(*TABLE, "primary_keys")
-    parents = _parents(columns)
+    parents = settle(_parents(columns))
     core = names.entity_core(F.col("table_name"))
     sole_key = F.coalesce((F.size("primary_keys") == 1) & F.array_contains("primary_keys", F.col("column_name")), F.lit(False))
     children = (columns.join(primary, TABLE, "left")
@@ -91,6 +94,7 @@ def implicit_edges(columns: DataFrame, keys: DataFrame) -> DataFrame:
                         & ~sole_key & ~names.owns_id(F.col("key"), core))
                 .select("source", F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"),
                         "ordinal", "key", names.id_stem(F.col("key")).alias("stem")))
+    children = settle(children)
     same = children.join(_named_parents(parents), ["source", "key"]).withColumn("way", F.lit(0))
     plain_key = F.concat("stem", F.lit("_id"))
     odd = (children.filter(F.col("key") != plain_key).withColumn("plain_key", plain_key)
@@ -174,14 +178,15 @@ def relationships(columns: DataFrame, keys: DataFrame) -> DataFrame:
 # ---- views of the edges ------------------------------------------------------------------------------------------
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Edges grouped by the ordered pair of tables; tables that are only pointed at come with no edge."""
+    """Edges grouped by the ordered pair of tables; tables that are only pointed at come with no edge. Edges are read once: both ends come from the
+    groups, which are settled."""
     arcs = edges.groupBy("source", "from_table", "to_table").agg(F.array_sort(F.collect_list(F.struct(
         (~F.col("is_explicit")).alias("inferred"), "position", "pair_position", "from_column", "to_column",
         "relationship_type", "is_explicit", "confidence"))).alias("sorted_edges"))
     payload = F.transform("sorted_edges", lambda e: F.struct(
         *[e[f].alias(f) for f in ("from_column", "to_column", "relationship_type", "is_explicit", "confidence")]))
-    arcs = arcs.select("source", "from_table", "to_table", payload.alias("edges"))
-    nodes = edges.select("source", F.explode(F.array("from_table", "to_table")).alias("from_table")).distinct()
+    arcs = settle(arcs.select("source", "from_table", "to_table", payload.alias("edges")))
+    nodes = arcs.select("source", F.explode(F.array("from_table", "to_table")).alias("from_table")).distinct()
     return nodes.join(arcs, ["source", "from_table"], "left")
 
 

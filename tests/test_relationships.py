@@ -3,6 +3,7 @@
 import random
 
 from tablelore.operators import catalog, relationships as rel
+from tablelore.session import settle
 
 FIELDS = "source string, table_name string, ordinal int, column_name string, data_type string, is_nullable boolean, default_value string"
 
@@ -159,3 +160,28 @@ def test_a_hub_costs_rows_in_proportion_to_its_edges(spark):
     linked = {(r.from_table, r.to_table) for r in rel.linked_by_junction(pairs, junctions).collect()}
     assert linked == {(f"spoke{i}", "hub") for i in range(n)} | {("hub", "spoke7"), ("hub", "hub")}
     junctions.unpersist()
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+STAR = {("a", "orders"): (["order_id", "customer_id"], ["order_id"], []), ("a", "customers"): (["customer_id"], ["customer_id"], []),
+        ("a", "items"): (["order__id", "customer_id"], [], [(["customer_id"], "customers", ["customer_id"])])}
+
+
+def test_settled_frames_are_read_by_column(spark):
+    plan = plan_of(settle(spark.range(3).selectExpr("id", "'long text' AS t")).select("id"))
+    assert "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_names_are_prepared_once(spark):
+    plan = plan_of(rel.implicit_edges(*frames(spark, STAR)))
+    assert "lower(" not in plan and "max_by" not in plan
+
+
+def test_adjacency_reads_the_edges_once(spark):
+    arcs = rel.adjacency(spark.createDataFrame(edges(spark, STAR).collect(), "source string, from_table string, from_column string, to_table string, to_column string, "
+                         "relationship_type string, is_explicit boolean, confidence double, position int, pair_position int"))
+    assert {(r.from_table, r.to_table) for r in arcs.collect()} == {("orders", "customers"), ("items", "orders"), ("items", "customers"), ("customers", None)}
+    assert "ExistingRDD" not in plan_of(arcs) and "LocalTableScan" not in plan_of(arcs)
