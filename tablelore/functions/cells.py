@@ -82,12 +82,9 @@ def display(field: T.StructField) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Drop outer white space of any script, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def blank_to_null(c: Column) -> Column:
-    return F.when(~c.rlike(r"(?U)^\s*$"), c)
+    """Drop outer white space of any script, not only blanks. A text that begins and ends with a visible ASCII character needs no pattern."""
+    bare = c.between("!", "~\U0010FFFF") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(bare, c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def null_tokens_to_null(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -38,7 +39,7 @@ def is_time_text(field: T.StructField) -> bool:
 def _cleaned(field: T.StructField, parse_numeric_dates: bool) -> Column:
     c = cells.ref(field.name)
     if isinstance(field.dataType, T.StringType):
-        return cells.blank_to_null(cells.strip(c))
+        return F.nullif(cells.strip(c), F.lit(""))  # what is blank is empty once stripped
     if parse_numeric_dates and is_time_name(field.name) and cells.is_numeric(field.dataType):
         since = F.make_dt_interval(secs=(c.cast("decimal(38,0)") / 1_000_000_000).cast("decimal(18,6)"))  # it counts nanoseconds
         return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
@@ -111,34 +112,54 @@ def clean(df: DataFrame, parse_numeric_dates: bool = False) -> DataFrame:
     return clean_cells(df, parse_numeric_dates).dropDuplicates()
 
 
+def _text_flags(df: DataFrame, texts: list[tuple[int, str, bool]]) -> DataFrame:
+    """type_flags of text columns, given as (ordinal, name, whether it is read as a time).
+
+    Cells come one a row, so that one short piece of code folds all of them: folds of many columns side by side are too long to be compiled.
+    """
+    def cells_of(frame: DataFrame, value) -> DataFrame:
+        return frame.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(timed).alias("timed"), value(name).alias("c")) for i, name, timed in texts])))
+
+    none = cells_of(df.sparkSession.range(1), lambda name: F.lit(None).cast("string"))  # a column without a row is listed too
+    rows = cells_of(df, cells.ref).unionByName(none)
+    timed, c, v, wide, written = (F.col(x) for x in ("timed", "c", "v", "wide", "written"))
+    with_times = any(t for _, _, t in texts)
+    if with_times:
+        rows = rows.withColumn("mask_0", F.when(timed, cells.layout_mask(c)))
+    text = F.when(~timed, c)
+    rows = rows.select("*", text.alias("u"), cells.number(text).alias("v"))
+    digits = F.coalesce(v.isNotNull() & F.col("u").rlike(WHOLE_TEXT), F.lit(False))  # every whole number written out is a number
+    rows = rows.withColumn("written", digits).withColumn("wide", F.when(written, F.col("u").try_cast(WIDE)))
+    small = (v % 1 == 0) & (F.abs(v) < EXACT_LIMIT)
+    # a number written out whole must come back from a double as it was, or the column may not be double
+    inexact = written & (F.abs(v) >= EXACT_LIMIT) & ~F.coalesce(v.try_cast(WIDE) == wide, F.lit(False))
+    folds = [F.count(v).alias("num"), F.count_if(small | (written & wide.try_cast("bigint").isNotNull())).alias("whole"), F.count_if(small | (written & wide.isNotNull())).alias("wide"),
+             F.count_if(inexact).alias("inexact"), F.count_if(F.col("u").rlike(cells.BOOLEAN_TEXT)).alias("bool")]
+    found = rows.groupBy("ordinal", "timed").agg(*(_date_folds(0, c) if with_times else [F.count(c).alias("n_0")]), *folds)
+    n = F.col("n_0")
+    kind = (F.when(timed, "timestamp_ntz").when(n == 0, "string").when(F.col("whole") == n, "bigint").when(F.col("wide") == n, WIDE)
+            .when((F.col("num") == n) & (F.col("inexact") == 0), "double").when(F.col("bool") == n, "boolean").otherwise("string"))
+    day_first, lost = F.lit(None).cast("boolean"), F.lit(None).cast("long")
+    if with_times:
+        day_first = F.when(timed, _day_first(0))
+        lost = F.when(timed, n - F.when(_day_first(0), F.col("as_day_0")).otherwise(F.col("as_month_0")))
+    names = F.array(*[F.lit(name) for _, name, _ in texts])
+    place = F.array_position(F.array(*[F.lit(i) for i, _, _ in texts]), F.col("ordinal")).cast("int")
+    return found.select("ordinal", F.element_at(names, place).alias("column_name"), kind.alias("inferred_type"), n.alias("filled"), day_first.alias("day_first"), lost.alias("lost"))
+
+
 def type_flags(df: DataFrame, dates: bool = False) -> DataFrame:
-    """What the values of each column allow, and how many there are: one row per column, from one pass over the table.
+    """What the values of each column allow, and how many there are: one row per column, from one pass over its text columns and one over the others.
 
     With `dates`, text columns that name times are timestamps, and day_first and lost are as in date_layouts; NULL for all other columns.
     """
+    texts = [(i, f.name, dates and is_time_text(f)) for i, f in enumerate(df.schema.fields, 1) if isinstance(f.dataType, T.StringType)]
     folds, picks = [], []
     for i, f in enumerate(df.schema.fields):
         c = cells.ref(f.name)
-        day_first, lost = F.lit(None).cast("boolean"), F.lit(None).cast("long")
-        if dates and is_time_text(f):
-            folds += _date_folds(i, c)
-            kind, day_first = F.lit("timestamp_ntz"), _day_first(i)
-            lost = F.col(f"n_{i}") - F.when(day_first, F.col(f"as_day_{i}")).otherwise(F.col(f"as_month_{i}"))
-        elif isinstance(f.dataType, T.StringType):
-            v = cells.number(c)
-            small, written = (v % 1 == 0) & (F.abs(v) < EXACT_LIMIT), c.rlike(WHOLE_TEXT)
-            wide = c.try_cast(WIDE)
-            # a number written out whole must come back from a double as it was, or the column may not be double
-            inexact = written & (F.abs(v) >= EXACT_LIMIT) & ~F.coalesce(v.try_cast(WIDE) == wide, F.lit(False))
-            folds += [F.count(c).alias(f"n_{i}"), F.count(v).alias(f"num_{i}"),
-                      F.count_if(small | (written & wide.try_cast("bigint").isNotNull())).alias(f"whole_{i}"),
-                      F.count_if(small | (written & wide.isNotNull())).alias(f"wide_{i}"),
-                      F.count_if(inexact).alias(f"inexact_{i}"), F.count_if(c.rlike(cells.BOOLEAN_TEXT)).alias(f"bool_{i}")]
-            n = F.col(f"n_{i}")
-            kind = (F.when(n == 0, "string").when(F.col(f"whole_{i}") == n, "bigint").when(F.col(f"wide_{i}") == n, WIDE)
-                    .when((F.col(f"num_{i}") == n) & (F.col(f"inexact_{i}") == 0), "double")
-                    .when(F.col(f"bool_{i}") == n, "boolean").otherwise("string"))
-        elif cells.is_float(f.dataType):
+        if isinstance(f.dataType, T.StringType):
+            continue
+        if cells.is_float(f.dataType):
             v = cells.present(f)
             folds += [F.count(v).alias(f"n_{i}"), F.count_if((v % 1 == 0) & (F.abs(v) < LONG_LIMIT)).alias(f"whole_{i}")]
             kind = F.when((F.col(f"n_{i}") > 0) & (F.col(f"whole_{i}") == F.col(f"n_{i}")), "bigint").otherwise(
@@ -147,8 +168,11 @@ def type_flags(df: DataFrame, dates: bool = False) -> DataFrame:
             kind = F.lit(f.dataType.simpleString())
             folds.append(F.count(c).alias(f"n_{i}"))
         picks.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"), kind.alias("inferred_type"),
-                              F.col(f"n_{i}").alias("filled"), day_first.alias("day_first"), lost.alias("lost")))
-    return (_with_masks(df) if dates else df).agg(*folds).select(F.explode(F.array(*picks)).alias("c")).select("c.*")
+                              F.col(f"n_{i}").alias("filled"), F.lit(None).cast("boolean").alias("day_first"), F.lit(None).cast("long").alias("lost")))
+    parts = [_text_flags(df, texts)] if texts else []
+    if picks:
+        parts.append(df.agg(*folds).select(F.explode(F.array(*picks)).alias("c")).select("c.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def to_type(field: T.StructField, kind: str) -> Column:

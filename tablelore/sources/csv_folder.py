@@ -69,18 +69,23 @@ def file_layout(spark: SparkSession, folder: str) -> DataFrame:
     """Delimiter of each file, whether a quoted line break makes it unsplittable, and whether the delimiter is doubtful (with the share of lines that agree on it): one pass over the text.
 
     Lines vote with their number of delimiters outside quotes, those without any for none, which counts as a comma unless quotes hold line breaks; the most
-    votes win. Counts are added up before they are shuffled.
+    votes win. Lines alike in their numbers are added up first, and only then spelled out as votes.
     """
     lines = _lines(spark, folder).filter(~F.col("value").rlike(r"^\s*$"))
-    bare = F.regexp_replace("value", '"[^"]*"', "")
-    number = {d: F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS}
+    quoted = F.contains("value", F.lit('"'))
+    bare = F.when(quoted, F.regexp_replace("value", '"[^"]*"', "")).otherwise(F.col("value"))
+    open_quote = quoted & ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+    number = {d: F.col(f"n_{i}") for i, d in enumerate(DELIMITERS)}
+    alike = (lines.select("file_path", "file_name", open_quote.alias("open_quote"), bare.alias("bare"))
+             .select("file_path", "file_name", "open_quote",
+                     *[(F.length("bare") - F.length(F.replace("bare", F.lit(d), F.lit("")))).alias(f"n_{i}") for i, d in enumerate(DELIMITERS)])
+             .groupBy("file_path", "file_name", "open_quote", *number.values()).agg(F.count(F.lit(1)).alias("lines")))
     none = (sum(number.values()) == 0).cast("int")  # a line with no delimiter votes once for a file of one column
     counts = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(d).alias("delimiter"), n.alias("n"))
                        for i, (d, n) in enumerate([*number.items(), ("", none)])])
-    open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    per_count = (lines.select("file_path", "file_name", open_quote.alias("open_quote"), F.explode(counts).alias("c"))
+    per_count = (alike.select("file_path", "file_name", "open_quote", "lines", F.explode(counts).alias("c"))
                  .groupBy("file_path", "file_name", "c.place", "c.delimiter", "c.n")
-                 .agg(F.count(F.lit(1)).alias("lines"), F.max("open_quote").alias("open_quote")))
+                 .agg(F.sum("lines").alias("lines"), F.max("open_quote").alias("open_quote")))
     per_delimiter = per_count.groupBy("file_path", "file_name", "place", "delimiter").agg(
         F.max(F.when(F.col("n") > 0, F.col("lines"))).alias("agreeing"), F.sum("lines").alias("lines"),
         F.max("open_quote").alias("multi_line"))

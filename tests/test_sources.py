@@ -205,3 +205,25 @@ def test_a_folder_of_parts_is_one_table(spark, tmp_path):
     tables = load_tables(spark, str(tmp_path))
     assert sorted(tables) == ["one", "parts"] and not tables.errors
     assert tables["parts"].columns == ["id", "text"] and tables["parts"].count() == 100 and tables["one"].columns == ["a", "b"]
+
+
+def test_code_for_types_does_not_grow_with_the_columns(spark):
+    def patterns(n: int) -> int:
+        df = spark.range(3).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(n)])
+        return cleaning.type_flags(df)._jdf.queryExecution().executedPlan().toString().upper().count("RLIKE")
+
+    assert patterns(30) == patterns(2)
+
+
+def test_types_of_empty_and_blank_columns(spark):
+    df = spark.createDataFrame([], "a string, made_date string, n double")
+    assert [tuple(r) for r in cleaning.type_flags(df, dates=True).orderBy("ordinal").collect()] == [
+        (1, "a", "string", 0, None, None), (2, "made_date", "timestamp_ntz", 0, False, 0), (3, "n", "double", 0, None, None)]
+
+
+def test_strip_with_and_without_a_pattern(spark):
+    texts = ["a b", " a", "a ", " a", "~", "é", "　", "\x0b!", "a\n", "", "!\u0085", "~\U0010ffff z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select(cells.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("r")).collect()
+    assert all(x.s == x.r for x in out)
+    assert [r.t for r in cleaning.clean_texts(df).collect()] == [x.r or None for x in out]
