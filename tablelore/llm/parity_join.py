@@ -146,11 +146,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, t: Fraction) -> Dat
     return met.where(both * t.denominator >= union * t.numerator).select("a", "b").distinct()
 
 
-def _by_rarest(docs: DataFrame, ids: DataFrame, roots: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of the listed documents, in different components, among which are all similar ones.
+def _by_rarest(docs: DataFrame, ids: DataFrame, roots: DataFrame, sketches: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of the listed documents, in different components and with close sketches, among which are all similar ones.
 
     With shingles in one order, rarest first, a similar pair shares one that is among the first n - 2tn/(1+t) + 1 of the smaller set and among
     the first n - tn + 1 of the larger. What a template gives to all its documents comes last, so those that are not similar do not meet.
+    All that two sets share stands at or behind the first shingle they share. So a shingle makes a pair only where, in both sets, as many
+    follow as the two sizes ask for, and where their sketches are close: near copies of one text that differ too much are compared there, but are no row. At least one of a
+    pair is outside the component that has most of the shingle's sets; those inside meet only those outside.
     """
     p, q = t.numerator, t.denominator
     sets = _sets_of(docs, ids, width).withColumn("own", F.xxhash64("s"))  # an id that repeats may have several sets
@@ -160,13 +163,18 @@ def _by_rarest(docs: DataFrame, ids: DataFrame, roots: DataFrame, width: int, t:
     placed = each.join(often, "shingle").withColumn("at", F.row_number().over(own.orderBy("held", "shingle")))
     placed = placed.withColumn("at", F.col("at") + F.col("n") - F.count("*").over(own))  # those that no other set holds come first
     first = placed.where(f"at <= n - (n * {p} + {q - 1}) div {q} + 1").withColumn("early", F.expr(f"at <= n - (2 * n * {p} + {p + q - 1}) div {p + q} + 1"))
-    first = first.join(roots.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "own", "n", "early", F.coalesce("root", "id").alias("root"))
+    first = first.join(roots.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "own", "n", "at", "early", F.coalesce("root", "id").alias("root"))
     first = settle(first, "first")
-    mixed = first.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("early").alias("early")).where("lo < hi AND early")
-    first = settle(first.join(mixed.select("shingle"), "shingle", "left_semi"), "first")
-    x, y = first.where("early").alias("x"), first.alias("y")
-    near = "x.shingle = y.shingle AND x.root <> y.root AND struct(x.n, x.id, x.own) < struct(y.n, y.id, y.own)" + f" AND y.n * {p} <= x.n * {q}"
-    return x.join(y, F.expr(near)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    each = first.groupBy("shingle", "root").agg(F.count("*").alias("c"), F.max("early").alias("early")).groupBy("shingle")
+    each = each.agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"), F.max("early").alias("early"))
+    first = settle(first.join(each.where("roots > 1 AND early").select("shingle", F.col("most.root").alias("major")), "shingle"), "first")
+    first = first.join(sketches.select("id", "n", "octave", "bits"), ["id", "n"])
+    x = first.where("early").withColumn("outside", F.explode(F.expr("if(root = major, array(true), array(true, false))"))).alias("x")
+    y = first.withColumn("outside", F.col("root") != F.col("major")).alias("y")
+    near = "x.shingle = y.shingle AND x.outside = y.outside AND x.octave = y.octave AND x.root <> y.root AND struct(x.n, x.id, x.own) < struct(y.n, y.id, y.own)"
+    common = f"({p} * (x.n + y.n) + {p + q - 1}) div {p + q}"  # that similar sets of these sizes share at least
+    near += f" AND y.n * {p} <= x.n * {q} AND x.at + {common} <= x.n + 1 AND y.at + {common} <= y.n + 1"
+    return x.join(y, F.expr(near) & _close(t)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: str = "0.8") -> DataFrame:
@@ -214,7 +222,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = x.join(y, same & once & _close(t)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     crowd = settle(rest.where("crowded").select("id").distinct(), "crowd")
     if not crowd.isEmpty():
-        more = more.union(close(settle(_by_rarest(docs, crowd, roots, width, t), "met")))
+        more = more.union(_by_rarest(docs, crowd, roots, sketches, width, t))
     more = settle(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         roots = components(links.union(_verified(docs, more, width, t)))

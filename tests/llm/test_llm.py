@@ -108,6 +108,28 @@ def test_templates_make_no_pairs(spark, monkeypatch, own):
     assert seen["pairs"] + seen.get("met", 0) < 3 * len(rows)
 
 
+@pytest.mark.parametrize("width,threshold", [(4, "0.85"), (5, "0.8")])
+def test_near_copies_too_far_apart_make_no_pairs(spark, monkeypatch, width, threshold):
+    """600 copies of one text with 2 to 6 changed words, most of them unlinked at Jaccard 0.6 to 0.85: the groups of brute force, and no rows of pairs beyond a few a document."""
+    seen = {}
+    settle = parity_join.settle
+    def counted(df, name):
+        out = settle(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(parity_join, "settle", counted)
+    rng, base, rows = np.random.RandomState(8), prose(5, 150, 5000), []
+    for i in range(600):
+        words = list(base)
+        for at in rng.choice(150, rng.randint(2, 7), replace=False):
+            words[at] = f"d{i}x{at}"
+        rows.append((i, " ".join(words)))
+    t = Fraction(threshold)
+    got = similar_groups(documents(spark, rows), width=width, threshold=threshold)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == groups_by_force(rows, width, t.numerator, t.denominator)
+    assert seen["crowd"] and seen["pairs"] + seen.get("met", 0) < 6 * len(rows)
+
+
 def test_similar_groups_repeated_ids_and_no_rows(spark):
     a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
     got = similar_groups(documents(spark, [(5, a), (5, b), (7, a), (8, b), (8, b), (None, a)]))
