@@ -9,22 +9,35 @@ part of it can be read without the rest.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse
 from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablelore.llm.common import as_bytes, in_chunks, scratch_path
+from tablelore.llm.common import scratch_path
 
 BLOCK = 1 << 14
 KEPT_WORDS = 500_000
+ENCODED = 8 << 20  # bytes of text that are split into words at once
 MARK, TOGETHER = " \x01 ", 256
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[!-/:-@\[-`{-~]*)$"
+CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
 
 
 def width_of(vocabulary: int) -> int:
@@ -67,8 +80,12 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
 class WordEncoder:
     """A tokenizer that drops white space, asked once a word: no token of it reaches over blanks, so a text's ids are its words' ids.
 
-    Keeps the ids of the first KEPT_WORDS words it meets; others are encoded again where they come up. New words are encoded many to a
+    Texts are split and their distinct words found by Arrow, so that Python sees a word once a chunk, however often it comes up there. Keeps the
+    ids of the first KEPT_WORDS words it meets; others are encoded again where they come up. New words are encoded many to a
     call, with MARK between them; where a word's own ids hold MARK's, the words of that call are encoded one by one.
+
+    Of a tokenizer that lower-cases and cuts as in CUTS, words of Latin-1 letters and punctuation after them (PLAIN) are cut here, and the letters,
+    lower-cased, go straight to its merges: normal forms and cuts do nothing to them. Their last ids end a word, so no mark is needed.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -77,8 +94,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.mark = self._ids([MARK.strip()])[0]
+        self.plain, self.ends = self._merges()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -86,30 +104,86 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[bytes]) -> Iterator[bytes]:
-        """The ids of each word, as bytes."""
-        texts = [w.decode("utf-8") for w in words]
-        groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
-        for group, ids in zip(groups, self._ids([MARK.join(g) for g in groups]), strict=True):
-            at = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
-            if len(at) == len(group) - 1:
+    def _merges(self) -> tuple:
+        """The tokenizer without normal forms and cuts, and of each id, whether it ends a word; nothing if words may not be cut as in PLAIN."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tokenizer.to_str())
+        model, added = spec["model"], [x["content"] for x in spec["added_tokens"]]
+        as_cut = {k: spec[k] for k in CUTS} == CUTS and model["type"] == "BPE" and model["end_of_word_suffix"] and not model["continuing_subword_prefix"]
+        if not as_cut or model["dropout"] or not all(re.match(r"[!-/:-@\[-`{-~].*[A-Za-z]", x) for x in added):  # such a token is in no PLAIN word
+            return None, None
+        plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None}))
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(max(model["vocab"].values()) + 1 + len(added), bool)
+        ends[[i for word, i in model["vocab"].items() if word.endswith(model["end_of_word_suffix"])]] = True
+        return plain, ends
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], plain: bool = False) -> Iterator[bytes]:
+        """The ids of each word, as bytes. plain: all are Latin-1 letters in lower case."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self._ids([(" " if plain else MARK).join(g) for g in groups], self.plain if plain else None), strict=True):
+            if plain:
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                starts = [0, *stops[:-1]]
+            else:
+                stops = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)] if len(self.mark) == 1 else []
+                starts = [0, *(i + 1 for i in stops[:-1])]
+            if len(stops) == len(group):
                 raw = ids.tobytes()
-                yield from (raw[4 * a : 4 * b] for a, b in zip([0, *(i + 1 for i in at)], [*at, len(ids)], strict=True))
+                yield from (raw[4 * a : 4 * b] for a, b in zip(starts, stops, strict=True))
             else:
                 yield from (x.tobytes() for x in self._ids(group))
 
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        split = [x.split() for x in texts]  # bytes split at \x20 and \x09-\x0D
-        fresh = list(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
+    def _looked_up(self, words: pa.Array, plain: bool = False) -> pa.Array:
+        """The ids of each word, as bytes."""
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        fresh = list(filterfalse(self.known.__contains__, distinct))
         room = max(0, KEPT_WORDS - len(self.known))
-        self.known.update(zip(fresh, self._words(fresh), strict=True))
-        for words in split:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        self.known.update(zip(fresh, self._words(fresh, plain), strict=True))
+        found = pa.array([self.known[w] for w in distinct], pa.large_binary())
         for word in fresh[room:]:
             del self.known[word]
+        return found.take(words.indices)
+
+    def _of_distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of each word, as bytes; words do not repeat."""
+        if not self.plain:
+            return self._looked_up(words)
+        cut = pc.extract_regex(words, PLAIN)
+        fits = cut.is_valid()
+        letters, after = cut.filter(fits).flatten()
+        ids = pc.binary_join_element_wise(self._looked_up(pc.utf8_lower(letters), plain=True), self._looked_up(after), pa.scalar(b"", pa.large_binary()))
+        others = self._looked_up(words.filter(pc.invert(fits)))
+        place = np.argsort(np.argsort(~fits.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return pa.concat_arrays([ids, others]).take(pa.array(place))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the texts, one after the other, and where each text's begin, with the end of the last. Null texts count as empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))  # at \x20 and \x09-\x0D; may hold empty words
+        words = split.flatten().dictionary_encode()
+        found = self._of_distinct(words.dictionary).take(words.indices)
+        if not len(found):
+            return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        _, ends, raw = found.buffers()
+        ends = np.frombuffer(ends, np.int64, len(found) + 1)
+        ids = np.frombuffer(raw, "<u4", int(ends[-1]) // 4) if ends[-1] else np.empty(0, "<u4")
+        return ids, ends[split.offsets.to_numpy()] // 4
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows, so many that their texts, in the second column, have about ENCODED bytes; a longer text comes alone."""
+    at, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        if i > at and held + size > ENCODED:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    yield batch.slice(at)
 
 
 def _encoded(path: str, end_id: int, width: int):
@@ -121,6 +195,7 @@ def _encoded(path: str, end_id: int, width: int):
         names = ["shard", "block", "width", "n_ids", "base", "doc_ids", "doc_offsets", "payload"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         docs, parts, offsets, held, base, block, shard = [], [], [], 0, 0, 0, 0
+        end = np.array([end_id], np.uint32)
 
         def closed() -> pa.RecordBatch:
             values = (shard, block, width, held, base, docs, offsets, pack(np.concatenate(parts), width))
@@ -130,13 +205,13 @@ def _encoded(path: str, end_id: int, width: int):
             if not batch.num_rows:
                 continue
             shard = batch.column(2)[0].as_py()
-            texts = zip(batch.column(0).to_pylist(), (x or b"" for x in as_bytes(batch.column(1))), strict=True)
-            for chunk in in_chunks(texts):
-                for (doc, _), ids in zip(chunk, encoder.encode([x for _, x in chunk]), strict=True):
+            for chunk in _chunks(batch):
+                ids, at = encoder.encode(chunk.column(1))
+                for doc, start, stop in zip(chunk.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     docs.append(doc)
                     offsets.append(held)
-                    parts += [ids, np.array([end_id], np.uint32)]
-                    held += len(ids) + 1
+                    parts += [ids[start:stop], end]
+                    held += stop - start + 1
                     if held >= BLOCK:
                         yield closed()
                         docs, parts, offsets, held, base, block = [], [], [], 0, base + held, block + 1

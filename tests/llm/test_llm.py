@@ -6,6 +6,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -256,6 +257,30 @@ def test_token_files(spark, tmp_path):
         at += n
 
 
+def test_forms_of_a_word_are_encoded_once(monkeypatch):
+    """Capitals and punctuation after a word's letters make no new word for the tokenizer, nor does a word that repeats; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    path, given = public_tokenizers.path("word_bpe_49k.json"), []
+    words = bit_packing.WordEncoder._words
+    monkeypatch.setattr(bit_packing.WordEncoder, "_words", lambda self, fresh, *a: given.extend(fresh) or words(self, fresh, *a))
+    monkeypatch.setattr(bit_packing.WordEncoder, "_made", {})
+    stems = [f"{a}{b}stem" for a in "abcdefghij\u00e9\u00fc\u00df" for b in "klmnopqrst"]
+    forms = [f(w) + after for w in stems for f in (str, str.capitalize, lambda x: x[:3].upper() + x[3:]) for after in ("", ",", ".", "!?", "***")]
+    odd = ["H\u0331a", "A\u030a", "\u0130x", "I'm", "x's.", "'tis", "a'", "<|endoftext|>", "ab<|endoftext|>", "ab<|", "3a", "a3", "\u00aab", "\u03a3\u03a3", "a\x1cb", "a\u00a0b", "\u4e2d\u6587", "\u00c0\u00d7", "a\u0301", "\x01", "\u01c5", ",,a", "\x00"]
+    texts = [" ".join(forms), "\n".join(forms[::-1]), None, "", " \t", "  ".join(odd), " ".join(w + x for w in stems[:9] for x in odd)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array([0] * len(texts), pa.int32())], names=["doc_id", "text", "shard"])
+    for size in (1, 8 << 20):
+        monkeypatch.setattr(bit_packing, "ENCODED", size, raising=False)
+        got = {}
+        for row in (r for b in bit_packing._encoded(path, 2, 16)(iter([batch])) for r in b.to_pylist()):
+            ids = bit_packing.unpack(row["payload"], row["width"], 0, row["n_ids"])
+            got |= {d: ids[a:b].tolist() for d, a, b in zip(row["doc_ids"], row["doc_offsets"], [*row["doc_offsets"][1:], row["n_ids"]], strict=True)}
+        tokenizer = Tokenizer.from_file(path)
+        assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert len(given) == len(set(given)) < len(stems) + 12 * len(odd) + 10
+
+
 def test_network_gradients_match_differences():
     rng = np.random.RandomState(0)
     net = byte_rnn.Network(3, hidden=4, width=3)
