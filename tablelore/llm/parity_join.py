@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelore.llm.common import as_bytes, mix, settle, shingle_set
@@ -27,6 +27,8 @@ from tablelore.llm.components import components
 FILTER_BITS = 1 << 24
 SLICE = 1000
 HUB = 500  # pairs of one document beyond which its row is repeated, once for so many pairs
+CELLS = 1 << 22  # counts of shingles by hash: 4 MB, whatever the input
+BLOCK = 1 << 16
 CROWD = 32  # pairs a member beyond which a bucket's members meet by their rarest shingles instead
 
 
@@ -146,23 +148,74 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, t: Fraction) -> Dat
     return met.where(both * t.denominator >= union * t.numerator).select("a", "b").distinct()
 
 
+def _frequencies(sets: DataFrame) -> bytes:
+    """For each cell, a byte that grows with how many of the sets' shingles fall into it; 0 for none or one. So a shingle with 0 is in one set only.
+
+    Counts of BLOCK neighbouring cells travel as one row for each slice of the sets; each block is summed up where its rows meet.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            at, held = np.unique(batch.column(0).flatten().to_numpy() & (CELLS - 1), return_counts=True)
+            edges = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
+            columns = [pa.array(at[edges] // BLOCK, pa.int32())]
+            columns += [pa.ListArray.from_arrays(pa.array(np.append(edges, len(at)), pa.int32()), pa.array(x, pa.int32())) for x in (at % BLOCK, held)]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "at", "count"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                sums.setdefault(block, np.zeros(BLOCK, np.int64))[at.values.to_numpy()] += held.values.to_numpy()
+        levels = [np.minimum(8 * np.log2(np.maximum(x, 1)), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
+
+    counts = sets.select("s").mapInArrow(count, "block int, at array<int>, count array<int>")
+    whole = np.zeros(max(CELLS, BLOCK), np.uint8)
+    for block, levels in counts.repartition("block").mapInArrow(total, "block int, levels binary").collect():
+        whole[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(levels, np.uint8)
+    return whole.tobytes()
+
+
+def _prefixes(often, p: int, q: int):
+    """The first shingles of each set, by (byte of its cell, value): as many as a larger similar set needs; early: as a smaller one needs. Those in one set only are no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(often.value, np.uint8)
+        for batch in _slices(batches):
+            values, edges = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy().cumsum()
+            rows, shingles, places, early, sizes = [], [], [], [], []
+            for row, s in enumerate(np.split(values, edges[:-1])):
+                n, seen = len(s), held[s & (CELLS - 1)]
+                first = np.lexsort((s, seen))[: n - (n * p + q - 1) // q + 1]
+                at = np.flatnonzero(seen[first])
+                rows.append(np.full(len(at), row))
+                shingles.append(s[first[at]])
+                places.append(at + 1)
+                early.append(at < n - (2 * n * p + p + q - 1) // (p + q) + 1)
+                sizes.append(np.full(len(at), n))
+            if rows:
+                own = batch.select([0, 1]).take(pa.array(np.concatenate(rows)))
+                columns = [pa.array(np.concatenate(x)) for x in (sizes, shingles, places, early)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=["id", "own", "n", "shingle", "at", "early"])
+
+    return run
+
+
 def _by_rarest(docs: DataFrame, ids: DataFrame, roots: DataFrame, sketches: DataFrame, width: int, t: Fraction) -> DataFrame:
     """Pairs (a, b) of the listed documents, in different components and with close sketches, among which are all similar ones.
 
-    With shingles in one order, rarest first, a similar pair shares one that is among the first n - 2tn/(1+t) + 1 of the smaller set and among
-    the first n - tn + 1 of the larger. What a template gives to all its documents comes last, so those that are not similar do not meet.
+    With shingles in one order, a similar pair shares one that is among the first n - 2tn/(1+t) + 1 of the smaller set and among
+    the first n - tn + 1 of the larger. Rare ones come first, as far as counts by CELLS tell (any order is right), and only these first ones of a set become rows: 1 - t of
+    all. What a template gives to all its documents comes last, so those that are not similar do not meet.
     All that two sets share stands at or behind the first shingle they share. So a shingle makes a pair only where, in both sets, as many
     follow as the two sizes ask for, and where their sketches are close: near copies of one text that differ too much are compared there, but are no row. At least one of a
     pair is outside the component that has most of the shingle's sets; those inside meet only those outside.
     """
     p, q = t.numerator, t.denominator
     sets = _sets_of(docs, ids, width).withColumn("own", F.xxhash64("s"))  # an id that repeats may have several sets
-    each = sets.select("id", "own", F.size("s").cast("long").alias("n"), F.explode("s").alias("shingle"))
-    often = settle(each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "held")
-    own = Window.partitionBy("id", "own")
-    placed = each.join(often, "shingle").withColumn("at", F.row_number().over(own.orderBy("held", "shingle")))
-    placed = placed.withColumn("at", F.col("at") + F.col("n") - F.count("*").over(own))  # those that no other set holds come first
-    first = placed.where(f"at <= n - (n * {p} + {q - 1}) div {q} + 1").withColumn("early", F.expr(f"at <= n - (2 * n * {p} + {p + q - 1}) div {p + q} + 1"))
+    often = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
+    first = sets.select("id", "own", "s").mapInArrow(_prefixes(often, p, q), "id long, own long, n long, shingle long, at long, early boolean")
     first = first.join(roots.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", "own", "n", "at", "early", F.coalesce("root", "id").alias("root"))
     first = settle(first, "first")
     each = first.groupBy("shingle", "root").agg(F.count("*").alias("c"), F.max("early").alias("early")).groupBy("shingle")

@@ -131,6 +131,31 @@ def test_near_copies_too_far_apart_make_no_pairs(spark, monkeypatch, width, thre
     assert seen["crowd"] and seen["pairs"] + seen.get("met", 0) < 6 * len(rows)
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 1])
+@pytest.mark.parametrize("width,threshold", [(4, "0.85"), (5, "0.8")])
+def test_only_the_first_shingles_of_near_copies_become_rows(spark, monkeypatch, width, threshold, cells):
+    """400 near copies of one text: what joins by shingles make is bounded by the first 1 - t of each set, however badly the counts tell rare from common."""
+    made, join = [], type(spark.range(0)).join
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "shingle":
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(type(spark.range(0)), "join", counted)
+    monkeypatch.setattr(parity_join, "CELLS", cells, raising=False)
+    monkeypatch.setattr(parity_join, "CROWD", 0)
+    rng, base, rows = np.random.RandomState(8), prose(5, 150, 5000), []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(150, rng.randint(2, 7), replace=False):
+            words[at] = f"d{i}x{at}"
+        rows.append((i, " ".join(words)))
+    t = Fraction(threshold)
+    got = similar_groups(documents(spark, rows), width=width, threshold=threshold)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == groups_by_force(rows, width, t.numerator, t.denominator)
+    assert 0 < sum(made) <= len(rows) * (150 * (1 - t) + 2)
+
+
 def test_similar_groups_repeated_ids_and_no_rows(spark):
     a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
     got = similar_groups(documents(spark, [(5, a), (5, b), (7, a), (8, b), (8, b), (None, a)]))
