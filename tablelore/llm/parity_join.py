@@ -120,14 +120,19 @@ def _close(t: Fraction) -> Column:
 
 
 def _beside(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the columns of x, whose key is a, and of y, whose key is b. Pairs of a hub are spread over tasks."""
+    """Pairs (a, b) with the columns of x, whose key is a, and of y, whose key is b. Pairs of a hub are spread over tasks; a side without hubs is a plain join."""
+    hubs = pairs.selectExpr("stack(2, 'a', a, 'b', b) AS (side, id)").groupBy("side", "id").count().where(F.col("count") > HUB)
+    hubs = settle(hubs.select("side", "id", F.ceil(F.col("count") / HUB).cast("int").alias("parts")), "hubs")
+    crowded = {r.side for r in hubs.select("side").distinct().collect()}  # two at most
     met = pairs
     for side, table in (("a", x), ("b", y)):
-        hubs = pairs.groupBy(side).count().where(F.col("count") > HUB).select(side, F.ceil(F.col("count") / HUB).cast("int").alias("parts"))
-        hubs = settle(hubs, "hubs")
+        if side not in crowded:
+            met = met.join(table, side)
+            continue
+        own = hubs.where(F.col("side") == side).select(F.col("id").alias(side), "parts")
         parts = F.coalesce("parts", F.lit(1))
-        spread = met.join(hubs, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
-        rows = table.join(hubs, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        spread = met.join(own, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
+        rows = table.join(own, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         met = spread.join(rows, [side, "part"]).drop("part")
     return met
 

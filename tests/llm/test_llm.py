@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import importlib
 import os
 import zlib
 
@@ -181,6 +182,32 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 161)}}
 
 
+def count_settled(monkeypatch, module):
+    """The names of the frames that the module settles from now on."""
+    names, settle = [], module.settle
+    monkeypatch.setattr(module, "settle", lambda df, name: names.append(name) or settle(df, name))
+    return names
+
+
+@pytest.mark.parametrize("links, rounds", [([(5, 1), (6, 1), (9, 7), (8, 8), (None, 3)], 0), ([], 0), ([(5, 6), (5, 1)], 1), ([(3, 1), (3, 2)], 1)])
+def test_components_need_no_round_beyond_stars(spark, monkeypatch, links, rounds):
+    names = count_settled(monkeypatch, importlib.import_module("tablelore.llm.components"))
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    held = [x for x in links if None not in x and x[0] != x[1]]
+    assert len(names) == 1 + 2 * rounds and set(got) == {x for link in held for x in link}
+    assert all(got[a] == got[b] for a, b in held) and all(got[r] == r <= x for x, r in got.items())
+
+
+@pytest.mark.parametrize("pairs, hubs", [([(1, 2), (1, 3), (2, 3)], 0), ([(1, i) for i in range(2, 9)], 1), ([(i, 9) for i in range(1, 8)], 1), ([(1, i) for i in range(2, 9)] + [(i, 9) for i in range(2, 8)], 2)])
+def test_pairs_are_spread_on_sides_with_hubs_alone(spark, monkeypatch, pairs, hubs):
+    monkeypatch.setattr(parity_join, "HUB", 3)
+    names = count_settled(monkeypatch, parity_join)
+    sides = [spark.createDataFrame([(i, f"{x}{i}") for i in range(10)], f"{k} long, {x} string") for k, x in (("a", "x"), ("b", "y"))]
+    met = parity_join._beside(spark.createDataFrame(pairs, "a long, b long"), *sides)
+    assert sorted(tuple(r) for r in met.select("a", "b", "x", "y").collect()) == sorted((a, b, f"x{a}", f"y{b}") for a, b in pairs)
+    assert names == ["hubs"] and met._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == hubs
+
+
 def test_words_of_long_texts_do_not_depend_on_the_cut():
     text = ("ab CD\t" * 300_000).encode()
     h = word_hashes(text)
